@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted layouts, tried in this order, one per column. The pattern is
-# a cheap guard: text that cannot fit never reaches the parser.
+# Accepted layouts, tried in this order, one per column: format, length of
+# the text, pattern. Length and pattern keep text that cannot fit away from the parser.
 TIME_FORMATS = (
-    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss.SSSSSS", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
-    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
-    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("yyyy-MM-dd", 10, r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", 19, r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS", 26, r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", 19, r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy/MM/dd", 10, r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM/dd/yyyy", 10, r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd-MM-yyyy", 10, r"^\d{2}-\d{2}-\d{4}$"),
 )
 
 SECONDS_PER_DAY = 86_400
 
 
 def text_to_time(c: Column, layout: int) -> Column:
-    fmt, guard = TIME_FORMATS[layout]
-    return F.when(c.rlike(guard), F.try_to_timestamp(c, F.lit(fmt))).cast("timestamp_ntz")
+    fmt, length, guard = TIME_FORMATS[layout]
+    fits = (F.length(c) == length) & c.rlike(guard)
+    return F.when(fits, F.try_to_timestamp(c, F.lit(fmt))).cast("timestamp_ntz")
 
 
 def to_naive_utc(c: Column, dtype: str) -> Column:

@@ -79,13 +79,16 @@ def _basic(spec: ColumnSpec, cfg: Config) -> dict[str, Column]:
         out["numeric"] = F.count(spec.number)
         out["whitespace"] = F.count_if(has_outer_whitespace(c))
         for i in range(len(TIME_FORMATS)):
-            t = text_to_time(c, i)
-            out |= {f"timed{i}": F.count(t), f"first{i}": F.min(t), f"last{i}": F.max(t)}
+            out[f"timed{i}"] = F.count(text_to_time(c, i))
     elif spec.kind == "time":
-        out |= {"first": F.min(spec.time), "last": F.max(spec.time)}
+        out |= _span(spec.time)
     return out
 
 
+def _span(t: Column) -> dict[str, Column]:
+    return {"first_time": F.min(t), "last_time": F.max(t)}
+
+
 def _moments(spec: ColumnSpec) -> dict[str, Column]:
     x = spec.number
     return {
@@ -105,16 +108,10 @@ def _read(spec: ColumnSpec, rows: int, got: dict) -> ColumnFacts:
     if spec.kind == "text":
         best = max(range(len(TIME_FORMATS)), key=lambda i: (got[f"timed{i}"], -i))
         if got[f"timed{best}"]:
-            base = replace(
-                base,
-                layout=best,
-                timed=got[f"timed{best}"],
-                first_time=got[f"first{best}"],
-                last_time=got[f"last{best}"],
-            )
+            base = replace(base, layout=best, timed=got[f"timed{best}"])
         return replace(base, numeric=got["numeric"])
     if spec.kind == "time":
-        return replace(base, timed=got["present"], first_time=got["first"], last_time=got["last"])
+        return replace(base, timed=got["present"], first_time=got["first_time"], last_time=got["last_time"])
     return base
 
 
@@ -137,12 +134,17 @@ def gather_facts(df: DataFrame, cfg: Config, repeated_names: list[str] | None =
     parts = _split(got, specs)
     columns = [_read(s, rows, parts[s.ordinal]) for s in specs]
 
-    # Text that turned out to be numbers gets its moments in a second narrow scan.
-    late = [c.spec for c in columns if c.spec.kind == "text" and (is_numeric(c, cfg) or could_be_value(c, cfg))]
-    if late:
-        wanted = {f"{s.ordinal}_{k}": c for s in late for k, c in _moments(s).items()}
-        parts = _split(one_row(df, wanted, cfg.aggregates_per_pass), late)
-        columns = [replace(c, **parts.get(c.spec.ordinal, {})) for c in columns]
+    # Text that turned out to be numbers or dates gets its statistics in a second narrow scan.
+    wanted = {}
+    for c in columns:
+        if c.spec.kind == "text":
+            more = _moments(c.spec) if is_numeric(c, cfg) or could_be_value(c, cfg) else {}
+            if is_dated(c, cfg):
+                more = more | _span(text_to_time(quoted(c.spec.name), c.layout))
+            wanted |= {f"{c.spec.ordinal}_{k}": x for k, x in more.items()}
+    if wanted:
+        parts = _split(one_row(df, wanted, cfg.aggregates_per_pass), specs)
+        columns = [replace(c, **parts[c.spec.ordinal]) for c in columns]
     return Facts(rows, columns, repeated_names or [])
 
 

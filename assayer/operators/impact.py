@@ -82,7 +82,7 @@ def impact_summary(estimates: DataFrame, total_rows: int, value: ValueColumn | N
     counts twice; ``outlier rows`` of the profile gives a true union."""
     money, currency = F.col("money"), value.currency if value else DEFAULT_CURRENCY
     totals = estimates.agg(
-        F.count(F.lit(1)).alias("estimates"),
+        F.count(F.lit(1)).alias("estimate_count"),
         F.count_if(F.col("risk_level") == "HIGH").alias("high_risk"),
         F.coalesce(F.sum("monetary_impact"), F.lit(0.0)).alias("money"),
         F.coalesce(F.sum("affected_rows"), F.lit(0)).cast("bigint").alias("total_affected_rows"),
@@ -96,17 +96,17 @@ def impact_summary(estimates: DataFrame, total_rows: int, value: ValueColumn | N
     else:
         amount, exposure_total = F.lit(w.IMPACT_NO_MONEY), F.lit(None).cast("double")
     return totals.select(
-        "estimates",
+        "estimate_count",
         "high_risk",
         exposure_total.alias("total_monetary_exposure"),
         F.lit(currency).alias("currency_symbol"),
         "total_affected_rows",
         "summed_affected_pct",
-        F.when(F.col("estimates") == 0, w.NO_IMPACT)
+        F.when(F.col("estimate_count") == 0, w.NO_IMPACT)
         .otherwise(
             F.format_string(
                 w.IMPACT_SUMMARY,
-                F.col("estimates"),
+                F.col("estimate_count"),
                 F.col("high_risk"),
                 amount,
                 plain_number(F.col("summed_affected_pct")),

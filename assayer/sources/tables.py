@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.functions.numbers import text_to_number
 from assayer.functions.texts import drop_missing_tokens
 from assayer.operators.columns import column_specs, distinct_names, quoted
 from assayer.operators.facts import one_row
-from assayer.functions.numbers import text_to_number
 
 _BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 _INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
@@ -19,18 +19,13 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, header: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = False) -> DataFrame:
     """CSV with a header: missing-value tokens become null, then types are inferred.
 
-    Inference reads the files once more; pass ``infer=False`` to keep text.
+    Inference reads the files once more; pass ``infer=False`` to keep text. Files with line
+    breaks inside quotes need ``multi_line``, which makes each file one task.
     """
-    raw = (
-        spark.read.option("header", header)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(path)
-    )
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     raw = normalise_missing(distinct_names(raw)[0])
     return infer_types(raw) if infer else raw
 
@@ -72,11 +67,19 @@ def infer_types(df: DataFrame, per_pass: int = 240) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV folder with a header per file; NaN and null become empty fields."""
-    cells = [s.value.alias(s.name) for s in column_specs(df)]
-    df.select(*cells).write.option("header", True).option("escape", '"').option("emptyValue", "").option(
-        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-    ).csv(path)
+    """A CSV folder, each file with a header; null and NaN become empty fields."""
+    cells = [
+        (s.value.cast("string") if s.kind == "time" else s.groupable if s.kind == "other" else s.value).alias(s.name)
+        for s in column_specs(df)
+    ]
+    (
+        df.select(*cells)
+        .write.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_json(df: DataFrame, path: str) -> None:
