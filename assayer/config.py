@@ -49,9 +49,11 @@ class Config:
     quantiles: str = "exact"  # or "approx"
     distinct: str = "exact"  # or "approx"
     duplicates: str = "exact"  # or "fingerprint"
-    quantile_accuracy: int = 10_000
+    quantile_accuracy: int = 10_000  # of approximate results and grouped searches
+    sketch_size: int = 32_768  # of the sketches that guide an exact search
     quantile_values: int = 100_000  # most values one exact selection may hold
     aggregates_per_pass: int = 240  # bounds the size of the generated code
+    concurrent_scans: int = 3
 
     def reference_time(self) -> datetime:
         if self.as_of is None:

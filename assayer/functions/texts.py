@@ -28,6 +28,13 @@ MISSING_TOKENS = (
     "null",
 )
 
+# Code points that count as whitespace, tabs and no-break spaces included.
+WHITESPACE = tuple(
+    chr(i)
+    for i in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+
 # Format rules that can be switched on per column.
 EMAIL_PATTERN = r"(?U)^[\w\.\+\-]+@[\w\-]+\.[a-zA-Z]{2,}$"
 PHONE_PATTERN = r"(?U)^[\+\d\s\-\(\)]{7,15}$"
@@ -64,12 +71,13 @@ def drop_missing_tokens(c: Column) -> Column:
 
 
 def has_outer_whitespace(c: Column) -> Column:
-    """Unicode aware, so tabs and no-break spaces count as well."""
-    return c.rlike(r"(?U)^\s|\s\z")
+    """Looks at the first and last character only, whatever the length of the text."""
+    one = F.lit(1)
+    return F.left(c, one).isin(*WHITESPACE) | F.right(c, one).isin(*WHITESPACE)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit("".join(WHITESPACE)))
 
 
 def is_off_topic(message: Column) -> Column:

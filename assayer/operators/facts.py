@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.config import Config
+from assayer.functions.numbers import count_where, is_number
 from assayer.functions.texts import has_outer_whitespace
 from assayer.functions.times import TIME_FORMATS, text_to_time
 from assayer.operators.columns import (
@@ -73,30 +74,46 @@ def _basic(spec: ColumnSpec, cfg: Config) -> dict[str, Column]:
     if cfg.distinct == "approx":
         out["approx"] = F.approx_count_distinct(spec.groupable)
     if spec.kind == "number":
-        out |= _moments(spec)
-    elif spec.kind == "text":
-        c = quoted(spec.name)
-        out["numeric"] = F.count(spec.number)
-        out["whitespace"] = F.count_if(has_outer_whitespace(c))
-        for i in range(len(TIME_FORMATS)):
-            out[f"timed{i}"] = F.count(text_to_time(c, i))
+        out |= _moments(spec.number)
     elif spec.kind == "time":
         out |= _span(spec.time)
     return out
 
 
+def _text_counts(df: DataFrame, specs: list[ColumnSpec], cfg: Config) -> dict[int, dict]:
+    """What the values of each text column look like, by ordinal.
+
+    The columns are stacked, so that one small set of expressions serves any number of
+    them; each task sends one row per column.
+    """
+    names = [str(s.ordinal) for s in specs]
+    long = df.select(*[quoted(s.name).alias(n) for s, n in zip(specs, names)]).unpivot([], names, "ordinal", "value")
+    c = F.col("value")
+    wanted = {
+        "present": F.count(c),
+        "numeric": count_where(is_number(c)),
+        "whitespace": count_where(has_outer_whitespace(c)),
+        **{f"timed{i}": F.count(text_to_time(c, i)) for i in range(len(TIME_FORMATS))},
+    }
+    if cfg.distinct == "approx":
+        wanted["approx"] = F.approx_count_distinct(c)
+    out = {s.ordinal: dict.fromkeys(wanted, 0) for s in specs}
+    for row in long.where(c.isNotNull()).groupBy("ordinal").agg(*[x.alias(k) for k, x in wanted.items()]).collect():
+        out[int(row["ordinal"])] = row.asDict()
+    return out
+
+
 def _span(t: Column) -> dict[str, Column]:
     return {"first_time": F.min(t), "last_time": F.max(t)}
 
 
-def _moments(spec: ColumnSpec) -> dict[str, Column]:
-    x = spec.number
+def _moments(x: Column) -> dict[str, Column]:
     return {
         "mean": F.avg(x),
         "std": F.stddev_samp(x),
         "low": F.min(x),
         "high": F.max(x),
-        "negative": F.count_if(x < 0),
+        "negative": count_where(x < 0),
     }
 
 
@@ -126,24 +143,29 @@ def _split(got: dict, specs: list[ColumnSpec]) -> dict[int, dict]:
 
 def gather_facts(df: DataFrame, cfg: Config, repeated_names: list[str] | None = None) -> Facts:
     specs = column_specs(df)
-    wanted = {f"{s.ordinal}_{k}": c for s in specs for k, c in _basic(s, cfg).items()}
+    texts = [s for s in specs if s.kind == "text"]
+    others = [s for s in specs if s.kind != "text"]
+    wanted = {f"{s.ordinal}_{k}": c for s in others for k, c in _basic(s, cfg).items()}
     got = one_row(df, {"rows": F.count(F.lit(1)), **wanted}, cfg.aggregates_per_pass)
     rows = got["rows"]
     if rows == 0:
         raise ValueError("the table has no rows")
-    parts = _split(got, specs)
+    parts = _split(got, others) | (_text_counts(df, texts, cfg) if texts else {})
     columns = [_read(s, rows, parts[s.ordinal]) for s in specs]
 
-    # Text that turned out to be numbers or dates gets its statistics in a second narrow scan.
-    wanted = {}
+    # Text that turned out to be numbers or dates gets its statistics in a second narrow
+    # scan, which parses each value once, before the aggregates.
+    parsed, wanted = [], {}
     for c in columns:
-        if c.spec.kind == "text":
-            more = _moments(c.spec) if is_numeric(c, cfg) or could_be_value(c, cfg) else {}
-            if is_dated(c, cfg):
-                more = more | _span(text_to_time(quoted(c.spec.name), c.layout))
-            wanted |= {f"{c.spec.ordinal}_{k}": x for k, x in more.items()}
+        o = c.spec.ordinal
+        if c.spec.kind == "text" and (is_numeric(c, cfg) or could_be_value(c, cfg)):
+            parsed.append(c.spec.number.alias(f"x{o}"))
+            wanted |= {f"{o}_{k}": x for k, x in _moments(F.col(f"x{o}")).items()}
+        if c.spec.kind == "text" and is_dated(c, cfg):
+            parsed.append(text_to_time(quoted(c.spec.name), c.layout).alias(f"t{o}"))
+            wanted |= {f"{o}_{k}": t for k, t in _span(F.col(f"t{o}")).items()}
     if wanted:
-        parts = _split(one_row(df, wanted, cfg.aggregates_per_pass), specs)
+        parts = _split(one_row(df.select(*parsed), wanted, cfg.aggregates_per_pass), specs)
         columns = [replace(c, **parts[c.spec.ordinal]) for c in columns]
     return Facts(rows, columns, repeated_names or [])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.config import Config
-from assayer.functions.numbers import outside_fences
+from assayer.functions.numbers import count_where, outside_fences
 from assayer.functions.times import text_to_time
 from assayer.operators.columns import quoted
 from assayer.operators.facts import ColumnFacts, Facts, is_dated, is_numeric, negatives, one_row
@@ -62,9 +62,9 @@ class OutlierScan:
     windows: dict[tuple[int, int], tuple[datetime, datetime, int]]
 
 
-def near_flag(c: ColumnFacts, spread: Spread, cfg: Config) -> Column | None:
+def near_flag(c: ColumnFacts, x: Column, spread: Spread, cfg: Config) -> Column | None:
     """Row test behind the count of rows with an outlier in any column."""
-    x, negative = c.spec.number, negatives(c, cfg)
+    negative = negatives(c, cfg)
     tests = []
     if negative:
         tests.append(F.coalesce(x < 0, F.lit(False)))
@@ -78,23 +78,25 @@ def scan_outliers(df: DataFrame, facts: Facts, spreads: dict[int, Spread], cfg:
     wanted: dict[str, Column] = {}
     flags = []
     dates = date_columns(facts, cfg)
-    for c in facts.columns:
-        o = c.spec.ordinal
-        if o not in spreads:
-            continue
-        s, x = spreads[o], c.spec.number
+    # Numbers and times are read once per row, before the aggregates use them many times.
+    base = df.select(
+        *[facts.columns[o].spec.number.alias(f"x{o}") for o in spreads],
+        *[time_of(d).alias(f"t{d.spec.ordinal}") for d in dates],
+    )
+    for o, s in spreads.items():
+        c, x = facts.columns[o], F.col(f"x{o}")
         far = outside_fences(x, s.q1, s.q3, cfg.far_fence)
         if near_fences_apply(c, s, cfg):
-            wanted[f"near_{o}"] = F.count_if(outside_fences(x, s.q1, s.q3, cfg.fence))
-        wanted[f"far_{o}"] = F.count_if(far)
+            wanted[f"near_{o}"] = count_where(outside_fences(x, s.q1, s.q3, cfg.fence))
+        wanted[f"far_{o}"] = count_where(far)
         wanted[f"sum_{o}"] = F.sum(F.when(far, x))
         if not is_numeric(c, cfg):
             continue
-        flag = near_flag(c, s, cfg)
+        flag = near_flag(c, x, s, cfg)
         if flag is not None:
             flags.append(flag)
         for d in dates:
-            t = F.when(far, time_of(d))
+            t = F.when(far, F.col(f"t{d.spec.ordinal}"))
             p = f"{o}_{d.spec.ordinal}"
             wanted |= {f"from_{p}": F.min(t), f"to_{p}": F.max(t), f"dated_{p}": F.count(t)}
     if flags:
@@ -102,8 +104,8 @@ def scan_outliers(df: DataFrame, facts: Facts, spreads: dict[int, Spread], cfg:
         for f in flags[1:]:
             either = either | f
         # The widest expression: it reads all numeric columns, so it goes in first.
-        wanted = {"any": F.count_if(either), **wanted}
-    got = one_row(df, wanted, cfg.aggregates_per_pass) if wanted else {}
+        wanted = {"any": count_where(either), **wanted}
+    got = one_row(base, wanted, cfg.aggregates_per_pass) if wanted else {}
 
     columns = {
         o: OutlierFacts(got.get(f"near_{o}", 0), got[f"far_{o}"], got[f"sum_{o}"]) for o in spreads
@@ -195,7 +197,7 @@ def category_clusters(df: DataFrame, facts: Facts, spreads: dict[int, Spread], s
     sizes = one_row(
         df,
         {
-            f"n{i}": F.count_if(quoted(spec[t["category_ordinal"]].name) == F.lit(t["value"]))
+            f"n{i}": count_where(quoted(spec[t["category_ordinal"]].name) == F.lit(t["value"]))
             for i, (t, _) in enumerate(rows)
         },
         cfg.aggregates_per_pass,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,7 @@ from assayer.operators.outliers import (
 )
 from assayer.operators.quantiles import QUARTILES, exact_quantiles
 from assayer.operators.small import settle, small_frame
-from assayer.operators.values import (
-    distinct_per_column,
-    exact_distinct,
-    format_examples,
-    top_values,
-    value_counts,
-)
+from assayer.operators.values import exact_distinct, value_counts, value_summary
 
 _STATS = (
     "ordinal int, name string, dtype string, role string, total_rows bigint, present bigint, "
@@ -113,28 +109,23 @@ class TableProfile:
 
     @cached_property
     def value_summary(self) -> DataFrame:
-        """(ordinal, distinct, top_values, format_issue_examples) of the categorical columns."""
-        schema = "ordinal int, distinct bigint, top_values array<struct<value:string,count:bigint>>, format_issue_examples array<string>"
+        """(ordinal, distinct, counted, top_values, format_issue_examples) of the categorical columns."""
+        schema = "ordinal int, distinct bigint, counted bigint, top_values array<struct<value:string,count:bigint>>, format_issue_examples array<string>"
         if self.value_counts is None:
             return small_frame(self.spark, [], schema)
-        counts = self.value_counts
-        found = (
-            distinct_per_column(counts)
-            .join(top_values(counts, self.cfg.top_values), "ordinal", "left")
-        )
-        if any(self.format_issues(c) for c in self.columns):
-            found = found.join(format_examples(counts, self._mixed_ordinals(), self.cfg), "ordinal", "left")
-        else:
-            found = found.withColumn("format_issue_examples", F.lit(None).cast("array<string>"))
-        return settle(found.select("ordinal", "distinct", "top_values", "format_issue_examples"))
+        return settle(value_summary(self.value_counts, self._mixed_ordinals(), self.cfg))
 
     @cached_property
     def distinct(self) -> dict[int, int]:
         if self.cfg.distinct == "approx":
             return {c.spec.ordinal: c.approx_distinct for c in self.columns}
-        grouped = {r["ordinal"]: r["distinct"] for r in self.value_summary.collect()}
-        rest = [c.spec for c in self.columns if c.spec.ordinal not in grouped and c.present]
-        return grouped | exact_distinct(self.df, rest)
+        return {r["ordinal"]: r["distinct"] for r in self.value_summary.collect()} | self.other_distinct
+
+    @cached_property
+    def other_distinct(self) -> dict[int, int]:
+        """Exact distinct counts of the columns without value counts."""
+        specs = [c.spec for c in self.columns if c.present and not roles.is_categorical(c, self.cfg)]
+        return exact_distinct(self.df, specs)
 
     @cached_property
     def overlaps(self) -> DataFrame:
@@ -151,6 +142,22 @@ class TableProfile:
     def category_clusters(self) -> DataFrame:
         return category_clusters(self.df, self.facts, self.spreads, self.outliers, self.cfg)
 
+    def gather(self) -> TableProfile:
+        """Run the scans that do not need each other as concurrent Spark jobs."""
+        _ = self.facts  # the other scans depend on the roles
+        scans = [
+            lambda: (self.outliers, self.category_clusters),
+            lambda: self.value_summary,
+            lambda: self.duplicates,
+            lambda: self.overlaps,
+        ]
+        if self.cfg.distinct == "exact":
+            scans.append(lambda: self.other_distinct)
+        with ThreadPoolExecutor(self.cfg.concurrent_scans) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(scan)) for scan in scans]:
+                done.result()
+        return self
+
     # -- schema-sized derivations ----------------------------------------------
 
     def missing_pct(self, c: ColumnFacts) -> float:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.config import Config
-from assayer.functions.numbers import outside_fences, percent, text_to_number
+from assayer.functions.numbers import count_where, outside_fences, percent, text_to_number
 from assayer.functions.texts import strip
 from assayer.functions.times import whole_days
 from assayer.operators.columns import column_specs, quoted
@@ -139,7 +139,7 @@ def schema_contract(df: DataFrame, contract: Mapping[str, str]) -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("total"),
         *[
-            (F.count_if(quoted(c).isNotNull() & ~fits(c, t)) if c in specs else F.count(F.lit(1))).alias(f"f{i}")
+            (count_where(quoted(c).isNotNull() & ~fits(c, t)) if c in specs else F.count(F.lit(1))).alias(f"f{i}")
             for i, (c, t) in enumerate(contract.items())
         ],
     )

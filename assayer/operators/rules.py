@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.numbers import percent
+from assayer.functions.numbers import count_where, percent
 from assayer.functions.texts import EMAIL_PATTERN, PHONE_PATTERN
 from assayer.operators.columns import quoted
 
@@ -83,7 +83,7 @@ def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     A null value breaks ``not_null`` only.
     """
     counts = df.agg(
-        F.count(F.lit(1)).alias("total"), *[F.count_if(r.broken).alias(f"r{i}") for i, r in enumerate(rules)]
+        F.count(F.lit(1)).alias("total"), *[count_where(r.broken).alias(f"r{i}") for i, r in enumerate(rules)]
     )
     rows = [
         F.struct(

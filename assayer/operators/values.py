@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from assayer.operators.columns import ColumnSpec
 from assayer.operators.facts import one_row
 
 # Columns per count-distinct job: each one widens the grouping key of the whole job.
-_DISTINCT_COLUMNS = 8
+_DISTINCT_COLUMNS = 4
 
 
 def value_counts(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
@@ -38,45 +38,49 @@ def most_common(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def ranked_list(rows: Column, fields: int = 1) -> Column:
-    """Ordered array from collected (rank, ...) structs; only for groups of bounded size."""
-    return F.transform(F.array_sort(F.collect_list(rows)), lambda s: s.dropFields("rank"))
+def value_summary(counts: DataFrame, mixed: list[int], cfg: Config) -> DataFrame:
+    """Per column: distinct values, top values, and a few offending values of each kind.
 
-
-def distinct_per_column(counts: DataFrame) -> DataFrame:
-    # The sum keeps this plan's shuffle equal to that of the other readers of the counts,
-    # so that it is computed once.
-    return counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present"))
-
-
-def top_values(counts: DataFrame, k: int) -> DataFrame:
-    return (
-        most_common(counts, ["ordinal"], k)
-        .groupBy("ordinal")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", "value", F.col("n").alias("count")))),
-                lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count")),
-            ).alias("top_values")
-        )
-    )
-
-
-def format_examples(counts: DataFrame, mixed: list[int], cfg: Config) -> DataFrame:
-    """A few offending values per column: the smallest of each kind of anomaly."""
-    kinds = F.array(
-        F.when(has_outer_whitespace(F.col("value")), F.lit("whitespace")),
-        F.when(F.col("ordinal").isin(mixed) & text_to_number(F.col("value")).isNull(), F.lit("non_numeric")),
-    )
-    order = W.partitionBy("ordinal", "kind").orderBy("value")
-    return (
-        counts.where(F.col("n") > 0)
-        .withColumn("kind", F.explode(kinds))
-        .where(F.col("kind").isNotNull())
+    Three readers share the one shuffle of ``counts``. They are combined by union, and no
+    reader filters on the value, because a join or filter would be pushed below the
+    shuffle of that reader alone and make Spark count the values again.
+    """
+    value, none = F.col("value"), F.lit(None)
+    columns = ("ordinal", "part", "rank", "value", "n", "values")
+    distinct = counts.groupBy("ordinal").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))
+    distinct = distinct.select("ordinal", F.lit("all").alias("part"), F.lit(0).alias("rank"), none.cast("string").alias("value"), "n", "values")
+
+    top = most_common(counts, ["ordinal"], cfg.top_values)
+    top = top.withColumns({"part": F.lit("top"), "values": F.lit(1).cast("bigint")}).select(*columns)
+
+    # Kinds of anomaly as disjoint classes; the smallest values of each class are enough
+    # to know the smallest of each kind.
+    spaced = has_outer_whitespace(value)
+    worded = F.col("ordinal").isin(mixed) & text_to_number(value).isNull()
+    kind = F.when(spaced & worded, "both").when(spaced, "spaced").when(worded, "worded").otherwise("fine")
+    order = W.partitionBy("ordinal", "part").orderBy("value")
+    odd = (
+        counts.select("ordinal", kind.alias("part"), "value", "n")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= cfg.examples_per_kind)
-        .groupBy("ordinal")
-        .agg(F.slice(F.array_sort(F.collect_set("value")), 1, cfg.max_examples).alias("format_issue_examples"))
+        .withColumn("values", F.lit(1).cast("bigint"))
+        .select(*columns)
+    )
+    parts = distinct.unionByName(top).unionByName(odd)
+
+    def examples(*kinds: str):
+        found = F.sort_array(F.collect_list(F.when(F.col("part").isin(*kinds), value)))
+        return F.slice(found, 1, cfg.examples_per_kind)
+
+    best = F.collect_list(F.when(F.col("part") == "top", F.struct("rank", "value", F.col("n").alias("count"))))
+    few = F.sort_array(F.array_distinct(F.concat(examples("spaced", "both"), examples("worded", "both"))))
+    return parts.groupBy("ordinal").agg(
+        F.max(F.when(F.col("part") == "all", F.col("values"))).alias("distinct"),
+        F.max(F.when(F.col("part") == "all", F.col("n"))).alias("counted"),
+        F.transform(
+            F.sort_array(best), lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"))
+        ).alias("top_values"),
+        F.slice(few, 1, cfg.max_examples).alias("format_issue_examples"),
     )
 
 

@@ -414,7 +414,7 @@ def top_values(spark, folder):
 
 
 def _dataset(spark: SparkSession, folder: str) -> DataFrame:
-    return _profile(spark, folder).dataset_profile
+    return _profile(spark, folder).gather().dataset_profile
 
 
 @query
@@ -461,7 +461,7 @@ def schema_empty_columns(spark, folder):
 
 @query
 def column_profile(spark, folder):
-    return _profile(spark, folder).column_profile.drop("top_values", "format_issue_examples", "total_rows")
+    return _profile(spark, folder).gather().column_profile.drop("top_values", "format_issue_examples", "total_rows")
 
 
 @query
@@ -722,23 +722,23 @@ def recent_turns(spark, folder):
 
 @query
 def column_health(spark, folder):
-    return display.column_health(_profile(spark, folder).column_profile)
+    return display.column_health(_profile(spark, folder).gather().column_profile)
 
 
 @query
 def metric_bands(spark, folder):
-    p = _profile(spark, folder)
+    p = _profile(spark, folder).gather()
     return display.metric_bands(p.column_profile, p.dataset_profile)
 
 
 @query
 def boxplot_positions(spark, folder):
-    return display.boxplot_positions(_numbers(spark, folder).column_profile)
+    return display.boxplot_positions(_numbers(spark, folder).gather().column_profile)
 
 
 @query
 def category_bars(spark, folder):
-    bars = display.category_bars(_profile(spark, folder).column_profile)
+    bars = display.category_bars(_profile(spark, folder).gather().column_profile)
     return bars.withColumnRenamed("count", "value_count").withColumnRenamed("rank", "place")
 
 

@@ -43,7 +43,7 @@ class QualityReport:
 
     @cached_property
     def issues(self) -> DataFrame:
-        p = self.profile
+        p = self.profile.gather()
         found = iss.missing_issues(p.column_profile, p.overlaps, self.cfg)
         for more in (
             iss.outlier_issues(p.column_profile, p.category_clusters, p.date_clusters),

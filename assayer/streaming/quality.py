@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions.numbers import outside_fences
+from assayer.functions.numbers import count_where, outside_fences
 from assayer.operators.outliers import Spread
 from assayer.sources.workspace import new_folder
 
@@ -30,8 +30,8 @@ def daily_quality(
         .groupBy(F.window("at", "1 day").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("row_count"),
-            F.count_if(F.col("x").isNull()).alias("missing_count"),
-            F.count_if(outside_fences(F.col("x"), spread.q1, spread.q3, factor)).alias("outlier_count"),
+            count_where(F.col("x").isNull()).alias("missing_count"),
+            count_where(outside_fences(F.col("x"), spread.q1, spread.q3, factor)).alias("outlier_count"),
         )
         .select(
             F.col("day.start").cast("timestamp_ntz").alias("day_start"),
