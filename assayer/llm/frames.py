@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.sources.workspace import new_folder
@@ -54,16 +52,19 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{text}`").isNull())
 
 
-def rows_in(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str) -> DataFrame:
+def rows_in(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str, unique: bool = False) -> DataFrame:
     """Rows of ``docs`` with (``left_semi``) or without (``left_anti``) a row in ``keys``.
 
-    ``keys`` has ``doc_id`` and ``text_key``. All columns of ``docs`` stay as they are.
+    ``keys`` has ``doc_id`` and ``text_key``. All columns of ``docs`` stay as they are. ``unique`` keeps one
+    of the rows with the same id and text; they are cut in each task before the shuffle that the join needs.
     """
-    own: Sequence[str] = docs.columns
     left = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(f"`{doc_id}`").alias("own_id"),
         text_key(text).alias("own_key"),
     )
+    if unique:
+        same_row = Window.partitionBy("own_id", "own_key").orderBy("own_key")
+        left = left.withColumn("nth", F.row_number().over(same_row)).filter("nth = 1")
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))
     return left.join(keys.select("doc_id", "text_key"), same, how).select("row.*")
