@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.llm.decontaminate import contaminated
 from assayer.llm.near_dedup import NearDedup, near_duplicates
 from assayer.llm.quality_rules import quality_rules
 
@@ -116,3 +117,9 @@ SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, component_id, s.doc_id = c
 FROM s JOIN least ON s.doc_id = least.a
 """
 ANSWERS["op6_minhash_near_dedup"] = NEAR_SQL
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.drop("text_key")
