@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assayer.llm.decontaminate import contaminated
 from assayer.llm.near_dedup import NearDedup, near_duplicates
 from assayer.llm.quality_rules import quality_rules
+from assayer.llm.sentence_pieces import encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ANSWERS: dict[str, str] = {}
@@ -123,3 +125,9 @@ ANSWERS["op6_minhash_near_dedup"] = NEAR_SQL
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     return found.drop("text_key")
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode(_documents(spark, folder))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "exact")
