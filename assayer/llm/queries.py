@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.decontaminate import contaminated
 from assayer.llm.near_dedup import NearDedup, near_duplicates
+from assayer.llm.quality_classifier import score, train
 from assayer.llm.quality_rules import quality_rules
 from assayer.llm.sentence_pieces import encode
 
@@ -131,3 +132,15 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode(_documents(spark, folder))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "exact")
+
+
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~_held_out())
+    weights = train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return score(docs, weights).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
