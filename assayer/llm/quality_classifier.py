@@ -112,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, options: Classifier = Classifier()
         .withColumn("nth", F.row_number().over(pick))
         .filter(F.col("nth") <= options.per_label)
     )
-    sample = docs.filter("text IS NOT NULL").join(chosen, "doc_id").groupBy("doc_id", "label", "turn")
+    # At most per_label ids for either label: small enough to send to every task.
+    sample = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "turn")
     sample = sample.agg(F.min("text").alias("text")).withColumn("all", F.lit(1))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:

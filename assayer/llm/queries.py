@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.llm import language_id
 from assayer.llm.decontaminate import contaminated
 from assayer.llm.near_dedup import NearDedup, near_duplicates
 from assayer.llm.quality_classifier import score, train
@@ -144,3 +145,10 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~_held_out())
     weights = train(docs, labels.select("doc_id", F.col("quality").alias("label")))
     return score(docs, weights).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = language_id.train(docs.filter(~_held_out()))
+    return language_id.predict(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
