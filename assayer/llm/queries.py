@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import language_id
 from assayer.llm.decontaminate import contaminated
+from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.near_dedup import NearDedup, near_duplicates
 from assayer.llm.quality_classifier import score, train
 from assayer.llm.quality_rules import quality_rules
@@ -152,3 +153,33 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     model = language_id.train(docs.filter(~_held_out()))
     return language_id.predict(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_boilerplate(_documents(spark, folder), removed="n_removed")
+    return left.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_left"), F.md5("text").alias("digest"))
+
+
+#: Texts without boilerplate, for a table `kept` of documents.
+LINES_SQL = r"""
+  each_line AS (
+    SELECT doc_id, source, line, pos, trim(lower(regexp_replace(line, '[\t\x0B\f\r ]+', ' ', 'g')), ' ') AS norm
+    FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM kept)
+  ), spread AS (
+    SELECT norm FROM each_line WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT source) >= 10
+  ), rest AS (
+    SELECT doc_id, count(*) FILTER (WHERE norm IN (FROM spread)) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE norm NOT IN (FROM spread)), '') AS left_text
+    FROM each_line GROUP BY doc_id
+  ), unlined AS (
+    SELECT k.* REPLACE (CASE WHEN length(left_text) >= 0.5 * length(text) THEN left_text ELSE text END AS text),
+           CASE WHEN length(left_text) >= 0.5 * length(text) THEN n_removed ELSE 0 END AS n_removed
+    FROM kept k LEFT JOIN rest USING (doc_id)
+  )
+"""
+ANSWERS["op5_line_dedup"] = f"""
+WITH kept AS (SELECT * FROM documents), {LINES_SQL}
+SELECT doc_id, n_removed::BIGINT AS n_removed, length(text)::BIGINT AS n_left, md5(text) AS digest FROM unlined
+"""
