@@ -13,6 +13,7 @@ from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.near_dedup import NearDedup, near_duplicates
 from assayer.llm.quality_classifier import score, train
 from assayer.llm.quality_rules import quality_rules
+from assayer.llm.repeats import repeated_passages
 from assayer.llm.sentence_pieces import encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +184,8 @@ ANSWERS["op5_line_dedup"] = f"""
 WITH kept AS (SELECT * FROM documents), {LINES_SQL}
 SELECT doc_id, n_removed::BIGINT AS n_removed, length(text)::BIGINT AS n_left, md5(text) AS digest FROM unlined
 """
+
+
+@query
+def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(_documents(spark, folder)).drop("text_key")
