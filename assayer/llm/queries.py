@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import language_id
 from assayer.llm.decontaminate import contaminated
+from assayer.llm.license_scan import scan_licenses
 from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.near_dedup import NearDedup, near_duplicates
 from assayer.llm.quality_classifier import score, train
@@ -189,3 +190,9 @@ SELECT doc_id, n_removed::BIGINT AS n_removed, length(text)::BIGINT AS n_left, m
 @query
 def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_documents(spark, folder)).drop("text_key")
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(_documents(spark, folder))
+    return found.select("doc_id", "licence", "first_sentence", "last_sentence", F.concat_ws(", ", "sentences").alias("sentences"))
