@@ -157,6 +157,36 @@ def _links(pairs: DataFrame, sets: DataFrame, options: NearDedup) -> DataFrame:
     )
 
 
+def _enough(common: Column, n: Column, m: Column, options: NearDedup) -> Column:
+    """Whether sets of n and m shingles are similar enough if they have so many in common."""
+    return (100 + options.similarity_pct) * common >= options.similarity_pct * (n + m)
+
+
+def _rare_shingles(vertices: DataFrame, sets: DataFrame, options: NearDedup) -> DataFrame:
+    """For each vertex the shingles of which similar vertices share one, with ``place``.
+
+    A vertex's shingles are put in order, those of the fewest vertices first. Sets of n shingles that are
+    similar enough differ in so few that one of the first n - ceil(n * similarity) + 1 is common; and if the
+    first common one has the places i and j, no more than the lesser of n - i and m - j are. Shingles that no
+    other vertex has only shift the places. Both rules are exact.
+    """
+    each = sets.join(vertices.select("vertex"), "vertex").select("vertex", F.explode("shingles").alias("shingle"))
+    spread = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    common = each.join(spread, "shingle").groupBy("vertex").agg(
+        F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common")
+    )
+    n, alone = F.col("n_shingles"), F.col("n_shingles") - F.size("common")
+    first = n - F.ceil(options.similarity_pct * n / 100) + 1 - alone
+    rare = F.slice("common", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
+    return (
+        vertices.join(common, "vertex")
+        .select(vertices.columns + [alone.alias("alone"), F.posexplode(rare).alias("place", "rare")])
+        .withColumn("place", F.col("place") + F.col("alone"))
+        .withColumn("shingle", F.col("rare.shingle"))
+        .drop("alone", "rare")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, options: NearDedup = NearDedup(), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -175,9 +205,11 @@ def near_duplicates(
     columns are ignored. Texts are read whole; there is no cap on buckets, pairs or groups.
 
     Documents with the same set are one vertex, so thousands of copies cost one row. In each bucket of equal
-    band hashes every vertex is first compared with the smallest one, which joins a large group of near copies
-    with few pairs. Only buckets that then still hold several components are compared further, and only
-    pairs across components; bit counts of the packed signatures rule pairs out within the join.
+    band hashes every vertex is first compared with one hub, the vertex with the most company in all its buckets:
+    in a large group of near copies that is the original, which is nearer to each copy than they are to each
+    other, so the group is joined with few pairs. Only the vertices of buckets that then still hold several
+    components are compared further: pairs across components that share a rare shingle. Within that join, an exact
+    bound on common shingles and the bit counts of the packed signatures rule pairs out.
     """
     small_batches(docs.sparkSession)
     size, rows = options.shingle, options.rows
@@ -197,8 +229,18 @@ def near_duplicates(
         "vertex", "doc_id", "text_key", "n_shingles", "bands", *planes
     )
     buckets = vertices.select("vertex", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("vertex").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = staged(buckets.join(shared.select("band", "hub"), "band"), "members")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    in_shared = staged(buckets.join(shared, "band"), "shared-buckets")
+    company = in_shared.groupBy("vertex").agg(F.sum("n").alias("company"))
+    ranked = in_shared.join(company, "vertex").select("band", "vertex", "company")
+    centre = ranked.groupBy("band").agg(F.max("company").alias("most"))
+    hubs = (
+        ranked.join(centre, "band")
+        .filter(F.col("company") == F.col("most"))
+        .groupBy("band")
+        .agg(F.min("vertex").alias("hub"))
+    )
+    members = staged(in_shared.select("band", "vertex").join(hubs, "band"), "members")
     candidates = staged(
         members.select("vertex").distinct().join(vertices.drop("bands"), "vertex"),
         "candidates",
@@ -226,16 +268,16 @@ def near_duplicates(
     grouped = members.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     still = grouped.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     still = still.filter("least < most").select("band")
-    rest = staged(
-        grouped.filter("vertex <> hub").join(still, "band").join(near, "vertex"),
-        "open-buckets",
-    )
+    rest = grouped.filter("vertex <> hub").join(still, "band").select("vertex", "label").distinct()
+    rare = staged(_rare_shingles(rest.join(near, "vertex"), sets, options), "rare")
+    most = F.least(F.col("x.n_shingles") - F.col("x.place"), F.col("y.n_shingles") - F.col("y.place"))
     across = (
-        rest.alias("x")
+        rare.alias("x")
         .join(
-            rest.alias("y"),
-            (F.col("x.band") == F.col("y.band"))
+            rare.alias("y"),
+            (F.col("x.shingle") == F.col("y.shingle"))
             & (F.col("x.label") < F.col("y.label"))
+            & _enough(most, F.col("x.n_shingles"), F.col("y.n_shingles"), options)
             & _worth_checking("x", "y", options),
         )
         .select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b"))
