@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from assayer.llm import language_id
 from assayer.llm.decontaminate import contaminated
 from assayer.llm.license_scan import scan_licenses
+from assayer.llm.frames import staged
 from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.near_dedup import NearDedup, near_duplicates
 from assayer.llm.quality_classifier import score, train
 from assayer.llm.quality_rules import quality_rules
 from assayer.llm.repeats import repeated_passages
 from assayer.llm.sentence_pieces import encode
+from assayer.llm.token_counts import TokenRollup, count_tokens, deletes, inserts, revisions
+from assayer.sources.workspace import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ANSWERS: dict[str, str] = {}
@@ -196,3 +199,18 @@ def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_licenses(_documents(spark, folder))
     return found.select("doc_id", "licence", "first_sentence", "last_sentence", F.concat_ws(", ", "sentences").alias("sentences"))
+
+
+@query
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents are loaded with an estimate, revised to exact counts (sent twice), and toxic ones deleted."""
+    docs = _documents(spark, folder)
+    toxic = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic = 1").select("doc_id")
+    counts = staged(count_tokens(docs).withColumn("estimate", F.ceil(F.col("n_chars") / 4)), "tokens")
+    rollup = TokenRollup(spark, new_folder(spark, "llm-rollup"))
+    rollup.commit("load", inserts(counts.withColumn("n_tokens", F.col("estimate"))))
+    for _ in range(2):
+        rollup.commit("exact counts", revisions(counts, "estimate"))
+    rollup.compact()
+    rollup.commit("take down", deletes(counts.join(toxic, "doc_id", "left_semi")))
+    return rollup.totals()
