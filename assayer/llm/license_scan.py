@@ -147,7 +147,7 @@ def _sentences(text: str) -> Iterator[str]:
         if not line:
             yield from flush()
             continue
-        parts = _END.split(line)
+        parts = [line] if _SPDX.fullmatch(line) else _END.split(line)
         if all(map(sentence_id, parts)):
             yield from flush()
             yield from parts

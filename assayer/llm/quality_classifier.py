@@ -106,14 +106,15 @@ def train(docs: DataFrame, labels: DataFrame, options: Classifier = Classifier()
     """
     pick = Window.partitionBy("label").orderBy("turn", "doc_id")
     chosen = (
-        labels.filter("label IN (0, 1) AND doc_id IS NOT NULL")
+        labels.select("doc_id", "label")
+        .filter("label IN (0, 1) AND doc_id IS NOT NULL")
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .withColumn("turn", F.xxhash64("doc_id"))
         .withColumn("nth", F.row_number().over(pick))
         .filter(F.col("nth") <= options.per_label)
     )
     # At most per_label ids for either label: small enough to send to every task.
-    sample = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "turn")
+    sample = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "turn")
     sample = sample.agg(F.min("text").alias("text")).withColumn("all", F.lit(1))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
