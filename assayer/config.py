@@ -32,9 +32,6 @@ class Config:
     concentration: float = 0.4
     min_cluster_rows: int = 1
     cluster_window_days: int = 7
-    cluster_min_year: int = 2000
-    max_category_columns: int = 5
-    max_date_columns: int = 2
     stale_days: int = 30
 
     # Impact.
@@ -50,8 +47,8 @@ class Config:
     distinct: str = "exact"  # or "approx"
     duplicates: str = "exact"  # or "fingerprint"
     quantile_accuracy: int = 10_000  # of approximate results and grouped searches
-    sketch_size: int = 32_768  # of the sketches that guide an exact search
-    quantile_values: int = 100_000  # most values one exact selection may hold
+    sketch_size: int = 8_192  # of the sketches that guide an exact search
+    quantile_values: int = 100_000  # values in an interval from which on it is narrowed further
     aggregates_per_pass: int = 240  # bounds the size of the generated code
     concurrent_scans: int = 3
 

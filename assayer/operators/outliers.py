@@ -41,14 +41,8 @@ def near_fences_apply(facts: ColumnFacts, spread: Spread, cfg: Config) -> bool:
 
 
 def date_columns(facts: Facts, cfg: Config) -> list[ColumnFacts]:
-    """The first date columns that outliers are placed on; date text before 2000 is not trusted."""
-    found = [
-        c
-        for c in facts.columns
-        if is_dated(c, cfg)
-        and (c.spec.kind == "time" or (c.first_time is not None and c.first_time.year >= cfg.cluster_min_year))
-    ]
-    return found[: cfg.max_date_columns]
+    """The date columns that outliers are placed on."""
+    return [c for c in facts.columns if is_dated(c, cfg)]
 
 
 def time_of(c: ColumnFacts) -> Column:
@@ -156,11 +150,11 @@ CATEGORY_CLUSTERS = (
 
 
 def outlier_categories(df: DataFrame, facts: Facts, spreads: dict[int, Spread], scan: OutlierScan, cfg: Config) -> DataFrame:
-    """Most frequent value of each leading text column among the far outliers of each column.
+    """Most frequent value of each text column among the far outliers of each column.
 
     Only outlier rows are spread over the text columns, and counted before the shuffle.
     """
-    texts = [c.spec for c in facts.columns if c.spec.kind == "text"][: cfg.max_category_columns]
+    texts = [c.spec for c in facts.columns if c.spec.kind == "text"]
     cells, any_far = [], None
     for o, found in scan.columns.items():
         c, s = facts.columns[o], spreads[o]

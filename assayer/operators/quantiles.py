@@ -1,10 +1,10 @@
 """Exact quantiles without sorting or collecting the data.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. Here that
-is used only for groups that are small. For the others each wanted rank is narrowed
-down: a sketch of bounded size proposes an interval around the rank, exact counts
-confirm it, and only the values inside go to the next step. With the default sketch an
-interval keeps about one value in 600, so a trillion rows take three rounds. A value
+Spark's ``percentile`` keeps every distinct value of a group in one task. Here each
+wanted rank is narrowed down: as long as its interval holds many values, a sketch of
+bounded size proposes a smaller one, exact counts confirm it, and only the values inside
+go to the next step; the few values left at last are ranked. With the default sketch an
+interval keeps about one value in 180, so a trillion rows take four rounds. A value
 held by very many rows ends the search as soon as it becomes the edge of an interval.
 The sketch is random, but it only proposes: the result is exact and repeatable.
 """
@@ -24,8 +24,10 @@ from assayer.operators.facts import one_row
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Sketches (about 1 MB each in a task) and value maps evaluated together in one scan.
+# Sketches (a few hundred KB each in a task) and value maps evaluated together in one scan.
 _SKETCHES = 32
+# Tasks that merge the sketches of a scan, before one task merges theirs.
+_BUCKETS = 64
 
 
 @dataclass
@@ -78,14 +80,9 @@ def exact_quantiles(
         )
         return {k: list(got[f"v{k}"]) for k in numbers}
 
-    small = {f"v{k}": F.percentile(F.col(f"v{k}"), list(fractions)) for k in numbers if counts[k] <= cfg.quantile_values}
-    got = one_row(base, small, _SKETCHES) if small else {}
-    out = {int(name[1:]): list(q) for name, q in got.items()}
-
     ranks = {
         (k, i): _Rank(k, i, counts[k])
         for k in numbers
-        if k not in out
         for f in fractions
         for i in _positions(f, counts[k])[:2]
     }
@@ -96,8 +93,8 @@ def exact_quantiles(
         _narrow(base, wide, cfg)
     _select(base, [r for r in ranks.values() if r.value is None], cfg)
 
-    for k in [k for k in numbers if k not in out]:
-        out[k] = []
+    out: dict[int, list[float]] = {k: [] for k in numbers}
+    for k in numbers:
         for f in fractions:
             i, j, d = _positions(f, counts[k])
             out[k].append(ranks[k, i].value * (1.0 - d) + ranks[k, j].value * d)
@@ -121,7 +118,10 @@ def _narrow(base: DataFrame, ranks: list[_Rank], cfg: Config) -> None:
     names = list(sketches)
     for i in range(0, len(names), _SKETCHES):
         part = names[i : i + _SKETCHES]
-        found = base.agg(*[sketches[n].alias(n) for n in part])
+        # Sketches of all tasks would meet in one task; they are merged in buckets first.
+        bucket = (F.spark_partition_id() % _BUCKETS).alias("bucket")
+        some = base.groupBy(bucket).agg(*[sketches[n].alias(n) for n in part])
+        found = some.agg(*[F.kll_merge_agg_double(n, F.lit(cfg.sketch_size)).alias(n) for n in part])
         at = [F.kll_sketch_get_quantile_double(n, F.array(*[F.lit(f) for f in wanted[n]])).alias(n) for n in part]
         edges |= found.select(*at).first().asDict()
 
@@ -189,28 +189,12 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Quantiles of ``value`` per group: one row per group with array column ``quantiles``.
 
-    Groups are not brought to one task each unless they are small. The search state
-    has a few rows per group and is written to the checkpoint folder after each round.
+    Only the few values left of a group are brought to one task. The search state has a
+    few rows per group and is written to the checkpoint folder after each round.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    sizes = data.groupBy(*keys).agg(F.count("v").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    small = data
-    parts = []
-    if largest is not None and largest > cfg.quantile_values:
-        sizes = sizes.checkpoint()
-        big = sizes.where(F.col("n") > cfg.quantile_values)
-        small = _join(data, sizes.where(F.col("n") <= cfg.quantile_values), keys).select(*keys, "v")
-        parts.append(_search_groups(data, big, keys, fractions, cfg))
-    wanted = [float(f) for f in fractions]
-    parts.insert(
-        0,
-        small.groupBy(*keys).agg(F.count("v").alias("n"), F.percentile("v", wanted).alias("quantiles")),
-    )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sizes = data.groupBy(*keys).agg(F.count("v").alias("n")).checkpoint()
+    return _search_groups(data, sizes, keys, fractions, cfg)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -220,11 +204,11 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 
 
 def _search_groups(
-    data: DataFrame, big: DataFrame, keys: list[str], fractions: tuple[float, ...], cfg: Config
+    data: DataFrame, sizes: DataFrame, keys: list[str], fractions: tuple[float, ...], cfg: Config
 ) -> DataFrame:
     position = F.col("fraction") * (F.col("n") - 1)
     base = (
-        big.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+        sizes.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
         .withColumn("lower", F.floor(position))
         .withColumn("upper", F.least(F.col("lower") + 1, F.col("n") - 1))
         .withColumn("share", position - F.col("lower"))

@@ -243,6 +243,12 @@ ANSWERS: dict[str, str] = {
     "column_distinct": f"WITH {ORDER_PROFILE} SELECT ordinal, name, unique_count, unique_pct FROM cols",
     "numeric_moments": f"WITH nums AS ({long_numbers('lineitem', LINEITEM_NUMBERS)}) SELECT name, {rounded('avg(x)', 4)} AS mean, {rounded('stddev_samp(x)', 4)} AS std, {rounded('min(x)', 4)} AS min, {rounded('max(x)', 4)} AS max FROM nums GROUP BY name",
     "numeric_quartiles": f"WITH nums AS ({long_numbers('lineitem', LINEITEM_NUMBERS)}) SELECT name, {rounded('quantile_cont(x, 0.25)', 4)} AS q1, {rounded('quantile_cont(x, 0.5)', 4)} AS median, {rounded('quantile_cont(x, 0.75)', 4)} AS q3 FROM nums GROUP BY name",
+    "segment_quartiles_search": f"""WITH {DIRTY_EVENTS}
+        SELECT event_type, count(*) AS n, {rounded('quantile_cont(value, 0.25)', 4)} AS q1, {rounded('quantile_cont(value, 0.5)', 4)} AS median,
+          {rounded('quantile_cont(value, 0.75)', 4)} AS q3 FROM dirty_events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type""",
+    "category_outlier_wide": """SELECT 'amount' AS name, found, top_value, count(*) AS outlier_count FROM orders,
+          (VALUES (0, 'text_5', 'culprit'), (1, 'day_2', '1995-06-01'), (2, 'day_2', '1995-06-01')) AS v(kind, found, top_value)
+          WHERE o_orderkey % 97 < 4 GROUP BY kind, found, top_value""",
     "outlier_count": f"""WITH {DIRTY_EVENTS}, ln AS ({long_numbers('lineitem', LINEITEM_NUMBERS)}), {number_stats('ln', 'l')},
         en AS ({long_numbers('dirty_events', EVENT_NUMBERS)}), {number_stats('en', 'e')}
         SELECT 'lineitem' AS table_name, name, near AS outlier_count, {pct('near', '(SELECT count(*) FROM lineitem)')} AS outlier_pct FROM l_o
@@ -427,6 +433,7 @@ ANSWERS: dict[str, str] = {
     "daily_quality": _EVENT_QUARTILES + " " + _DAILY.format(fence=_fence("value", "1.5"), source="dirty_events"),
     "daily_quality_stream": "WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events), days AS ("
     + _DAILY.format(fence=_fence("value", "1.5"), source="events")
-    + ") SELECT * FROM days WHERE day_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    + ") SELECT * FROM days",
     "idempotent_ingest_stream": "SELECT * FROM events",
 }
+ANSWERS["quartiles_search"] = ANSWERS["numeric_quartiles"]

@@ -238,13 +238,13 @@ date_clusters AS (
   HAVING floor((epoch_us(max(order_ts)) - epoch_us(min(order_ts)))/86400000000::DOUBLE) <= 7),
 cat_cells AS ({union(
     f"SELECT ordinal, name, {p} AS category_ordinal, '{m}' AS category_column, {m} AS v FROM far_rows WHERE ordinal <> {p}"
-    for p, m, _ in ORDER_TEXTS[:5])}),
+    for p, m, _ in ORDER_TEXTS)}),
 cat_counts AS (SELECT ordinal, name, category_ordinal, category_column, v, count(*)::BIGINT AS n FROM cat_cells
   WHERE v IS NOT NULL GROUP BY ALL),
 cat_top AS (SELECT * FROM cat_counts QUALIFY row_number() OVER (PARTITION BY ordinal, category_ordinal ORDER BY n DESC, v) = 1),
 cat_base AS ({union(
     f"SELECT {p} AS category_ordinal, {m} AS v, count(*)::BIGINT AS base_count FROM dirty_orders GROUP BY {m}"
-    for p, m, _ in ORDER_TEXTS[:5])}),
+    for p, m, _ in ORDER_TEXTS)}),
 category_clusters AS (
   SELECT t.ordinal, t.name, t.category_ordinal, t.category_column, t.v AS top_value, t.n AS outlier_count,
     {rounded("t.n/c.outlier_count::DOUBLE*100::DOUBLE", 1)} AS concentration_pct, b.base_count

@@ -21,6 +21,7 @@ from assayer.operators.facts import gather_facts
 from assayer.operators.impact import downstream_risks, exposure, outlier_exposure
 from assayer.operators.issues import correlated_columns
 from assayer.operators.profile import TableProfile
+from assayer.operators.quantiles import QUARTILES, grouped_quantiles
 from assayer.operators.score import quality_score
 from assayer.operators.small import small_frame
 from assayer.plans.fixtures import dirty_events, dirty_orders, table
@@ -351,6 +352,23 @@ def numeric_quartiles_approx(spark, folder):
     return _quartiles(_numbers(spark, folder, Config(as_of=ORDERS_AS_OF, quantiles="approx")))
 
 
+@query
+def quartiles_search(spark, folder):
+    """The quartiles again, narrowed down in several rounds."""
+    narrow = Config(as_of=ORDERS_AS_OF, quantile_values=50, sketch_size=64)
+    return _quartiles(_numbers(spark, folder, narrow))
+
+
+@query
+def segment_quartiles_search(spark, folder):
+    """Quartiles of each event type, narrowed down in several rounds."""
+    df = dirty_events(spark, folder).select("event_type", F.nanvl("value", F.lit(None).cast("double")).alias("x"))
+    narrow = Config(quantile_values=50, quantile_accuracy=100)
+    found = grouped_quantiles(df, ["event_type"], "x", QUARTILES, narrow)
+    at = F.col("quantiles")
+    return found.select("event_type", "n", *[round_half_up(at[i], 4).alias(q) for i, q in enumerate(("q1", "median", "q3"))])
+
+
 @query
 def outlier_count(spark, folder):
     parts = []
@@ -558,6 +576,29 @@ def category_outlier_concentration(spark, folder):
     return p.category_clusters.join(_names(p), "ordinal").drop("ordinal", "category_ordinal")
 
 
+@query
+def category_outlier_wide(spark, folder):
+    """The culprit is the sixth text column, and the outliers' dates are in the third date column, of 1995."""
+    k = F.col("o_orderkey")
+    bad = k % 97 < 4
+    plain = [F.concat(F.lit(f"t{i}-"), (k * 7 + i).cast("string")).alias(f"text_{i}") for i in range(5)]
+    old = F.date_add(F.lit("1995-01-01").cast("date"), (k % 3000).cast("int"))
+    df = table(spark, folder, "orders").select(
+        *plain,
+        F.when(bad, "culprit").otherwise(F.concat(F.lit("fine "), (k % 5).cast("string"))).alias("text_5"),
+        F.when(bad, F.col("o_totalprice") + 5000000).otherwise(F.col("o_totalprice")).alias("amount"),
+        old.alias("day_0"),
+        old.cast("string").alias("day_1"),
+        F.when(bad, "1995-06-01").otherwise(old.cast("string")).alias("day_2"),
+    )
+    p = TableProfile(df, ORDERS)
+    category = p.category_clusters.select("ordinal", F.col("category_column").alias("found"), "top_value", "outlier_count")
+    date = p.date_clusters.select(
+        "ordinal", F.col("date_column").alias("found"), F.col("from_date").cast("string"), "outlier_count_in_window"
+    )
+    return category.union(date).join(_names(p), "ordinal").drop("ordinal")
+
+
 @query
 def date_outlier_cluster(spark, folder):
     p = _profile(spark, folder)
@@ -1010,14 +1051,18 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 def daily_quality_stream(spark, folder):
     history = remediate.spread_of(table(spark, folder, "events"), "value", EVENTS)
     days = stream.daily_quality(_event_stream(spark, folder), "ts", _value(), history)
-    return stream.run_to_end(days, "daily-quality")
+    output = new_folder(spark, "daily-quality")
+    stream.update_days(days, output, f"{output}-progress")
+    return stream.read_days(spark, output)
 
 
 @query
 def idempotent_ingest_stream(spark, folder):
     events = _event_stream(spark, folder)
     replayed = events.unionByName(events.where(F.col("event_id") % 41 < 2))
-    return stream.run_to_end(stream.first_arrivals(replayed, ["event_id"], "ts"), "first-arrivals")
+    output = new_folder(spark, "first-arrivals")
+    stream.ingest_once(replayed, ["event_id"], output, f"{output}-progress")
+    return stream.read_ingested(spark, output)
 
 
 def prepare(spark: SparkSession) -> None:

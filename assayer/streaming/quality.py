@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.numbers import count_where, outside_fences
 from assayer.operators.outliers import Spread
-from assayer.sources.workspace import new_folder
 
 
 def read_growing_table(spark: SparkSession, folder: str, like: DataFrame, files: str = "*.parquet") -> DataFrame:
@@ -16,17 +17,17 @@ def read_growing_table(spark: SparkSession, folder: str, like: DataFrame, files:
 
 
 def daily_quality(
-    events: DataFrame, time: str, value: Column, spread: Spread, factor: float = 1.5, late: str = "1 hour"
+    events: DataFrame, time: str, value: Column, spread: Spread, factor: float = 1.5
 ) -> DataFrame:
     """Rows, missing values and fence violations per day, for batch and stream alike.
 
     The fences come from history, so that a window does not need its own quartiles. The
-    state holds one row per open day.
+    state holds one row per day. There is no watermark: a day can be corrected at any time
+    and no late row is dropped.
     """
     x = F.when(~F.isnan(value.cast("double")), value.cast("double"))
     return (
         events.select(F.col(time).cast("timestamp").alias("at"), x.alias("x"))
-        .withWatermark("at", late)
         .groupBy(F.window("at", "1 day").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("row_count"),
@@ -43,27 +44,58 @@ def daily_quality(
     )
 
 
-def first_arrivals(events: DataFrame, keys: list[str], time: str, late: str = "1 hour") -> DataFrame:
-    """Drop repeated deliveries of an event; keys are remembered for as long as ``late``."""
-    at = F.col(time).cast("timestamp")
-    return events.withColumn("__at", at).withWatermark("__at", late).dropDuplicatesWithinWatermark(keys).drop("__at")
-
-
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """Process all data that is there now into a new parquet folder, and read it.
-
-    Files and progress are kept in the checkpoint root, so a restarted job goes on where
-    it stopped and writes no row twice.
-    """
-    spark = stream.sparkSession
-    out, progress = new_folder(spark, name), new_folder(spark, f"{name}-progress")
+def _run(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], progress: str) -> None:
+    """Process all data that is there now; ``progress`` remembers what has been done."""
     query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(write)
         .option("checkpointLocation", progress)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+
+
+def update_days(days: DataFrame, output: str, progress: str) -> None:
+    """Write the days that new data changes, each batch to a folder of its own.
+
+    A batch that is repeated after a failure replaces its folder. Call it again with the same folders
+    when more files have come; ``output`` and ``progress`` belong together.
+    """
+    _run(days, "update", lambda batch, n: batch.write.mode("overwrite").parquet(f"{output}/batch={n}"), progress)
+
+
+def read_days(spark: SparkSession, output: str) -> DataFrame:
+    """Each day as the last batch that changed it left it."""
+    days = spark.read.parquet(output)
+    columns = [c for c in days.columns if c != "batch"]
+    latest = F.max_by(F.struct(*columns), "batch").alias("day")
+    return days.groupBy("day_start").agg(latest).select("day.*")
+
+
+def ingest_once(stream: DataFrame, keys: list[str], output: str, progress: str) -> None:
+    """Append the rows whose keys ``output`` does not hold yet, however late or often they are delivered.
+
+    Every batch drops its own repetitions and those of rows written before, and goes to a folder of its
+    own, which it replaces if it is repeated after a failure. Only the keys written so far are read. Call it
+    again with the same folders when more files have come; ``output`` and ``progress`` belong together.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if n:
+            written = batch.sparkSession.read.schema(f"{_ddl(batch)}, batch bigint").parquet(output)
+            written = written.where(F.col("batch") < n).select(*[F.col(k).alias(f"__{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            new = new.join(written, same, "left_anti")
+        new.write.mode("overwrite").parquet(f"{output}/batch={n}")
+
+    _run(stream, "append", write, progress)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
+def read_ingested(spark: SparkSession, output: str) -> DataFrame:
+    return spark.read.parquet(output).drop("batch")

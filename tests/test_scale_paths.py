@@ -10,7 +10,7 @@ from assayer.operators.quantiles import exact_quantiles, grouped_quantiles
 from assayer.operators.remediate import segment_outliers
 from assayer.plans.fixtures import dirty_orders
 from assayer.sources.workspace import checkpoint_root, new_folder
-from assayer.streaming.quality import daily_quality, first_arrivals, read_growing_table, run_to_end
+from assayer.streaming.quality import daily_quality, ingest_once, read_days, read_growing_table, read_ingested, update_days
 
 FRACTIONS = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
 # So small that every quantile needs several rounds of narrowing.
@@ -98,26 +98,34 @@ def test_approximate_profile_is_close(spark, folder):
 
 
 def test_stream_equals_batch(spark, folder):
+    """Files in two runs, the second with late rows of days that were written before."""
     from assayer.plans.fixtures import dirty_events
 
-    path = new_folder(spark, "events-in")
-    events = dirty_events(spark, folder).orderBy("ts").coalesce(1)
-    events.write.option("maxRecordsPerFile", 300).parquet(path)
+    path, output = new_folder(spark, "events-in"), new_folder(spark, "days")
+    events = dirty_events(spark, folder)
     spread = Spread(14.0, 35.0, 70.0)
-    batch = daily_quality(spark.read.parquet(path), "ts", F.col("value"), spread)
-    live = run_to_end(daily_quality(read_growing_table(spark, path, events), "ts", F.col("value"), spread), "days")
-    last = batch.agg(F.max("day_start")).first()[0]
-    assert sorted(live.collect()) == sorted(batch.where(F.col("day_start") < last).collect())
+    for late in (False, True):
+        part = events.where((F.col("event_id") % 7 == 0) == late)
+        part.orderBy("ts").coalesce(1).write.mode("append").option("maxRecordsPerFile", 300).parquet(path)
+        days = daily_quality(read_growing_table(spark, path, events), "ts", F.col("value"), spread)
+        update_days(days, output, f"{output}-progress")
+        batch = daily_quality(spark.read.parquet(path), "ts", F.col("value"), spread)
+        assert sorted(read_days(spark, output).collect()) == sorted(batch.collect())
+    update_days(days, output, f"{output}-progress")  # nothing new
+    assert sorted(read_days(spark, output).collect()) == sorted(batch.collect())
 
 
 def test_replayed_input_is_kept_once(spark, folder):
+    """Run, add new and repeated files, run again: no row twice and none missing."""
     from assayer.plans.fixtures import table
 
-    path = new_folder(spark, "replay")
-    events = table(spark, folder, "events").limit(200)
-    events.unionByName(events).unionByName(events.where("event_id % 3 = 0")).repartition(4).write.parquet(path)
-    kept = run_to_end(first_arrivals(read_growing_table(spark, path, events), ["event_id"], "ts", "60 days"), "kept")
-    assert sorted(kept.collect()) == sorted(events.collect())
+    path, output = new_folder(spark, "replay"), new_folder(spark, "kept")
+    events = table(spark, folder, "events").limit(200).cache()
+    for part in ("event_id % 2 = 0", "event_id % 3 = 0", "true", "false"):
+        some = events.where(part)
+        some.unionByName(some.where("event_id % 5 = 0")).repartition(3).write.mode("append").parquet(path)
+        ingest_once(read_growing_table(spark, path, events), ["event_id"], output, f"{output}-progress")
+    assert sorted(read_ingested(spark, output).collect()) == sorted(events.collect())
 
 
 def test_work_folder_is_the_configured_one(spark):
