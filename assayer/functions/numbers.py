@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # also takes "1d" and "0x1p3".
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
+
 _LONG_SAFE = 9.0e18
 
 

@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted layouts, tried in this order, one per column: format, length of
-# the text, pattern. Length and pattern keep text that cannot fit away from the parser.
+_CLOCK = r"\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+_OFFSET = r"(Z|[+-]\d{2}:\d{2})$"
+
+# Accepted layouts, tried in this order, one per column: format, least and
+# largest length of the text, pattern. Length and pattern keep text that cannot fit away
+# from the parser. Parts in brackets may be absent.
 TIME_FORMATS = (
-    ("yyyy-MM-dd", 10, r"^\d{4}-\d{2}-\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss", 19, r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss.SSSSSS", 26, r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", 19, r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
-    ("yyyy/MM/dd", 10, r"^\d{4}/\d{2}/\d{2}$"),
-    ("MM/dd/yyyy", 10, r"^\d{2}/\d{2}/\d{4}$"),
-    ("dd-MM-yyyy", 10, r"^\d{2}-\d{2}-\d{4}$"),
+    ("yyyy-MM-dd", 10, 10, r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", 19, 19, r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd HH:mm[:ss][.SSSSSSSSS]", 16, 29, rf"^\d{{4}}-\d{{2}}-\d{{2}} {_CLOCK}$"),
+    ("yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS][XXX]", 16, 35, rf"^\d{{4}}-\d{{2}}-\d{{2}}T{_CLOCK}(Z|[+-]\d{{2}}:\d{{2}})?$"),
+    ("yyyy/MM/dd", 10, 10, r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM/dd/yyyy", 10, 10, r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd/MM/yyyy", 10, 10, r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd-MM-yyyy", 10, 10, r"^\d{2}-\d{2}-\d{4}$"),
+    ("d MMM yyyy", 10, 11, r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"),
 )
 
 SECONDS_PER_DAY = 86_400
 
 
 def text_to_time(c: Column, layout: int) -> Column:
-    fmt, length, guard = TIME_FORMATS[layout]
-    fits = (F.length(c) == length) & c.rlike(guard)
-    return F.when(fits, F.try_to_timestamp(c, F.lit(fmt))).cast("timestamp_ntz")
+    """Time held by a string in one of the layouts, in UTC if it names an offset, without a zone."""
+    fmt, shortest, longest, guard = TIME_FORMATS[layout]
+    fits = F.length(c).between(shortest, longest) & c.rlike(guard)
+    t = F.when(fits, F.try_to_timestamp(c, F.lit(fmt)))
+    if "XXX" in fmt:
+        return F.when(c.rlike(_OFFSET), to_naive_utc(t, "timestamp")).otherwise(t.cast("timestamp_ntz"))
+    return t.cast("timestamp_ntz")
 
 
 def to_naive_utc(c: Column, dtype: str) -> Column:

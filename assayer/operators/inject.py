@@ -20,7 +20,8 @@ SPREAD, STEP, RESOLUTION = 7919, 104729, 1000
 
 def hit(key: str, rate: float, salt: int = 0) -> Column:
     """True for about ``rate`` of the keys; other salts hit other keys."""
-    mixed = (quoted(key).cast("bigint") * SPREAD + salt * STEP) % RESOLUTION
+    place = F.pmod(quoted(key).cast("bigint"), F.lit(RESOLUTION))  # small, so the product cannot overflow
+    mixed = F.pmod(place * SPREAD + salt * STEP, F.lit(RESOLUTION))
     return mixed < int(rate * RESOLUTION)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.config import Config
-from assayer.functions.numbers import count_where, outside_fences, percent, text_to_number
+from assayer.functions.numbers import INTEGER_PATTERN, count_where, outside_fences, percent, text_to_number
 from assayer.functions.texts import strip
 from assayer.functions.times import whole_days
 from assayer.operators.columns import column_specs, quoted
@@ -18,6 +18,8 @@ from assayer.operators.outliers import Spread
 from assayer.operators.quantiles import QUARTILES, exact_quantiles, grouped_quantiles
 from assayer.operators.values import value_counts
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
 
 def _spec(df: DataFrame, column: str):
     return next(s for s in column_specs(df) if s.name == column)
@@ -101,7 +103,10 @@ def standardise(df: DataFrame, casts: Mapping[str, str | None], lower: Sequence[
         if column in lower:
             c = F.lower(c)
         if target:
-            c = text_to_number(c).try_cast(target) if target in ("double", "bigint", "int") else c.try_cast(target)
+            if target in INTEGERS:  # never through double, which would lose digits
+                c = F.when(c.rlike(INTEGER_PATTERN), c.try_cast(target))
+            else:
+                c = text_to_number(c) if target == "double" else c.try_cast(target)
         out[column] = c
     return df.withColumns(out)
 
@@ -127,13 +132,12 @@ def schema_contract(df: DataFrame, contract: Mapping[str, str]) -> DataFrame:
     A column that the table lacks fails on every row.
     """
     specs = {s.name: s for s in column_specs(df)}
-    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
-
     def fits(name: str, expected: str):
         c = quoted(name)
-        if specs[name].kind == "text" and expected in numeric:
-            x = text_to_number(c)
-            return x.isNotNull() & (x == F.floor(x)) if expected not in ("float", "double") else x.isNotNull()
+        if specs[name].kind == "text" and expected in INTEGERS:
+            return c.rlike(INTEGER_PATTERN) & c.try_cast(expected).isNotNull()
+        if specs[name].kind == "text" and expected in ("float", "double"):
+            return text_to_number(c).isNotNull()
         return c.try_cast(expected).isNotNull()
 
     counts = df.agg(

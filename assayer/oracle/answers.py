@@ -437,3 +437,27 @@ ANSWERS: dict[str, str] = {
     "idempotent_ingest_stream": "SELECT * FROM events",
 }
 ANSWERS["quartiles_search"] = ANSWERS["numeric_quartiles"]
+ANSWERS["datetime_layouts"] = union(
+    f"SELECT '{name}' AS name, count(*) AS parsed_count, min(t) AS first_time, max(t) AS last_time FROM (SELECT {t} AS t FROM orders)"
+    for name, t in (
+        ("day_first", "date_trunc('day', o_orderdate)"),
+        ("month_name", "date_trunc('day', o_orderdate)"),
+        ("minutes", "date_trunc('minute', o_orderdate)"),
+        ("millis", "date_trunc('second', o_orderdate) + INTERVAL 123 MILLISECOND"),
+        ("nanos", "date_trunc('second', o_orderdate) + INTERVAL 123456 MICROSECOND"),
+        ("zulu", "date_trunc('second', o_orderdate)"),
+        ("offset", "date_trunc('millisecond', o_orderdate) - INTERVAL 330 MINUTE"),
+    )
+)
+ANSWERS["exact_integers"] = """SELECT 1000000000000000000 + o_orderkey AS id19, '7' || lpad(o_orderkey::VARCHAR, 24, '0') AS id25,
+  CASE WHEN o_orderkey % 9 <> 0 THEN 9007199254740993 END AS cast_mixed, 'bigint, decimal(38,0), string' AS kinds FROM orders"""
+ANSWERS["integer_contract"] = union(
+    f"SELECT '{c}' AS column, '{t}' AS expected, 'string' AS actual, ({n})::BIGINT AS failed_rows, {pct(n, 'count(*)')} AS failed_pct FROM orders"
+    for c, t, n in (
+        ("id19", "int", "count(*)"),
+        ("id25", "bigint", "count(*)"),
+        ("mixed", "bigint", "count(*) FILTER (WHERE o_orderkey % 9 = 0)"),
+    )
+)
+ANSWERS["inject_any_key"] = """WITH k AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN -o_orderkey ELSE o_orderkey + 9000000000000000000 END AS key, o_orderstatus FROM orders)
+  SELECT key, CASE WHEN (((key % 1000 + 1000) % 1000) * 7919 + 3 * 104729) % 1000 >= 200 THEN o_orderstatus END AS o_orderstatus FROM k"""

@@ -159,6 +159,59 @@ def datetime_coercion_ratio(spark, folder):
     return out.withColumn("parsed_ratio", round_half_up(F.col("parsed_count") / F.col("total_rows"), 4))
 
 
+@query
+def datetime_layouts(spark, folder):
+    """Texts of one time in layouts that files often hold."""
+    t = F.col("o_orderdate").cast("timestamp")
+    df = table(spark, folder, "orders").select(
+        F.date_format(t, "dd/MM/yyyy").alias("day_first"),
+        F.date_format(t, "d MMM yyyy").alias("month_name"),
+        F.date_format(t, "yyyy-MM-dd HH:mm").alias("minutes"),
+        F.concat(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.lit(".123")).alias("millis"),
+        F.concat(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.lit(".123456789")).alias("nanos"),
+        F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("zulu"),
+        F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+05:30")).alias("offset"),
+    )
+    rows = [
+        {"name": c.spec.name, "parsed_count": c.timed, "first_time": c.first_time, "last_time": c.last_time}
+        for c in gather_facts(df, ORDERS).columns
+    ]
+    return small_frame(spark, rows, "name string, parsed_count bigint, first_time timestamp_ntz, last_time timestamp_ntz")
+
+
+def _long_numbers(spark, folder) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    return table(spark, folder, "orders").select(
+        F.concat(F.lit("1"), F.lpad(key, 18, "0")).alias("id19"),
+        F.concat(F.lit("7"), F.lpad(key, 24, "0")).alias("id25"),
+        F.when(F.col("o_orderkey") % 9 == 0, "3.7").otherwise("9007199254740993").alias("mixed"),
+    )
+
+
+@query
+def exact_integers(spark, folder):
+    """Inferred types and casts that keep every digit."""
+    df = src.infer_types(_long_numbers(spark, folder))
+    kinds = F.lit(", ".join(kind for _, kind in df.dtypes)).alias("kinds")
+    df = remediate.standardise(df, {"mixed": "bigint"})
+    return df.select("id19", F.col("id25").cast("string").alias("id25"), F.col("mixed").alias("cast_mixed"), kinds)
+
+
+@query
+def integer_contract(spark, folder):
+    return remediate.schema_contract(
+        _long_numbers(spark, folder), {"id19": "int", "id25": "bigint", "mixed": "bigint"}
+    )
+
+
+@query
+def inject_any_key(spark, folder):
+    """Defects hit by negative and very large keys."""
+    k = F.col("o_orderkey")
+    key = F.when(k % 2 == 0, -k).otherwise(k + 9_000_000_000_000_000_000).alias("key")
+    return inject.missing(table(spark, folder, "orders").select(key, "o_orderstatus"), "o_orderstatus", inject.hit("key", 0.2, 3))
+
+
 @query
 def outlier_rows_15(spark, folder):
     df = dirty_events(spark, folder)

@@ -170,7 +170,7 @@ class QualityReport:
             ).alias("root_cause"),
             F.struct(
                 "executive_summary", "total_monetary_exposure", "currency_symbol", "total_affected_rows",
-                F.col("summed_affected_pct").alias("unique_affected_pct"), _or_empty("estimates"),
+                "summed_affected_pct", _or_empty("estimates"),
             ).alias("impact"),
             F.struct("remediation_plan", "estimated_score_lift", _or_empty("items")).alias("recommendations"),
         )
