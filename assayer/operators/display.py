@@ -86,14 +86,14 @@ def category_bars(column_profile: DataFrame) -> DataFrame:
 
 def dimension_breakdown(score: DataFrame) -> DataFrame:
     notes = {
-        "completeness": F.lit("100 − % missing cells across all columns"),
-        "validity": F.lit("100 − % outlier rows (IQR × 1.5 method)"),
-        "uniqueness": F.lit("100 − % fully duplicate rows"),
-        "consistency": F.lit("Format anomaly penalty across string columns"),
+        "completeness": F.lit("share of cells that hold a value"),
+        "validity": F.lit("share of rows inside the near fences"),
+        "uniqueness": F.lit("share of rows that are no copy"),
+        "consistency": F.lit("less the share of ill-formed texts"),
         "freshness": F.format_string(
-            "Data age: %dd · Status: %s", F.coalesce("freshness_days", F.lit(0.0)).cast("bigint"), F.col("freshness_flag")
+            "newest record %d days old: %s", F.coalesce("freshness_days", F.lit(0.0)).cast("bigint"), F.col("freshness_flag")
         ),
-        "schema": F.format_string("%d structural issue(s) detected", F.col("schema_issue_count")),
+        "schema": F.format_string("%d faults of the schema", F.col("schema_issue_count")),
     }
     rows = [
         F.struct(

@@ -28,7 +28,8 @@ def co_missing(df: DataFrame, missing: list[tuple[ColumnSpec, int]], askers: lis
 
     ``missing`` lists the columns with missing rows and how many. The scan ends in one
     row per combination of missing columns; each combination is then spread over its
-    askers and summed into one row per asker, one column per other column.
+    pairs of an asker and another missing column, which are summed before they are shuffled.
+    The pairs stay distributed; whoever collects them filters them first.
     """
     specs = [s for s, _ in missing]
     count = {s.ordinal: n for s, n in missing}
@@ -40,25 +41,28 @@ def co_missing(df: DataFrame, missing: list[tuple[ColumnSpec, int]], askers: lis
         return (F.col(f"m{i // _BITS}").bitwiseAND(F.lit(1 << (i % _BITS)).cast("bigint"))) != 0
 
     at = {s.ordinal: i for i, s in enumerate(specs)}
-    hits = F.array_compact(F.array(*[F.when(bit(at[o]), F.lit(o)) for o in askers]))
+    def hits(ordinals: list[int]):
+        return F.array_compact(F.array(*[F.when(bit(at[o]), F.lit(o)) for o in ordinals]))
+
+    patterns = missing_patterns(df, specs).select("n", hits(askers).alias("asking"), hits(list(at)).alias("others"))
     sums = (
-        missing_patterns(df, specs)
-        .withColumn("ordinal", F.explode(hits))
-        .groupBy("ordinal")
-        .agg(*[F.sum(F.when(bit(at[s.ordinal]), F.col("n")).otherwise(F.lit(0))).alias(str(s.ordinal)) for s in specs])
+        patterns.where(F.size("asking") > 0)
+        .withColumn("ordinal", F.explode("asking"))
+        .withColumn("other", F.explode("others"))
+        .where(F.col("other") != F.col("ordinal"))
+        .groupBy("ordinal", "other")
+        .agg(F.sum("n").alias("both"))
     )
     own = F.element_at(F.create_map(*[F.lit(x) for o in count for x in (o, count[o])]), F.col("ordinal"))
     other = F.element_at(F.create_map(*[F.lit(x) for o in count for x in (o, count[o])]), F.col("other"))
     union = own + other - F.col("both")
-    return (
-        sums.unpivot(["ordinal"], [str(s.ordinal) for s in specs], "other", "both")
-        .withColumn("other", F.col("other").cast("int"))
-        .where(F.col("other") != F.col("ordinal"))
-        .select(
-            "ordinal",
-            "other",
-            F.col("both").cast("bigint").alias("both"),
-            union.cast("bigint").alias("any"),
-            (F.col("both") / union).alias("jaccard"),
-        )
+    some = lambda ordinals: F.explode(F.array(*[F.lit(o) for o in ordinals]))
+    pairs = spark.range(1).select(some(askers).alias("ordinal")).select("ordinal", some(at).alias("other"))
+    pairs = pairs.where(F.col("other") != F.col("ordinal")).join(sums, ["ordinal", "other"], "left")
+    return pairs.fillna(0, ["both"]).select(
+        "ordinal",
+        "other",
+        F.col("both").cast("bigint").alias("both"),
+        union.cast("bigint").alias("any"),
+        (F.col("both") / union).alias("jaccard"),
     )

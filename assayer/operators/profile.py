@@ -129,10 +129,15 @@ class TableProfile:
 
     @cached_property
     def overlaps(self) -> DataFrame:
-        """(ordinal, other, both, any, jaccard) for columns with a missing-value issue."""
+        """(ordinal, other, both, any, jaccard) for columns with a missing-value issue; not evaluated yet."""
         missing = [(c.spec, c.missing) for c in self.columns if c.missing]
         askers = [c.spec.ordinal for c in self.columns if self.missing_pct(c) >= self.cfg.missing_issue_pct]
-        return settle(co_missing(self.df, missing, askers))
+        return co_missing(self.df, missing, askers)
+
+    @cached_property
+    def strong_overlaps(self) -> DataFrame:
+        """The overlaps that reports name."""
+        return settle(self.overlaps.where(F.col("jaccard") >= self.cfg.jaccard))
 
     @cached_property
     def date_clusters(self) -> DataFrame:
@@ -149,7 +154,7 @@ class TableProfile:
             lambda: (self.outliers, self.category_clusters),
             lambda: self.value_summary,
             lambda: self.duplicates,
-            lambda: self.overlaps,
+            lambda: self.strong_overlaps,
         ]
         if self.cfg.distinct == "exact":
             scans.append(lambda: self.other_distinct)

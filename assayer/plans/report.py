@@ -44,7 +44,7 @@ class QualityReport:
     @cached_property
     def issues(self) -> DataFrame:
         p = self.profile.gather()
-        found = iss.missing_issues(p.column_profile, p.overlaps, self.cfg)
+        found = iss.missing_issues(p.column_profile, p.strong_overlaps, self.cfg)
         for more in (
             iss.outlier_issues(p.column_profile, p.category_clusters, p.date_clusters),
             iss.format_issues(p.column_profile),
