@@ -170,6 +170,22 @@ def gather_facts(df: DataFrame, cfg: Config, repeated_names: list[str] | None =
     return Facts(rows, columns, repeated_names or [])
 
 
+def missing_counts(df: DataFrame) -> DataFrame:
+    """(ordinal, name, missing_count, total_rows) from one flat aggregate that parses nothing; not evaluated yet."""
+    specs = column_specs(df)
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(s.value).alias(f"c{s.ordinal}") for s in specs])
+    rows = [
+        F.struct(
+            F.lit(s.ordinal).alias("ordinal"),
+            F.lit(s.name).alias("name"),
+            (F.col("rows") - F.col(f"c{s.ordinal}")).alias("missing_count"),
+            F.col("rows").alias("total_rows"),
+        )
+        for s in specs
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def _share(part: int, facts: ColumnFacts, cfg: Config) -> float:
     base = facts.present if cfg.ratio_base == "non_null" else facts.rows
     return part / base if base else 0.0

@@ -14,7 +14,7 @@ from assayer.config import Config
 from assayer.functions.numbers import percent, round_half_up
 from assayer.functions.times import whole_days
 from assayer.operators import facts as roles
-from assayer.operators.columns import VALUE_WORDS, currency_of, distinct_names, name_has
+from assayer.operators.columns import VALUE_WORDS, column_specs, currency_of, distinct_names, name_has, quoted
 from assayer.operators.duplicates import duplicate_rows
 from assayer.operators.facts import ColumnFacts, Facts, gather_facts
 from assayer.operators.missingness import co_missing
@@ -269,9 +269,15 @@ class TableProfile:
         return settle(out.select(*PROFILE_COLUMNS, "total_rows").orderBy("ordinal"))
 
     def _latest(self) -> dict:
-        latest = [c.last_time for c in self.columns if roles.is_dated(c, self.cfg) and c.last_time is not None]
+        columns = self.columns if "facts" in self.__dict__ else self._time_columns()
+        latest = [c.last_time for c in columns if roles.is_dated(c, self.cfg) and c.last_time is not None]
         return {"latest": max(latest, default=None), "as_of": self.cfg.reference_time()}
 
+    def _time_columns(self) -> list[ColumnFacts]:
+        """Facts of the columns that can hold times, if the full scan has not been made."""
+        names = [quoted(s.name) for s in column_specs(self.df) if s.kind in ("time", "text")]
+        return gather_facts(self.df.select(*names), self.cfg).columns if names else []
+
     def freshness(self) -> DataFrame:
         """One row: latest time over all date columns, its age in days and a flag."""
         return with_age(small_frame(self.spark, [self._latest()], "latest timestamp_ntz, as_of timestamp_ntz"), self.cfg)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from assayer.functions.grades import VERDICTS
-from assayer.functions.texts import MISSING_TOKENS, OFF_TOPIC_PHRASES
-from assayer.operators.columns import VALUE_WORDS
-from assayer.operators.wording import RISKS
 from assayer.oracle.parts import (
     ACTIONS,
     CLUSTERS,
@@ -28,6 +24,7 @@ from assayer.oracle.parts import (
     severity,
     union,
 )
+from assayer.oracle.values import MISSING_TOKENS, OFF_TOPIC_PHRASES, RISKS, VALUE_WORDS, VERDICTS
 
 LINEITEM_NUMBERS = [
     (i, n, f"{n}::DOUBLE")
@@ -162,10 +159,10 @@ _LATEST_ORDER = ", ".join(
 )
 
 
-def _contract(column: str, expected: str, failed: str) -> str:
+def _contract(column: str, expected: str, actual: str, failed: str) -> str:
     return (
-        f"SELECT '{column}' AS \"column\", '{expected}' AS expected, ({failed})::BIGINT AS failed_rows, {pct(failed, 'count(*)')} AS failed_pct "
-        "FROM dirty_orders"
+        f"SELECT '{column}' AS \"column\", '{expected}' AS expected, '{actual}' AS actual, ({failed})::BIGINT AS failed_rows, "
+        f"{pct(failed, 'count(*)')} AS failed_pct FROM dirty_orders"
     )
 
 
@@ -382,23 +379,23 @@ ANSWERS: dict[str, str] = {
     "rule_not_null": f"WITH {DIRTY_ORDERS} " + union(_rule("not_null", c, "dirty_orders", f"{c} IS NULL") for c in ("status", "priority", "legacy_code", "note")),
     "rule_pattern": f"WITH {DIRTY_ORDERS} " + union(_rule("pattern", c, "dirty_orders", f"NOT regexp_matches({c}, '^[0-9]+$')") for c in ("order_ref", "code_mix")),
     # injection
-    "inject_missing": f"SELECT c_custkey, CASE WHEN {_hit('c_custkey', 120)} THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer",
-    "inject_duplicates": f"SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE {_hit('o_orderkey', 80)}",
-    "inject_outliers": f"SELECT o_orderkey, CASE WHEN {_hit('o_orderkey', 50, 1)} THEN 900000::DOUBLE + o_orderkey % 1000 ELSE o_totalprice END AS o_totalprice FROM orders",
-    "inject_date_cluster": f"""SELECT o_orderkey, CASE WHEN {_hit('o_orderkey', 75, 2)} THEN TIMESTAMP '2001-03-12 00:00:00' + to_hours((o_orderkey % 48)::INTEGER) ELSE o_orderdate END AS o_orderdate,
-        CASE WHEN {_hit('o_orderkey', 75, 2)} THEN 2000000::DOUBLE + o_orderkey % 1000 ELSE o_totalprice END AS o_totalprice FROM orders""",
-    "inject_unit_bug": f"SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' AND {_hit('p_partkey', 200, 3)} THEN p_retailprice*100::DOUBLE ELSE p_retailprice END AS p_retailprice FROM part",
-    "inject_mixed_type": f"SELECT o_orderkey, CASE WHEN {_hit('o_orderkey', 120, 4)} THEN 'ORD-' || o_orderkey::VARCHAR ELSE o_orderkey::VARCHAR END AS order_ref FROM orders",
-    "inject_invalid_range": f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN {_hit('l_orderkey', 40, 5)} THEN -abs(l_quantity) WHEN {_hit('l_orderkey', 35, 6)} THEN 0::DOUBLE
-        WHEN {_hit('l_orderkey', 25, 7)} THEN abs(l_quantity) + 1000::DOUBLE ELSE l_quantity END AS l_quantity FROM lineitem""",
-    "inject_casing": "SELECT c_custkey, CASE WHEN c_custkey % 10 < 2 THEN lower(c_mktsegment) WHEN c_custkey % 10 = 5 THEN upper(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer",
-    "inject_invalid_category": f"SELECT o_orderkey, CASE WHEN {_hit('o_orderkey', 40, 8)} THEN ['AB++', 'O+-', 'B++', 'XY', 'N/A'][(o_orderkey % 5 + 1)::INTEGER] ELSE o_orderstatus END AS o_orderstatus FROM orders",
-    "inject_empty_column": "SELECT c_custkey, NULL::VARCHAR AS claim_id FROM customer",
-    "inject_stale_dates": f"SELECT o_orderkey, CASE WHEN {_hit('o_orderkey', 300, 9)} THEN o_orderdate - INTERVAL 400 DAY ELSE o_orderdate END AS o_orderdate FROM orders",
-    "inject_duplicate_keys": f"SELECT CASE WHEN {_hit('p_partkey', 50, 10)} AND p_partkey > 0 THEN p_partkey - 1 ELSE p_partkey END AS p_partkey, p_name FROM part",
-    "inject_phone_formats": f"SELECT c_custkey, {_PHONE} AS phone FROM customer",
-    "inject_fractional": f"SELECT p_partkey, CASE WHEN {_hit('p_partkey', 60, 11)} THEN p_size::DOUBLE/1000::DOUBLE ELSE p_size::DOUBLE END AS p_size FROM part",
-    "inject_column_order": f"SELECT p_partkey, p_retailprice, CASE WHEN {_hit('p_partkey', 30, 12)} THEN p_retailprice*0.8::DOUBLE ELSE p_retailprice*1.5::DOUBLE END AS mrp FROM part",
+    "inject_missing": f"SELECT * REPLACE (CASE WHEN {_hit('c_custkey', 120)} THEN NULL ELSE c_mktsegment END AS c_mktsegment) FROM customer",
+    "inject_duplicates": f"SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE {_hit('o_orderkey', 80)}",
+    "inject_outliers": f"SELECT * REPLACE (CASE WHEN {_hit('o_orderkey', 50, 1)} THEN 900000::DOUBLE + o_orderkey % 1000 ELSE o_totalprice END AS o_totalprice) FROM orders",
+    "inject_date_cluster": f"""SELECT * REPLACE (CASE WHEN {_hit('o_orderkey', 75, 2)} THEN TIMESTAMP '2001-03-12 00:00:00' + to_hours((o_orderkey % 48)::INTEGER) ELSE o_orderdate END AS o_orderdate,
+        CASE WHEN {_hit('o_orderkey', 75, 2)} THEN 2000000::DOUBLE + o_orderkey % 1000 ELSE o_totalprice END AS o_totalprice) FROM orders""",
+    "inject_unit_bug": f"SELECT * REPLACE (CASE WHEN p_type = 'ECONOMY' AND {_hit('p_partkey', 200, 3)} THEN p_retailprice*100::DOUBLE ELSE p_retailprice END AS p_retailprice) FROM part",
+    "inject_mixed_type": f"SELECT *, CASE WHEN {_hit('o_orderkey', 120, 4)} THEN 'ORD-' || o_orderkey::VARCHAR ELSE o_orderkey::VARCHAR END AS order_ref FROM orders",
+    "inject_invalid_range": f"""SELECT * REPLACE (CASE WHEN {_hit('l_orderkey', 40, 5)} THEN -abs(l_quantity) WHEN {_hit('l_orderkey', 35, 6)} THEN 0::DOUBLE
+        WHEN {_hit('l_orderkey', 25, 7)} THEN abs(l_quantity) + 1000::DOUBLE ELSE l_quantity END AS l_quantity) FROM lineitem""",
+    "inject_casing": "SELECT * REPLACE (CASE WHEN c_custkey % 10 < 2 THEN lower(c_mktsegment) WHEN c_custkey % 10 = 5 THEN upper(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment) FROM customer",
+    "inject_invalid_category": f"SELECT * REPLACE (CASE WHEN {_hit('o_orderkey', 40, 8)} THEN ['AB++', 'O+-', 'B++', 'XY', 'N/A'][(o_orderkey % 5 + 1)::INTEGER] ELSE o_orderstatus END AS o_orderstatus) FROM orders",
+    "inject_empty_column": "SELECT *, NULL::VARCHAR AS claim_id FROM customer",
+    "inject_stale_dates": f"SELECT * REPLACE (CASE WHEN {_hit('o_orderkey', 300, 9)} THEN o_orderdate - INTERVAL 400 DAY ELSE o_orderdate END AS o_orderdate) FROM orders",
+    "inject_duplicate_keys": f"SELECT * REPLACE (CASE WHEN {_hit('p_partkey', 50, 10)} AND p_partkey > 0 THEN p_partkey - 1 ELSE p_partkey END AS p_partkey) FROM part",
+    "inject_phone_formats": f"SELECT *, {_PHONE} AS phone FROM customer",
+    "inject_fractional": f"SELECT * REPLACE (CASE WHEN {_hit('p_partkey', 60, 11)} THEN p_size::DOUBLE/1000::DOUBLE ELSE p_size::DOUBLE END AS p_size) FROM part",
+    "inject_column_order": f"SELECT *, CASE WHEN {_hit('p_partkey', 30, 12)} THEN p_retailprice*0.8::DOUBLE ELSE p_retailprice*1.5::DOUBLE END AS mrp FROM part",
     # remediation
     "quarantine_missing": f"WITH {DIRTY_EVENTS} SELECT event_id, ts, event_type FROM dirty_events WHERE value IS NULL OR isnan(value)",
     "clean_rows": f"WITH {DIRTY_EVENTS} SELECT * FROM dirty_events WHERE value IS NOT NULL AND NOT isnan(value)",
@@ -414,13 +411,13 @@ ANSWERS: dict[str, str] = {
     "dedup_exact": f"WITH {DIRTY_ORDERS} SELECT DISTINCT * FROM dirty_orders",
     "schema_contract": f"WITH {DIRTY_ORDERS} " + union(
         [
-            _contract("order_id", "bigint", "0"),
-            _contract("order_ref", "bigint", f"count(order_ref) - count({number('order_ref')})"),
-            _contract("code_mix", "double", f"count(code_mix) - count({number('code_mix')})"),
-            _contract("amount_usd", "double", "0"),
-            _contract("batch_id", "string", "count(*)"),
+            _contract("order_id", "bigint", "bigint", "count(*) - count(*)"),
+            _contract("order_ref", "bigint", "string", f"count(order_ref) - count({number('order_ref')})"),
+            _contract("code_mix", "double", "string", f"count(code_mix) - count({number('code_mix')})"),
+            _contract("amount_usd", "double", "double", "count(*) - count(*)"),
+            _contract("batch_id", "string", "absent", "count(*)"),
         ]
-    ).replace("SELECT 'order_id' AS \"column\", 'bigint' AS expected, (0)", "SELECT 'order_id' AS \"column\", 'bigint' AS expected, (count(*) - count(*))"),
+    ),
     "freshness_sla": union(
         f"SELECT '{label}' AS checked_at, max(ts) AS latest, floor(date_diff('second', max(ts), {t})/3600::DOUBLE)::BIGINT AS age_hours, "
         f"floor((epoch_us({t}) - epoch_us(max(ts)))/86400000000::DOUBLE)::BIGINT AS age_days, epoch_us({t}) - epoch_us(max(ts)) >= 86401000000 AS violated FROM events"

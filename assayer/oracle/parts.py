@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.functions.numbers import NUMBER_PATTERN
+from assayer.oracle.values import NUMBER_PATTERN
 
 ORDERS_AS_OF = "TIMESTAMP '2001-12-15 12:00:00'"
 EVENTS_AS_OF = "TIMESTAMP '2024-02-10 06:00:00'"

@@ -16,6 +16,7 @@ from assayer.functions.times import TIME_FORMATS
 from assayer.operators import conversations, display, inject, remediate, rules
 from assayer.operators import facts as roles
 from assayer.operators import recommend as rec
+from assayer.operators.columns import column_specs
 from assayer.operators.duplicates import duplicate_rows
 from assayer.operators.facts import gather_facts
 from assayer.operators.impact import downstream_risks, exposure, outlier_exposure
@@ -316,21 +317,16 @@ def duplicate_rows_query(spark, folder):
 QUERIES["duplicate_rows"] = QUERIES.pop("duplicate_rows_query")
 
 
-def _missing(df: DataFrame, cfg: Config, name: str) -> DataFrame:
-    facts = gather_facts(df, cfg)
-    rows = [
-        {"ordinal": c.spec.ordinal, "name": c.spec.name, "missing_count": c.missing, "total_rows": c.rows}
-        for c in facts.columns
-    ]
-    out = small_frame(df.sparkSession, rows, "ordinal int, name string, missing_count bigint, total_rows bigint")
+def _missing(df: DataFrame, name: str) -> DataFrame:
+    out = roles.missing_counts(df)
     return out.withColumn("missing_pct", percent(F.col("missing_count"), F.col("total_rows"))).withColumn(
         "table_name", F.lit(name)
     )
 
 
 def _missing_both(spark: SparkSession, folder: str) -> DataFrame:
-    return _missing(dirty_orders(spark, folder), ORDERS, "dirty_orders").unionByName(
-        _missing(dirty_events(spark, folder), EVENTS, "dirty_events")
+    return _missing(dirty_orders(spark, folder), "dirty_orders").unionByName(
+        _missing(dirty_events(spark, folder), "dirty_events")
     )
 
 
@@ -526,8 +522,7 @@ def schema_mixed_type(spark, folder):
 
 @query
 def schema_empty_columns(spark, folder):
-    stats = _profile(spark, folder).stats(outliers=False, distinct=False)
-    return stats.where(F.col("present") == 0).select("name")
+    return roles.missing_counts(dirty_orders(spark, folder)).where("missing_count = total_rows").select("name")
 
 
 @query
@@ -596,7 +591,8 @@ def severity_bands(spark, folder):
 
 
 def _names(p: TableProfile) -> DataFrame:
-    return p.stats(outliers=False, distinct=False).select("ordinal", "name")
+    rows = [{"ordinal": s.ordinal, "name": s.name} for s in column_specs(p.df)]
+    return small_frame(p.spark, rows, "ordinal int, name string")
 
 
 @query
@@ -913,98 +909,93 @@ def rule_pattern(spark, folder):
 @query
 def inject_missing(spark, folder):
     df = table(spark, folder, "customer")
-    return inject.missing(df, "c_mktsegment", inject.hit("c_custkey", 0.12)).select("c_custkey", "c_mktsegment")
+    return inject.missing(df, "c_mktsegment", inject.hit("c_custkey", 0.12))
 
 
 @query
 def inject_duplicates(spark, folder):
-    return inject.duplicates(table(spark, folder, "orders"), inject.hit("o_orderkey", 0.08)).select("o_orderkey", "o_totalprice")
+    return inject.duplicates(table(spark, folder, "orders"), inject.hit("o_orderkey", 0.08))
 
 
 @query
 def inject_outliers(spark, folder):
     big = 900_000.0 + F.col("o_orderkey") % 1000
-    df = inject.outliers(table(spark, folder, "orders"), "o_totalprice", inject.hit("o_orderkey", 0.05, 1), big)
-    return df.select("o_orderkey", "o_totalprice")
+    return inject.outliers(table(spark, folder, "orders"), "o_totalprice", inject.hit("o_orderkey", 0.05, 1), big)
 
 
 @query
 def inject_date_cluster(spark, folder):
     k = F.col("o_orderkey")
-    df = inject.date_cluster(
+    return inject.date_cluster(
         table(spark, folder, "orders"), "o_totalprice", "o_orderdate", inject.hit("o_orderkey", 0.075, 2),
         2_000_000.0 + k % 1000, datetime(2001, 3, 12), k % 48,
     )
-    return df.select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
 @query
 def inject_unit_bug(spark, folder):
     where = (F.col("p_type") == "ECONOMY") & inject.hit("p_partkey", 0.2, 3)
-    return inject.unit_bug(table(spark, folder, "part"), "p_retailprice", where, 100.0).select("p_partkey", "p_retailprice")
+    return inject.unit_bug(table(spark, folder, "part"), "p_retailprice", where, 100.0)
 
 
 @query
 def inject_mixed_type(spark, folder):
     df = table(spark, folder, "orders").withColumn("order_ref", F.col("o_orderkey"))
-    return inject.mixed_type(df, "order_ref", inject.hit("o_orderkey", 0.12, 4), "ORD-").select("o_orderkey", "order_ref")
+    return inject.mixed_type(df, "order_ref", inject.hit("o_orderkey", 0.12, 4), "ORD-")
 
 
 @query
 def inject_invalid_range(spark, folder):
     key = "l_orderkey"
-    df = inject.invalid_range(
+    return inject.invalid_range(
         table(spark, folder, "lineitem"), "l_quantity", inject.hit(key, 0.04, 5), inject.hit(key, 0.035, 6),
         inject.hit(key, 0.025, 7), 1000,
     )
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 @query
 def inject_casing(spark, folder):
     k = F.col("c_custkey")
-    return inject.casing(table(spark, folder, "customer"), "c_mktsegment", k % 10 < 2, k % 10 == 5).select("c_custkey", "c_mktsegment")
+    return inject.casing(table(spark, folder, "customer"), "c_mktsegment", k % 10 < 2, k % 10 == 5)
 
 
 @query
 def inject_invalid_category(spark, folder):
     bad = ["AB++", "O+-", "B++", "XY", "N/A"]
-    df = inject.invalid_category(
+    return inject.invalid_category(
         table(spark, folder, "orders"), "o_orderstatus", inject.hit("o_orderkey", 0.04, 8), bad, F.col("o_orderkey")
     )
-    return df.select("o_orderkey", "o_orderstatus")
 
 
 @query
 def inject_empty_column(spark, folder):
-    return inject.empty_column(table(spark, folder, "customer"), "claim_id").select("c_custkey", "claim_id")
+    return inject.empty_column(table(spark, folder, "customer"), "claim_id")
 
 
 @query
 def inject_stale_dates(spark, folder):
-    df = inject.stale_dates(table(spark, folder, "orders"), "o_orderdate", inject.hit("o_orderkey", 0.3, 9), 400)
-    return df.select("o_orderkey", "o_orderdate")
+    return inject.stale_dates(table(spark, folder, "orders"), "o_orderdate", inject.hit("o_orderkey", 0.3, 9), 400)
 
 
 @query
 def inject_duplicate_keys(spark, folder):
-    return inject.duplicate_keys(table(spark, folder, "part"), "p_partkey", inject.hit("p_partkey", 0.05, 10)).select("p_partkey", "p_name")
+    return inject.duplicate_keys(table(spark, folder, "part"), "p_partkey", inject.hit("p_partkey", 0.05, 10))
 
 
 @query
 def inject_phone_formats(spark, folder):
-    return inject.phone_formats(table(spark, folder, "customer"), "c_custkey").select("c_custkey", "phone")
+    return inject.phone_formats(table(spark, folder, "customer"), "c_custkey")
 
 
 @query
 def inject_fractional(spark, folder):
-    return inject.fractional(table(spark, folder, "part"), "p_size", inject.hit("p_partkey", 0.06, 11)).select("p_partkey", "p_size")
+    return inject.fractional(table(spark, folder, "part"), "p_size", inject.hit("p_partkey", 0.06, 11))
 
 
 @query
 def inject_column_order(spark, folder):
     df = table(spark, folder, "part").withColumn("mrp", F.col("p_retailprice") * 1.5)
-    return inject.column_order(df, "mrp", "p_retailprice", inject.hit("p_partkey", 0.03, 12), 0.8).select("p_partkey", "p_retailprice", "mrp")
+    return inject.column_order(df, "mrp", "p_retailprice", inject.hit("p_partkey", 0.03, 12), 0.8)
 
 
 # -- remediation --------------------------------------------------------------------------------------
@@ -1067,7 +1058,7 @@ def schema_contract(spark, folder):
     return remediate.schema_contract(
         dirty_orders(spark, folder),
         {"order_id": "bigint", "order_ref": "bigint", "code_mix": "double", "amount_usd": "double", "batch_id": "string"},
-    ).drop("actual")
+    )
 
 
 @query

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer import Config, TableProfile
+from assayer.operators.columns import column_specs
+from assayer.operators.missingness import co_missing
 from assayer.operators.outliers import Spread
 from assayer.operators.quantiles import exact_quantiles, grouped_quantiles
 from assayer.operators.remediate import segment_outliers
@@ -130,3 +132,15 @@ def test_replayed_input_is_kept_once(spark, folder):
 
 def test_work_folder_is_the_configured_one(spark):
     assert new_folder(spark, "x").startswith(checkpoint_root(spark))
+
+
+def test_overlaps_of_many_columns(spark):
+    """300 columns that go missing in groups of three: only the strong pairs reach the report."""
+    n = 300
+    row = lambda k: tuple(None if (k + i // 3) % 7 == 0 else k for i in range(n))
+    df = spark.createDataFrame([row(k) for k in range(40)], ", ".join(f"c{i} int" for i in range(n)))
+    gone = [frozenset(k for k in range(40) if row(k)[i] is None) for i in range(n)]
+    expected = {(i, j) for i in range(n) for j in range(n) if i != j and len(gone[i] & gone[j]) >= 0.9 * len(gone[i] | gone[j])}
+    pairs = co_missing(df, [(s, len(gone[s.ordinal])) for s in column_specs(df)], list(range(n)))
+    strong = {(r["ordinal"], r["other"]) for r in pairs.where("jaccard >= 0.9").collect()}
+    assert strong == expected and pairs.count() == n * (n - 1)

@@ -250,3 +250,27 @@ def test_injected_is_detected(spark, rate):
     never = F.lit(False)
     bad = inject.invalid_range(base.where("stock > 0"), "stock", inject.hit("k", rate), never, never, 0)
     assert TableProfile(bad, CFG).columns[2].negative == base.where(inject.hit("k", rate) & (F.col("stock") > 0)).count()
+
+
+def test_csv_with_line_breaks_is_refused_or_read_whole(spark, tmp_path):
+    from assayer.sources.tables import read_csv
+
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,"say ""yes"""\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        read_csv(spark, str(tmp_path))
+    rows = read_csv(spark, str(tmp_path), multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, 'say "yes"')]
+
+
+def test_csv_round_trip_keeps_times_and_long_integers(spark, tmp_path):
+    from assayer.sources.tables import read_csv, write_csv
+
+    df = spark.sql(
+        "SELECT 9223372036854775807 - id AS big, timestamp_ntz'2023-12-25 10:11:12.123' + make_dt_interval(id) AS at"
+        " FROM range(50)"
+    )
+    write_csv(df, str(tmp_path / "out"))
+    back = read_csv(spark, str(tmp_path / "out"))
+    assert back.select("big").distinct().count() == 50 and dict(back.dtypes)["big"] == "bigint"
+    profile = TableProfile(back, Config(as_of=datetime(2024, 6, 1)))
+    assert profile.freshness().first()["latest"] == datetime(2024, 2, 12, 10, 11, 12, 123000)
