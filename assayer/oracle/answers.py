@@ -458,3 +458,7 @@ ANSWERS["integer_contract"] = union(
 )
 ANSWERS["inject_any_key"] = """WITH k AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN -o_orderkey ELSE o_orderkey + 9000000000000000000 END AS key, o_orderstatus FROM orders)
   SELECT key, CASE WHEN (((key % 1000 + 1000) % 1000) * 7919 + 3 * 104729) % 1000 >= 200 THEN o_orderstatus END AS o_orderstatus FROM k"""
+ANSWERS["phone_passages"] = """SELECT * FROM (
+    SELECT doc_id, unnest(runs) AS phone, generate_subscripts(runs, 1)::INTEGER - 1 AS place
+    FROM (SELECT doc_id, regexp_extract_all(text, '[+(]?[0-9][0-9 ()-]{5,}[0-9]') AS runs FROM documents)
+  ) WHERE NOT regexp_full_match(phone, '[\\+\\d\\s\\-\\(\\)]{7,15}')"""

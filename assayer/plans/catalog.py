@@ -285,6 +285,14 @@ def phone_format_violations(spark, folder):
     return rules.broken_rows(df, [rules.phone("phone")]).select("c_custkey", "phone")
 
 
+@query
+def phone_passages(spark, folder):
+    """Runs of digits in the documents that are laid out like phone numbers but are none."""
+    runs = F.regexp_extract_all("text", F.lit("([+(]?[0-9][0-9 ()-]{5,}[0-9])"), F.lit(1))
+    df = table(spark, folder, "documents").select("doc_id", F.posexplode(runs).alias("place", "phone"))
+    return rules.broken_rows(df, [rules.phone("phone")]).select("doc_id", "place", "phone")
+
+
 @query
 def offtopic_messages(spark, folder):
     return conversations.off_topic(table(spark, folder, "conversations"))
