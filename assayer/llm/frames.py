@@ -47,6 +47,18 @@ def drop_staged(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def smallest_hashes(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The n rows of each group with the smallest hashes (``turn``) of their keys.
+
+    A group is cut in each task, then in parts, then as a whole, so no task gets all of a large one.
+    """
+    df = df.withColumn("turn", F.xxhash64(key)).withColumn("part", F.pmod(F.xxhash64("turn"), F.lit(256)))
+    for parts in ([group, "part"], [group]):
+        order = Window.partitionBy(*parts).orderBy("turn", key)
+        df = df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n).drop("nth")
+    return df.drop("part")
+
+
 def text_key(text: str) -> Column:
     """With the document's id, it names a row: rows equal in both are the same document twice."""
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{text}`").isNull())

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import hashing as h
-from assayer.llm.frames import columns_of, small_batches, staged, text_key
+from assayer.llm.frames import columns_of, small_batches, smallest_hashes, staged, text_key
 from assayer.llm.sentence_pieces import PIECE_MODEL, read_vocabulary
 
 
@@ -28,67 +28,88 @@ UNKNOWN = "und"
 _LONG = 48  # characters; longer words are scored one by one
 
 
-@dataclass
 class Pieces:
-    """Pieces of the vocabulary without those of spaces; the last number stands for any other character."""
+    """Numbered pieces, and a tree of their characters as a sorted table of steps from node to node.
 
-    numbers: dict[str, int | None]  # None: only the start of a piece
-    longest: int
+    The last number stands for any character that is no piece.
+    """
 
-    @property
-    def size(self) -> int:
-        return sum(v is not None for v in self.numbers.values()) + 1
+    def __init__(self, known: list[str]):
+        self.numbers = {p: i for i, p in enumerate(known)}
+        self.size, self.longest = len(known) + 1, max(map(len, known))
+        nodes, steps = {"": 0}, {}
+        for p in known:
+            for n in range(1, len(p) + 1):
+                if p[:n] not in nodes:
+                    nodes[p[:n]] = len(nodes)
+                    steps[nodes[p[: n - 1]] << 21 | ord(p[n - 1])] = nodes[p[:n]]
+        self.steps = np.array(sorted(steps), np.int64)
+        self.leads_to = np.array([steps[k] for k in self.steps.tolist()], np.int64)
+        self.piece_at = np.full(len(nodes), -1, np.int64)
+        self.piece_at[[nodes[p] for p in known]] = np.arange(len(known))
 
 
 def read_pieces(model: str) -> Pieces:
     """Pieces as they occur in lower-cased words, a word being led by a space."""
-    known = sorted(p for p in read_vocabulary(model).pieces if p.strip())
-    numbers: dict[str, int | None] = {p[:n]: None for p in known for n in range(1, len(p))}
-    numbers |= {p: i for i, p in enumerate(known)}
-    return Pieces(numbers, max(map(len, known)))
-
-
-def _edges(words: list[str], pieces: Pieces) -> np.ndarray:
-    """Rows of word, start, end, piece: every place where a piece fits. Each single character has one."""
-    out, numbers, longest, other = [], pieces.numbers, pieces.longest, pieces.size - 1
-    for k, word in enumerate(words):
-        n = len(word)
-        for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                found = numbers.get(word[i:j], -1)
-                if found is None:
-                    continue
-                if found < 0:
-                    break
-                out.append((k, i, j, found))
-                single = single or j == i + 1
-            if not single:
-                out.append((k, i, i + 1, other))
-    return np.array(out, np.int64).reshape(-1, 4)
-
-
-def _sum_paths(edges: np.ndarray, weight: np.ndarray, n: int, length: int, backward: bool = False) -> np.ndarray:
+    return Pieces(sorted(p for p in read_vocabulary(model).pieces if p.strip()))
+
+
+@dataclass
+class Lattice:
+    """Every place where a piece fits: word, start and end in it, piece. Each single character has one."""
+
+    word: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    length: np.ndarray  # of each word
+
+
+def lattice(words: list[str], pieces: Pieces) -> Lattice:
+    """All words walk down the tree together, from each of their characters, one character at a time."""
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    length = np.array([len(w) for w in words])
+    word = np.repeat(np.arange(len(words)), length)
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(length) - length, length)
+    left = length[word] - place
+    begin, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+    found: list[tuple[np.ndarray, int, np.ndarray]] = []
+    for n in range(1, pieces.longest + 1):
+        step = node << 21 | chars[begin + n - 1]
+        at = np.searchsorted(pieces.steps, step).clip(max=len(pieces.steps) - 1)
+        there = pieces.steps[at] == step
+        begin, node = begin[there], pieces.leads_to[at[there]]
+        piece = pieces.piece_at[node]
+        hit = piece >= 0
+        found.append((begin[hit], n, piece[hit]))
+        if n == 1:
+            other = np.ones(len(chars), bool)
+            other[begin[hit]] = False
+            rest = np.flatnonzero(other)
+            found.append((rest, 1, np.full(len(rest), pieces.size - 1)))
+        more = left[begin] > n
+        begin, node = begin[more], node[more]
+    begin = np.concatenate([b for b, _, _ in found])
+    size = np.concatenate([np.full(len(b), n) for b, n, _ in found])
+    piece = np.concatenate([x for _, _, x in found])
+    return Lattice(word[begin], place[begin], place[begin] + size, piece, length)
+
+
+def _sum_paths(graph: Lattice, weight: np.ndarray, backward: bool = False) -> np.ndarray:
     """Per word, position and language, the summed weight of all segmentations up to (or from) there.
 
-    Each edge multiplies its weight; positions are settled in order. Words are short enough for plain
-    products: their probabilities stay above 1e-300.
+    Positions are settled in order, and pieces of one length at a time, so that a word has one piece in each
+    step. Words are short enough for plain products: their probabilities stay above 1e-300.
     """
-    start, end = (2, 1) if backward else (1, 2)
-    total = np.zeros((n, length + 1, weight.shape[1]))
-    order = np.argsort(-edges[:, end] if backward else edges[:, end], kind="stable")
-    edges, weight = edges[order], weight[order]
-    if backward:
-        last = np.zeros(n, np.int64)
-        np.maximum.at(last, edges[:, 0], edges[:, 2])
-        total[np.arange(n), last] = 1
-    else:
-        total[:, 0] = 1
-    cuts = np.flatnonzero(np.diff(edges[:, end])) + 1
-    for e, w in zip(np.split(edges, cuts), np.split(weight, cuts)):
-        reached = total[e[:, 0], e[:, start]] * w
-        firsts = np.flatnonzero(np.diff(e[:, 0], prepend=-1))  # edges of a word are next to each other
-        total[e[firsts, 0], e[0, end]] += np.add.reduceat(reached, firsts)
+    total = np.zeros((len(graph.length), int(graph.length.max()) + 1, weight.shape[1]))
+    total[np.arange(len(graph.length)), graph.length if backward else 0] = 1
+    source, target = (graph.end, graph.start) if backward else (graph.start, graph.end)
+    step = ((total.shape[1] - target if backward else target) << 8) | (graph.end - graph.start)
+    order = np.argsort(step.astype(np.int16), kind="stable")
+    bounds = np.flatnonzero(np.diff(step[order], prepend=-1, append=-1))
+    for a, b in zip(bounds, bounds[1:]):
+        e = order[a:b]
+        total[graph.word[e], target[e[0]]] += total[graph.word[e], source[e[0]]] * weight[e]
     return total
 
 
@@ -99,9 +120,7 @@ def _long_word(word: str, pieces: Pieces, probability: np.ndarray) -> np.ndarray
     for j in range(1, len(word) + 1):
         total = np.zeros(probability.shape[1])
         for i in range(max(0, j - longest), j):
-            found = numbers.get(word[i:j])
-            if found is None and i == j - 1:
-                found = other
+            found = numbers.get(word[i:j], other if i == j - 1 else None)
             if found is not None:
                 total += alphas[i - j] * probability[found]
         log += np.log(total)
@@ -114,10 +133,9 @@ def log_probabilities(words: list[str], pieces: Pieces, probability: np.ndarray)
     out = np.zeros((len(words), probability.shape[1]))
     short = [i for i, w in enumerate(words) if len(w) <= _LONG]
     if short:
-        edges = _edges([words[i] for i in short], pieces)
-        length = np.array([len(words[i]) for i in short])
-        total = _sum_paths(edges, probability[edges[:, 3]], len(short), int(length.max()))
-        out[short] = np.log(total[np.arange(len(short)), length])
+        graph = lattice([words[i] for i in short], pieces)
+        total = _sum_paths(graph, probability[graph.piece])
+        out[short] = np.log(total[np.arange(len(short)), graph.length])
     for i in range(len(words)):
         if len(words[i]) > _LONG:
             out[i] = _long_word(words[i], pieces, probability)
@@ -133,14 +151,12 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, proba
     words, weights = [words[i] for i in keep], weights[keep]
     if not words:
         return np.zeros(pieces.size)
-    edges = _edges(words, pieces)
-    p = probability[edges[:, 3], None]
-    length = np.array([len(w) for w in words])
-    forward = _sum_paths(edges, p, len(words), int(length.max()))[..., 0]
-    backward = _sum_paths(edges, p, len(words), int(length.max()), backward=True)[..., 0]
-    k, i, j, piece = edges.T
-    share = forward[k, i] * p[:, 0] * backward[k, j] / forward[k, length[k]]
-    return np.bincount(piece, share * weights[k], minlength=pieces.size)
+    graph = lattice(words, pieces)
+    p = probability[graph.piece, None]
+    forward, backward = _sum_paths(graph, p)[..., 0], _sum_paths(graph, p, backward=True)[..., 0]
+    k = graph.word
+    share = forward[k, graph.start] * p[:, 0] * backward[k, graph.end] / forward[k, graph.length[k]]
+    return np.bincount(graph.piece, share * weights[k], minlength=pieces.size)
 
 
 def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -165,10 +181,9 @@ def train(docs: DataFrame, options: LanguageId = LanguageId()) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     pieces = read_pieces(options.model)
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
-    chosen = usable.select("doc_id", "lang").withColumn("nth", F.row_number().over(pick))
-    chosen = chosen.filter(F.col("nth") <= options.per_language).select("doc_id", "lang").distinct()
+    chosen = smallest_hashes(usable.select("doc_id", "lang").distinct(), "lang", "doc_id", options.per_language)
+    chosen = chosen.select("doc_id", "lang")
     # At most per_language ids for each of a few languages: small enough to send to every task.
     sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
     sample = staged(sample.repartition(spark.sparkContext.defaultParallelism), "languages")

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import hashing as h
-from assayer.llm.frames import columns_of, small_batches, text_key
+from assayer.llm.frames import columns_of, small_batches, smallest_hashes, text_key
 
 
 @dataclass(frozen=True)
@@ -104,17 +104,12 @@ def train(docs: DataFrame, labels: DataFrame, options: Classifier = Classifier()
     label, and labels other than 0 and 1, teach nothing; of repeated ids one row counts. Without any
     example all weights are 0. What reaches the driver is the weights that are not 0.
     """
-    pick = Window.partitionBy("label").orderBy("turn", "doc_id")
-    chosen = (
-        labels.select("doc_id", "label")
-        .filter("label IN (0, 1) AND doc_id IS NOT NULL")
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .withColumn("turn", F.xxhash64("doc_id"))
-        .withColumn("nth", F.row_number().over(pick))
-        .filter(F.col("nth") <= options.per_label)
-    )
+    marked = labels.select("doc_id", "label").filter("label IN (0, 1) AND doc_id IS NOT NULL")
+    marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
     # At most per_label ids for either label: small enough to send to every task.
-    sample = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "turn")
+    chosen = F.broadcast(smallest_hashes(marked, "label", "doc_id", options.per_label))
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    sample = texts.join(chosen, "doc_id").groupBy("doc_id", "label", "turn")
     sample = sample.agg(F.min("text").alias("text")).withColumn("all", F.lit(1))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
