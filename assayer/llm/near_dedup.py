@@ -15,16 +15,17 @@ from assayer.llm import hashing as h
 from assayer.llm.components import components
 from assayer.llm.frames import columns_of, rows_in, small_batches, staged, text_key, with_row_ids
 
-PERMUTATIONS = 128
+PERMUTATIONS = 160
+SIGNED = 128  # minima whose low bits are kept
 LOW_BITS = 2
-_PLANES = LOW_BITS * PERMUTATIONS // 64
+_PLANES = LOW_BITS * SIGNED // 64
 
 
 @dataclass(frozen=True)
 class NearDedup:
     shingle: int = 5
     similarity_pct: int = 80
-    rows: int = 4  # minima in a band: 32 bands lose a pair at 0.80 with probability 5e-8, at 0.85 with 6e-11
+    rows: int = 5  # minima in a band: 32 bands lose a pair at 0.80 with probability 3e-6, at 0.85 with 7e-9
     sigmas: float = 6.0  # how far below the threshold an estimate must lie to rule a pair out
 
     @property
@@ -32,7 +33,7 @@ class NearDedup:
         """A pair at the threshold is estimated below this with probability 1e-9."""
         chance = 1 / 2**LOW_BITS
         p = chance + (1 - chance) * self.similarity_pct / 100
-        return self.similarity_pct / 100 - self.sigmas * sqrt(p * (1 - p) / PERMUTATIONS) / (1 - chance)
+        return self.similarity_pct / 100 - self.sigmas * sqrt(p * (1 - p) / SIGNED) / (1 - chance)
 
 
 _A = (h.mix(np.arange(PERMUTATIONS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -70,7 +71,7 @@ def _bands(least: np.ndarray, rows: int) -> np.ndarray:
 
 def _planes(least: np.ndarray) -> np.ndarray:
     """The low bits of the mixed minima: plane by plane, 64 minima to an integer."""
-    low = h.mix(least.astype(np.uint64))
+    low = h.mix(least[:, :SIGNED].astype(np.uint64))
     bits = np.concatenate([(low >> np.uint64(i)) & np.uint64(1) for i in range(LOW_BITS)], axis=1).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
@@ -126,14 +127,14 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 def _estimate(a: str, b: str) -> Column:
     """Similarity from the minima whose low bits all agree, less the agreement expected by chance."""
     differ = []
-    for word in range(PERMUTATIONS // 64):
+    for word in range(SIGNED // 64):
         bits = None
         for bit in range(LOW_BITS):
-            name = f"plane{bit * (PERMUTATIONS // 64) + word}"
+            name = f"plane{bit * (SIGNED // 64) + word}"
             other = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
             bits = other if bits is None else bits.bitwiseOR(other)
         differ.append(F.bit_count(bits))
-    agree = 1 - sum(differ[1:], differ[0]) / F.lit(PERMUTATIONS)
+    agree = 1 - sum(differ[1:], differ[0]) / F.lit(SIGNED)
     chance = 1 / 2**LOW_BITS
     return (agree - chance) / (1 - chance)
 
@@ -285,7 +286,7 @@ def near_duplicates(
     )
     more = staged(_links(across, sets, options), "other-links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(labels.select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(more))
 
     labelled = classes.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     smallest = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"), F.min("vertex").alias("only"))
