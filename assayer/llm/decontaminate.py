@@ -221,4 +221,4 @@ def contaminated(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, options: EditMatch = EditMatch()) -> DataFrame:
     """The documents that contain no benchmark item, with all their columns."""
-    return rows_in(docs, contaminated(docs, benchmark, options).distinct(), "doc_id", "text", "left_anti")
+    return rows_in(docs, contaminated(docs, benchmark, options), "doc_id", "text", "left_anti")

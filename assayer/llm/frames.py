@@ -10,6 +10,9 @@ from assayer.sources.workspace import new_folder
 #: Rows per Arrow batch. Texts are long, so batches are kept well below Spark's 10,000 rows.
 ARROW_ROWS = 1000
 
+#: A side of a join with fixed-size rows is sent to every task up to this many of them (some 50 MB there).
+SMALL_ROWS = 500_000
+
 _staged: list[str] = []
 
 
@@ -47,6 +50,11 @@ def drop_staged(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def if_small(keys: DataFrame) -> DataFrame:
+    """A staged table of ids, marked to be broadcast if it has been counted and is small; else Spark shuffles."""
+    return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
+
+
 def smallest_hashes(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """The n rows of each group with the smallest hashes (``turn``) of their keys.
 
@@ -67,9 +75,13 @@ def text_key(text: str) -> Column:
 def rows_in(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str, unique: bool = False) -> DataFrame:
     """Rows of ``docs`` with (``left_semi``) or without (``left_anti``) a row in ``keys``.
 
-    ``keys`` has ``doc_id`` and ``text_key``. All columns of ``docs`` stay as they are. ``unique`` keeps one
-    of the rows with the same id and text; they are cut in each task before the shuffle that the join needs.
+    ``keys`` has ``doc_id`` and ``text_key``. All columns of ``docs`` stay as they are. The texts are shuffled
+    only if the keys are many. ``unique`` keeps one of the rows with the same id and text; only if there are
+    any, the rows are cut in each task and shuffled.
     """
+    counted = staged(keys.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")), "keys")
+    unique = unique and not counted.filter("rows > 1").isEmpty()
+    keys = if_small(counted)
     left = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(f"`{doc_id}`").alias("own_id"),
@@ -79,4 +91,4 @@ def rows_in(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str,
         same_row = Window.partitionBy("own_id", "own_key").orderBy("own_key")
         left = left.withColumn("nth", F.row_number().over(same_row)).filter("nth = 1")
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))
-    return left.join(keys.select("doc_id", "text_key"), same, how).select("row.*")
+    return left.join(keys, same, how).select("row.*")

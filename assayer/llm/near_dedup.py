@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import hashing as h
 from assayer.llm.components import components
-from assayer.llm.frames import columns_of, rows_in, small_batches, staged, text_key, with_row_ids
+from assayer.llm.frames import columns_of, if_small, rows_in, small_batches, staged, text_key, with_row_ids
 
 PERMUTATIONS = 160
 SIGNED = 128  # minima whose low bits are kept
@@ -247,7 +247,7 @@ def near_duplicates(
         "candidates",
     )
     wanted = given.alias("d").join(
-        candidates.alias("c"),
+        if_small(candidates.select("vertex", "doc_id", "text_key")).alias("c"),
         F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_key") == F.col("c.text_key")),
     )
     sets = staged(

@@ -159,4 +159,4 @@ def quality_rules(
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     verdicts = quality_rules(docs, rules)
-    return rows_in(docs, verdicts.filter(~F.col("kept")).distinct(), "doc_id", "text", "left_anti")
+    return rows_in(docs, verdicts.filter(~F.col("kept")), "doc_id", "text", "left_anti")
