@@ -21,7 +21,7 @@ from assayer.llm.sentence_pieces import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without the lines that too many documents of their host hold."""
     return keep_good(docs)
 
 
