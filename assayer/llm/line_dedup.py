@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.frames import columns_of, staged, text_key
+from assayer.llm.frames import columns_of, if_small, staged, text_key
 
 
 @dataclass(frozen=True)
@@ -15,7 +15,7 @@ class LineSpread:
     min_sites: int = 10  # a line on so many distinct sites is boilerplate
     lg_k: int = 10  # base-2 logarithm of the registers of a sketch
     sigmas: float = 4.0  # standard errors around the limit within which sites are counted exactly
-    max_share: float = 0.5  # a document that would lose more of its characters is a copy, not a page with boilerplate
+    max_share: float = 0.5  # a copied text that would lose more of its characters is left to deduplication
 
     @property
     def margin(self) -> float:
@@ -52,6 +52,21 @@ def _spread(lines: DataFrame, options: LineSpread) -> DataFrame:
     return likely.filter(clear).select("line").union(exact.filter(F.col("sites") >= options.min_sites).select("line"))
 
 
+def _lost(lines: DataFrame, spread: DataFrame) -> DataFrame:
+    """Numbers of the lost lines of every document that loses any, and ``text_again``: another row has its text.
+
+    Copies lose the same lines, so those of a text are all here. Rows with one id and text are one document;
+    rows without an id are one each.
+    """
+    lost = lines.join(spread, "line").groupBy("doc_id", "text_key").agg(
+        F.collect_set("at").alias("lost"), F.count("*").alias("n")
+    )
+    lost = staged(lost.withColumn("rows", F.when(F.col("doc_id").isNull(), F.col("n") / F.size("lost")).otherwise(1)), "lost")
+    copies = lost.groupBy("text_key").agg(F.sum("rows").alias("rows")).filter("rows > 1")
+    copies = if_small(staged(copies.select("text_key", F.lit(True).alias("text_again")), "copies"))
+    return lost.select("doc_id", "text_key", "lost").join(copies, "text_key", "left")
+
+
 def remove_boilerplate(
     docs: DataFrame,
     options: LineSpread = LineSpread(),
@@ -64,17 +79,19 @@ def remove_boilerplate(
 
     Lines are compared by the 64-bit hash of their normalised form; a line of white space only is never
     boilerplate. What stays of a text keeps its lines as they were. A document that would lose more than
-    ``max_share`` of its characters stays whole: it is a copy found on many sites, and which copy to keep is
-    for document-level deduplication to decide. ``removed`` names a column to add with the number of lines taken.
+    ``max_share`` of its characters stays whole if another row has the same text: it is a copy, and which copy
+    to keep is for document-level deduplication to decide. Without such a row it loses its lines whatever their
+    share, if need be all of them. ``removed`` names a column to add with the number of lines taken.
 
     Null and empty texts stay as they are; a null site counts as none. Rows with one id, or none, are
     judged by their own text; equal rows lose the same lines. An empty table stays empty. No cap on the
     length of a text or on the number of lines. A column of ``docs`` may have any name but ``removed``'s.
 
-    Line hashes are staged once; the texts are shuffled once, to meet the positions of their lost lines.
+    Line hashes are staged once, and copies counted on hashes; the texts are shuffled once, to meet the
+    positions of their lost lines.
     """
     lines = staged(_lines(docs, doc_id, text, site), "lines")
-    lost = lines.join(_spread(lines, options), "line").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("lost"))
+    lost = _lost(lines, _spread(lines, options))
     row = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(f"`{doc_id}`").alias("own_id"),
@@ -86,7 +103,8 @@ def remove_boilerplate(
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lost"))
     rest = F.when(F.col("lost").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     joined = row.join(lost, same, "left").withColumn("rest", rest)
-    cut = F.length("rest") >= (1 - options.max_share) * F.length("own_text")
+    cut = F.col("text_again").isNull() | (F.length("rest") >= (1 - options.max_share) * F.length("own_text"))
+    cut &= F.col("rest").isNotNull()
     new = F.when(cut, F.col("rest")).otherwise(F.col("own_text"))
     out = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
     if removed:

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.quality_rules import QualityRules, keep_good
 from assayer.llm.sentence_pieces import read_vocabulary
 from tests.llm import brute
@@ -79,3 +80,20 @@ def test_pipeline_removes_lines_of_hosts(spark, folder, tmp_path):
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {d: brute.segment(" " + t, vocabulary)[1] for d, t in expected.items()}
     assert set(good) - set(docs)
+
+
+def test_line_dedup_of_short_pages(spark):
+    """Boilerplate goes from pages that are mostly boilerplate; only texts that occur again stay whole."""
+    head, foot = "a long header that stands on every page of every site", "and a footer that is just as long as that"
+    pages = [(i, f"{head}\nown {i}\n{foot}", f"s{i % 12}") for i in range(24)]
+    bare = [(100, f"{head}\n{foot}", "s1"), (101, f"{foot}\n{foot}", "s2"), (101, f"{foot}\n{foot}", "s2")]
+    copies = [(200 + i, "a text found on many sites\nwith two lines", f"s{i}") for i in range(12)]
+    copies += [(300 + i, f"{head}\nthe same page twice\n{foot}", "s1") for i in range(2)]
+    copies += [(None, f"{foot}\nwithout an id", "s1")] * 2
+    alone = [(None, f"{foot}\nonce, without an id", "s1")]
+    docs = pages + bare + copies + alone
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text, r.gone) for r in remove_boilerplate(frame, removed="gone").collect()), key=repr)
+    expected = [(i, f"own {i}", 2) for i, *_ in pages] + [(100, "", 2), (101, "", 2), (101, "", 2)]
+    expected += [(d, text, 0) for d, text, _ in copies] + [(None, "once, without an id", 1)]
+    assert got == sorted(expected, key=repr)
