@@ -3,7 +3,10 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline
+from assayer.llm.license_scan import recognise
 from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.quality_rules import QualityRules, keep_good
 from assayer.llm.sentence_pieces import read_vocabulary
@@ -97,3 +100,58 @@ def test_line_dedup_of_short_pages(spark):
     expected = [(i, f"own {i}", 2) for i, *_ in pages] + [(100, "", 2), (101, "", 2), (101, "", 2)]
     expected += [(d, text, 0) for d, text, _ in copies] + [(None, "once, without an id", 1)]
     assert got == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize(
+    "text,licences",
+    [
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("Licensed under the GNU General Public License v3.0", ["GPL-3.0-only"]),
+        ("Licensed under the GNU Lesser General Public License (LGPL) version 2.1 or later.", ["LGPL-2.1-or-later"]),
+        ("This work is licensed under CC BY-SA 3.0.", ["CC-BY-SA-3.0"]),
+        ("Content on this site is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", ["CC-BY-NC-ND-3.0"]),
+        ("Dual licensed under MIT and Apache 2.0", ["MIT", "Apache-2.0"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("Available under the MIT and ISC licences.", ["MIT", "ISC"]),
+        ("Available under the MIT, the BSD 3-Clause or the GPLv2+ licence.", ["MIT", "BSD-3-Clause", "GPL-2.0-or-later"]),
+        ("Released under the GPL-3.0-or-later license.", ["GPL-3.0-or-later"]),
+        ("Released under the Common Development and Distribution License 1.0 or the GPLv2.", ["CDDL-1.0", "GPL-2.0-only"]),
+        ("Distributed under the GNU General Public License, version 7.", []),
+        ("Released under the MIT and other licenses of the land.", []),
+        ("// SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note AND BSD-3-Clause) OR GPL-2.0+ */", ["GPL-2.0-only WITH Linux-syscall-note", "BSD-3-Clause", "GPL-2.0+"]),
+        ("SPDX-License-Identifier: MIT OR", []),
+    ],
+)
+def test_licence_statements(text, licences):
+    assert [x[0] for x in recognise(f"Words before.\n\n{text}\n\nAnd after.")] == licences
+
+
+def test_licence_notices():
+    """The notices as their publishers print them."""
+    free = "This program is free software{} you can redistribute it and/or\nmodify it under the terms of the GNU {}\nas published by the Free Software Foundation{}.\n\n"
+    hope = "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+    for words, licence in (
+        ((";", "General Public License", "; version 2\nof the License"), "GPL-2.0-only"),
+        ((";", "General Public License", "; version 2"), "GPL-2.0-only"),
+        ((";", "General Public License version 2", ""), "GPL-2.0-only"),
+        ((";", "General Public License", "; either version 2\nof the License, or (at your option) any later version"), "GPL-2.0-or-later"),
+        ((":", "General Public License", ", either version 3 of the License, or\n(at your option) any later version"), "GPL-3.0-or-later"),
+        ((":", "Affero General Public License", ", either version 3 of the License, or\n(at your option) any later version"), "AGPL-3.0-or-later"),
+        ((";", "Lesser General Public License", "; either version 2.1 of the License, or (at your option) any later version"), "LGPL-2.1-or-later"),
+    ):
+        (found,) = recognise(free.format(*words) + hope)
+        assert found[0] == licence and found[3][-2:] == ["GNU-hope", "GNU-implied"]
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+        " the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice,"
+        " this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the"
+        " above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or"
+        " other materials provided with the distribution.\n\n"
+    )
+    end = "may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+    assert [x[0] for x in recognise(bsd)] == ["BSD-2-Clause"]
+    for holder in ("the copyright holder nor the names of its", "Example Inc. nor the names of its", "the University nor the names of its"):
+        acknowledge = "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by someone.\n\n"
+        assert [x[0] for x in recognise(f"{bsd}{acknowledge}4. Neither the name of {holder} contributors\n{end}")] == ["BSD-4-Clause"]
+        assert [x[0] for x in recognise(f"{bsd}3. Neither the name of {holder} contributors\n{end}")] == ["BSD-3-Clause"]
