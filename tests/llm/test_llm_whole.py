@@ -6,10 +6,12 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
+from assayer.llm import queries
 from assayer.llm.license_scan import recognise
 from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.quality_rules import QualityRules, keep_good
 from assayer.llm.sentence_pieces import read_vocabulary
+from assayer.llm.token_counts import count_tokens
 from tests.llm import brute
 
 
@@ -155,3 +157,13 @@ def test_licence_notices():
         acknowledge = "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by someone.\n\n"
         assert [x[0] for x in recognise(f"{bsd}{acknowledge}4. Neither the name of {holder} contributors\n{end}")] == ["BSD-4-Clause"]
         assert [x[0] for x in recognise(f"{bsd}3. Neither the name of {holder} contributors\n{end}")] == ["BSD-3-Clause"]
+
+
+def test_token_totals_of_all_documents(spark, folder):
+    expected = defaultdict(lambda: (0, 0))
+    for r in count_tokens(spark.read.parquet(f"{folder}/documents.parquet")).collect():
+        key = r.source, r.lang, r.tokenizer
+        expected[key] = expected[key][0] + 1, expected[key][1] + r.n_tokens
+    toxic = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic = 1")
+    got = queries.op1_token_counts(spark, folder).collect()
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in got} == expected and toxic.count()
