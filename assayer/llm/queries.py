@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import language_id
+from assayer.llm.conversation_repair import repaired_conversations
 from assayer.llm.decontaminate import contaminated
 from assayer.llm.license_scan import scan_licenses
 from assayer.llm.frames import staged
@@ -219,3 +220,103 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     rollup.commit("take down", deletes(taken))
     rollup.commit("put back", inserts(taken))
     return rollup.totals()
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired_conversations(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+#: The CRC-32 of a string of ASCII characters, bit by bit (reversed polynomial 0xEDB88320).
+_CRC = """
+  xor(4294967295::UBIGINT, list_reduce(list_transform(string_split({}, ''), lambda ch: ord(ch)::UBIGINT), lambda c, b:
+    list_reduce([0,0,0,0,0,0,0,0]::UBIGINT[], lambda x, zero:
+      xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)::UBIGINT, xor(c, b)), 4294967295::UBIGINT))
+"""
+
+
+def _candidates(state: int, due: int, kept: str) -> str:
+    """The least (cost, letters, lines) of keeping, changing or removing row i, in front of the best rest."""
+    role = "user" if due == 2 else "assistant"
+    return f"""list_min([
+      {{'c': v[{state + 1}].c + 4, 'a': 'D' || v[{state + 1}].a, 'o': v[{state + 1}].o}},
+      {{'c': v[{due + 1}].c + 3 + extra, 'a': 'R' || v[{due + 1}].a, 'o': list_prepend('{role}:' || text, v[{due + 1}].o)}},
+      {kept}
+    ])"""
+
+
+def _kept(state: int, to: str) -> str:
+    return f"{{'c': v[{to}].c + keep, 'a': 'K' || v[{to}].a, 'o': list_prepend(role || ':' || text, v[{to}].o)}}"
+
+
+def _inserted(state: int, rest: str) -> str:
+    due = (2, 2, 3, 2)[state]
+    role = "user" if due == 2 else "assistant"
+    at = f"{rest}[{due + 1}]"
+    return f"list_min([p[{state + 1}], {{'c': {at}.c + 3, 'a': 'I' || {at}.a, 'o': list_prepend('{role}:', {at}.o)}}])"
+
+
+def _repair_sql() -> str:
+    never = "{'c': 1000000000000, 'a': '', 'o': []::VARCHAR[]}"
+    targets = {
+        0: "CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 END",
+        1: "CASE initial WHEN 'u' THEN 3 END",
+        2: "CASE initial WHEN 'a' THEN 4 END",
+        3: "CASE initial WHEN 'u' THEN 3 END",
+    }
+    kept = {s: f"CASE WHEN ({t}) IS NULL THEN {never} ELSE {_kept(s, f'coalesce({t}, 1)')} END" for s, t in targets.items()}
+    plain = ", ".join(_candidates(s, (2, 2, 3, 2)[s], kept[s]) for s in range(4))
+    once = ", ".join(_inserted(s, "p") for s in range(4))
+    twice = ", ".join(_inserted(s, "q") for s in range(4))
+    return rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         ({_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}) % 20 AS part
+  FROM conversations
+), rows_left AS (
+  SELECT conv_id, turn, CASE WHEN part = 4 THEN 'user' ELSE role END AS role,
+         CASE part WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN part = 3 THEN [0, 1] ELSE [0] END) AS copy FROM given WHERE part <> 0)
+), placed AS (
+  SELECT *, left(role, 1) AS initial, regexp_extract_all(text, '[^ 	-]') AS solid,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), md5(text)) AS i
+  FROM rows_left
+), told AS (
+  SELECT *, len(solid) = 0 AS blank,
+         len(solid) > 0 AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+), faults AS (
+  SELECT *, NOT blank AND NOT duplicate AND solid[-1] NOT IN ('.', '!', '?') AS truncated FROM told
+), edges AS (
+  SELECT conv_id, i, initial, role, text,
+         CASE WHEN blank OR duplicate THEN 1000000 WHEN truncated THEN 3 ELSE 0 END AS extra,
+         CASE WHEN blank OR duplicate THEN 1000000 WHEN truncated THEN 3 ELSE 0 END AS keep
+  FROM faults
+), best AS (
+  SELECT conv_id, count(*) + 1 AS i, [
+    {{'c': 0, 'a': '', 'o': []::VARCHAR[]}}, {{'c': 6, 'a': 'II', 'o': ['user:', 'assistant:']}},
+    {{'c': 3, 'a': 'I', 'o': ['assistant:']}}, {{'c': 0, 'a': '', 'o': []::VARCHAR[]}}] AS v
+  FROM edges GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, [{twice}] AS v FROM (
+    SELECT conv_id, i, p, [{once}] AS q FROM (
+      SELECT e.conv_id, e.i, [{plain}] AS p FROM best b JOIN edges e ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND b.i = e.i + 1
+    )
+  )
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+         count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost,
+       coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN counted c ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT * FROM best WHERE i = 1) b ON g.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+ANSWERS["op11_conversation_repair"] = _repair_sql()
