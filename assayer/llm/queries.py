@@ -14,6 +14,7 @@ from assayer.llm.license_scan import scan_licenses
 from assayer.llm.frames import staged
 from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.near_dedup import NearDedup, near_duplicates
+from assayer.llm.periodic_runs import periodic, periodic_runs, strongest
 from assayer.llm.quality_classifier import score, train
 from assayer.llm.quality_rules import quality_rules
 from assayer.llm.repeats import repeated_passages
@@ -278,7 +279,8 @@ WITH RECURSIVE given AS (
          CASE part WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
   FROM (SELECT *, unnest(CASE WHEN part = 3 THEN [0, 1] ELSE [0] END) AS copy FROM given WHERE part <> 0)
 ), placed AS (
-  SELECT *, left(role, 1) AS initial, regexp_extract_all(text, '[^ 	-]') AS solid,
+  SELECT *, left(role, 1) AS initial, regexp_extract_all(text, '[^ 	-
+]') AS solid,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), md5(text)) AS i
   FROM rows_left
 ), told AS (
@@ -320,3 +322,19 @@ LEFT JOIN (SELECT * FROM best WHERE i = 1) b ON g.conv_id IS NOT DISTINCT FROM b
 
 
 ANSWERS["op11_conversation_repair"] = _repair_sql()
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).withColumn("text", periodic(F.col("text"), F.col("doc_id")))
+    found = periodic_runs(docs).withColumn("best", strongest(F.col("runs")))
+    best = F.col("best")
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
