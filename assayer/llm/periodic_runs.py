@@ -258,8 +258,10 @@ def periodic(text: Column, doc_id: Column) -> Column:
     turn = F.floor(hashed / 10).cast("long")
     words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
     n = F.size(words).cast("long")
-    first = turn % n
+    first = turn % F.greatest(n, F.lit(1))
     period = 1 + F.floor((n - first) / (3 + turn % 8)).cast("long")
-    at = lambda i: F.when(i >= first, first + (i - first) % period).otherwise(i)
-    repeated = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda i: F.get(words, at(i).cast("int")))
-    return F.when((hashed % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    turns = F.ceil((n - first) / period).cast("int")
+    part = F.slice(words, (first + 1).cast("int"), period.cast("int"))
+    repeated = F.slice(F.flatten(F.array_repeat(part, turns)), F.lit(1), (n - first).cast("int"))
+    whole = F.concat(F.slice(words, F.lit(1), first.cast("int")), repeated)
+    return F.when((hashed % 10 == 0) & (n > 0), F.array_join(whole, " ")).otherwise(text)

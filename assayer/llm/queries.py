@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import language_id
+from assayer.llm import language_id, toxicity
 from assayer.llm.conversation_repair import repaired_conversations
 from assayer.llm.decontaminate import contaminated
 from assayer.llm.license_scan import scan_licenses
@@ -338,3 +338,12 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = _documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~held_out)
+    model = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
