@@ -28,6 +28,7 @@ from assayer.llm.frames import columns_of, if_small, small_batches, smallest_has
 class KneserNey:
     order: int = 5  # bytes; at most 7, so that an n-gram and its length of history fit a long
     window: int = 16  # bytes of the worst place
+    discount: float = 2.0  # of the documents of a class that hold an n-gram; so rare ones are left to the shared counts
     held_back: int = 5  # one in so many labelled documents also serves to fit the score
     per_label: int = 2000  # of the held-back documents of each class, by smallest hash of the id
     threshold: float = 0.3
@@ -111,11 +112,10 @@ def _low(column: str, n: int):
     return F.col(column).bitwiseAND(F.lit((1 << 8 * n) - 1))
 
 
-def _discount(counts: DataFrame, *columns: str) -> dict[str, float]:
-    """n1 / (n1 + 2 n2) of each column, n1 and n2 being how many counts are 1 and 2."""
-    row = counts.agg(*(F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in columns for k in (1, 2))).first()
-    shares = {c: (row[f"{c}1"] / max(1, row[f"{c}1"] + 2 * row[f"{c}2"])) for c in columns}
-    return {c: min(max(share, 0.1), 0.95) for c, share in shares.items()}
+def _discount(counts: DataFrame) -> float:
+    """n1 / (n1 + 2 n2), n1 and n2 being how many of the counts ``n`` are 1 and 2."""
+    once, twice = counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    return min(max(once / max(1, once + 2 * twice), 0.1), 0.95)
 
 
 def _history(column: str = "gram") -> Window:
@@ -137,7 +137,7 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
     lower = first.select(F.col("gram").alias("low"), share.alias("shared"))
     for k in range(2, order):
         level = levels[k]
-        d = _discount(level, "n")["n"]
+        d = _discount(level)
         total, kinds = F.sum("n").over(_history()), F.count("*").over(_history())
         level = level.withColumn("total", total).withColumn("kinds", kinds).join(lower, _low("gram", k - 1) == F.col("low"))
         share = F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("shared")
@@ -145,18 +145,16 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
     return lower
 
 
-def _ratios(counts: DataFrame, shared: DataFrame, toxic: str, ordinary: str, order: int) -> DataFrame:
+def _ratios(counts: DataFrame, shared: DataFrame, toxic: str, ordinary: str, options: KneserNey) -> DataFrame:
     """(gram, ratio): log-likelihood ratio per n-gram seen in either class, and, as -1 - history, where it was not."""
+    d = options.discount
     seen = counts.select("gram", F.col(toxic).alias("toxic"), F.col(ordinary).alias("ordinary")).filter("toxic + ordinary > 0")
-    d = _discount(seen, "toxic", "ordinary")
-    given = seen.join(shared, _low("gram", order - 1) == F.col("low")).drop("low")
+    given = seen.join(shared, _low("gram", options.order - 1) == F.col("low")).drop("low")
     likelihood, rest = {}, {}
     for c in ("toxic", "ordinary"):
-        total, kinds = F.sum(c).over(_history()), F.count_if(F.col(c) > 0).over(_history())
-        given = given.withColumn(f"{c}_total", total).withColumn(
-            f"{c}_rest", F.when(total > 0, d[c] * kinds / total).otherwise(1.0)
-        )
-        own = F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - d[c], F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
+        total, taken = F.sum(c).over(_history()), F.sum(F.least(F.col(c), F.lit(d))).over(_history())
+        given = given.withColumn(f"{c}_total", total).withColumn(f"{c}_rest", F.when(total > 0, taken / total).otherwise(1.0))
+        own = F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
         likelihood[c] = own + F.col(f"{c}_rest") * F.col("shared")
         rest[c] = F.col(f"{c}_rest")
     model = given.select("gram", F.log(likelihood["toxic"] / likelihood["ordinary"]).alias("ratio"),
@@ -323,14 +321,14 @@ def train(docs: DataFrame, labels: DataFrame, options: KneserNey = KneserNey())
         "toxic-counts",
     )
     shared = staged(_shared(counts, order), "toxic-shared")
-    part = staged(_ratios(counts, shared, "toxic_part", "ordinary_part", order), "toxic-part")
+    part = staged(_ratios(counts, shared, "toxic_part", "ordinary_part", options), "toxic-part")
     chosen = smallest_hashes(marked.filter("kind > 2").select("marked", "label"), "label", "marked", options.per_label)
     chosen = F.broadcast(chosen.select("marked", "label"))  # at most per_label ids for either label
     sample = given.filter("text IS NOT NULL").join(chosen, F.col("doc_id") == F.col("marked")).select("text", "label")
     fitted = _measured(staged(sample, "toxic-sample"), part, options).toPandas()
     n, toxic = marked.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     weights = _logistic(fitted[["mean", "worst"]].to_numpy(float), fitted["label"].to_numpy(float), (toxic + 0.5) / (n + 5))
-    return Model(staged(_ratios(counts, shared, "toxic", "ordinary", order), "toxic-model"), tuple(weights), options)
+    return Model(staged(_ratios(counts, shared, "toxic", "ordinary", options), "toxic-model"), tuple(weights), options)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
