@@ -143,20 +143,42 @@ def log_probabilities(words: list[str], pieces: Pieces, probability: np.ndarray)
 
 
 def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, probability: np.ndarray) -> np.ndarray:
-    """How often each piece is used, over all segmentations of the words, each word taken weights times.
-
-    Words longer than the limit teach nothing; a bounded sample is all it learns from anyway.
-    """
+    """How often each piece is used, over all segmentations of the words, each word taken weights times."""
+    counts = np.zeros(pieces.size)
+    for w, n in zip(words, weights):
+        if len(w) > _LONG:
+            _count_long(w, n, pieces, probability, counts)
     keep = [i for i, w in enumerate(words) if len(w) <= _LONG]
     words, weights = [words[i] for i in keep], weights[keep]
     if not words:
-        return np.zeros(pieces.size)
+        return counts
     graph = lattice(words, pieces)
     p = probability[graph.piece, None]
     forward, backward = _sum_paths(graph, p)[..., 0], _sum_paths(graph, p, backward=True)[..., 0]
     k = graph.word
     share = forward[k, graph.start] * p[:, 0] * backward[k, graph.end] / forward[k, graph.length[k]]
-    return np.bincount(graph.piece, share * weights[k], minlength=pieces.size)
+    return counts + np.bincount(graph.piece, share * weights[k], minlength=pieces.size)
+
+
+def _count_long(word: str, weight: float, pieces: Pieces, probability: np.ndarray, counts: np.ndarray) -> None:
+    """Add the expected counts of one word of any length, by the same sums in logarithms."""
+    numbers, other, n = pieces.numbers, pieces.size - 1, len(word)
+    log = np.log(probability).tolist()
+    fits: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # by end: start and piece
+    for start in range(n):
+        for end in range(start + 1, min(n, start + pieces.longest) + 1):
+            found = numbers.get(word[start:end], other if end == start + 1 else None)
+            if found is not None:
+                fits[end].append((start, found))
+    forward, backward = [0.0] * (n + 1), [-np.inf] * n + [0.0]
+    for end in range(1, n + 1):
+        terms = [forward[start] + log[piece] for start, piece in fits[end]]
+        most = max(terms)
+        forward[end] = most + np.log(sum(np.exp(t - most) for t in terms))
+    for end in range(n, 0, -1):
+        for start, piece in fits[end]:
+            backward[start] = float(np.logaddexp(backward[start], backward[end] + log[piece]))
+            counts[piece] += weight * np.exp(forward[start] + log[piece] + backward[end] - forward[n])
 
 
 def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -182,15 +204,15 @@ def train(docs: DataFrame, options: LanguageId = LanguageId()) -> Model:
     small_batches(spark)
     pieces = read_pieces(options.model)
     usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
+    languages = [r.lang for r in usable.select("lang").distinct().limit(options.max_languages + 1).collect()]
+    languages = sorted(languages)
+    if len(languages) > options.max_languages:
+        raise ValueError(f"more than {options.max_languages} languages")
     chosen = smallest_hashes(usable.select("doc_id", "lang").distinct(), "lang", "doc_id", options.per_language)
     chosen = chosen.select("doc_id", "lang")
-    # At most per_language ids for each of a few languages: small enough to send to every task.
+    # At most per_language ids for each of the counted languages: small enough to send to every task.
     sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
     sample = staged(sample.repartition(spark.sparkContext.defaultParallelism), "languages")
-    languages = [r.lang for r in sample.select("lang").distinct().limit(options.max_languages + 1).collect()]
-    languages = sorted(languages)
-    if len(languages) > options.max_languages:
-        raise ValueError(f"more than {options.max_languages} languages")
     probability = np.full((pieces.size, len(languages)), 1 / pieces.size)
     shared_pieces = spark.sparkContext.broadcast(pieces)
     for _ in range(options.rounds if languages else 0):
