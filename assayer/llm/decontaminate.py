@@ -18,7 +18,7 @@ from assayer.llm.frames import columns_of, rows_in, small_batches, text_key
 @dataclass(frozen=True)
 class EditMatch:
     error_pct: int = 8  # edits allowed per 100 characters of an item
-    min_chars: int = 20  # shorter items would match by chance and are not searched
+    min_chars: int = 20  # shorter items would match by chance: they must stand there as whole words, unchanged
     block_chars: int = 1_000_000  # of items that one pass over the documents searches for
 
 
@@ -61,6 +61,7 @@ class Item:
     item_id: int | None
     text: str
     budget: int
+    whole_words: bool = False
 
     def pieces(self) -> Iterator[tuple[int, str]]:
         """budget + 1 pieces: within the budget, at least one of them is untouched."""
@@ -74,12 +75,13 @@ def _items(benchmark: DataFrame, options: EditMatch) -> Iterator[list[Item]]:
     block, size = [], 0
     for row in benchmark.orderBy("item_id", "text").toLocalIterator():
         text = normalise(row.text or "")
-        if len(text) < options.min_chars:
+        if not text:
             continue
         if block and size + len(text) > options.block_chars:
             yield block
             block, size = [], 0
-        block.append(Item(row.item_id, text, len(text) * options.error_pct // 100))
+        whole = len(text) < options.min_chars
+        block.append(Item(row.item_id, text, 0 if whole else len(text) * options.error_pct // 100, whole))
         size += len(text)
     if block:
         yield block
@@ -115,6 +117,10 @@ class Searcher:
     def _best(self, i: int, begins: list[int], text: str) -> tuple[int, int, int] | None:
         item, best = self.items[i], None
         k, m = item.budget, len(item.text)
+        if item.whole_words:
+            ends = (x + m for x in begins if text[x - 1 : x] in ("", " ") and text[x + m : x + m + 1] in ("", " "))
+            end = next(ends, None)
+            return None if end is None else (0, end - m, end)
         if self.forward[i] is None:
             self.forward[i], self.back[i] = Pattern(item.text), Pattern(item.text[::-1])
         spans = []
@@ -199,7 +205,8 @@ def contaminated(
     Result: doc_id, text_key, item_id, edits, start and end (of the best match in the normalised text: fewest
     edits, then the earliest end, then the latest start); one row per input row and item.
 
-    Null or empty texts and items match nothing. Items shorter than ``min_chars`` are not searched. Repeated
+    Items shorter than ``min_chars`` have no edits and must stand between spaces or ends of the text. Null or empty
+    texts and items, also those of white space only, match nothing. Repeated
     documents or items give repeated rows; rows without id keep null as id. Empty tables give an empty
     result, other columns are ignored. Texts are searched whole, all items and all hits are verified.
 
