@@ -15,7 +15,6 @@ class LineSpread:
     min_sites: int = 10  # a line on so many distinct sites is boilerplate
     lg_k: int = 10  # base-2 logarithm of the registers of a sketch
     sigmas: float = 4.0  # standard errors around the limit within which sites are counted exactly
-    max_share: float = 0.5  # a copied text that would lose more of its characters is left to deduplication
 
     @property
     def margin(self) -> float:
@@ -37,34 +36,27 @@ def _lines(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
 
 
 def _spread(lines: DataFrame, options: LineSpread) -> DataFrame:
-    """``line`` of every line on at least ``min_sites`` sites.
+    """``line`` of every line on at least ``min_sites`` sites, and ``first``, the smallest id of a document with it.
 
     Sketches are built in every task and merged after the shuffle, so a line that a third of all rows
     carry is one row per task. Only lines whose estimate is near the limit are counted exactly.
     """
     sketched = lines.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", options.lg_k)).alias("sites")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", options.lg_k)).alias("sites"), F.min("doc_id").alias("first")
     )
     likely = staged(sketched.filter(F.col("sites") >= options.min_sites - options.margin), "spread")
     clear = F.col("sites") > options.min_sites + options.margin
-    near = lines.join(likely.filter(~clear).select("line"), "line", "left_semi")
-    exact = near.groupBy("line").agg(F.count_distinct("site").alias("sites"))
-    return likely.filter(clear).select("line").union(exact.filter(F.col("sites") >= options.min_sites).select("line"))
+    near = lines.join(if_small(likely.filter(~clear).select("line", "first")), "line")
+    exact = near.groupBy("line").agg(F.count_distinct("site").alias("sites"), F.any_value("first").alias("first"))
+    exact = exact.filter(F.col("sites") >= options.min_sites)
+    return staged(likely.filter(clear).select("line", "first").union(exact.select("line", "first")), "boilerplate")
 
 
 def _lost(lines: DataFrame, spread: DataFrame) -> DataFrame:
-    """Numbers of the lost lines of every document that loses any, and ``text_again``: another row has its text.
-
-    Copies lose the same lines, so those of a text are all here. Rows with one id and text are one document;
-    rows without an id are one each.
-    """
-    lost = lines.join(spread, "line").groupBy("doc_id", "text_key").agg(
-        F.collect_set("at").alias("lost"), F.count("*").alias("n")
-    )
-    lost = staged(lost.withColumn("rows", F.when(F.col("doc_id").isNull(), F.col("n") / F.size("lost")).otherwise(1)), "lost")
-    copies = lost.groupBy("text_key").agg(F.sum("rows").alias("rows")).filter("rows > 1")
-    copies = if_small(staged(copies.select("text_key", F.lit(True).alias("text_again")), "copies"))
-    return lost.select("doc_id", "text_key", "lost").join(copies, "text_key", "left")
+    """Numbers of the lost lines of every document that loses any. Rows with one id and text are one document."""
+    # The lines to lose are few and counted; only beyond the limit does Spark shuffle lines, splitting hot ones.
+    held = lines.join(if_small(spread), "line").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return held.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("lost"))
 
 
 def remove_boilerplate(
@@ -77,18 +69,17 @@ def remove_boilerplate(
 ) -> DataFrame:
     """``docs`` with all their columns, without the lines that ``min_sites`` or more distinct sites carry.
 
-    Lines are compared by the 64-bit hash of their normalised form; a line of white space only is never
-    boilerplate. What stays of a text keeps its lines as they were. A document that would lose more than
-    ``max_share`` of its characters stays whole if another row has the same text: it is a copy, and which copy
-    to keep is for document-level deduplication to decide. Without such a row it loses its lines whatever their
-    share, if need be all of them. ``removed`` names a column to add with the number of lines taken.
+    Such a line stays in the document with the smallest id that holds it, and goes from all others, whatever they
+    have left then, if need be nothing. So of a text that stands on that many sites one copy stays whole. Lines are
+    compared by the 64-bit hash of their normalised form; a line of white space only is never boilerplate. What
+    stays of a text keeps its lines as they were. ``removed`` names a column to add with the number of lines taken.
 
-    Null and empty texts stay as they are; a null site counts as none. Rows with one id, or none, are
-    judged by their own text; equal rows lose the same lines. An empty table stays empty. No cap on the
-    length of a text or on the number of lines. A column of ``docs`` may have any name but ``removed``'s.
+    Null and empty texts stay as they are; a null site counts as none. Rows without an id are never first, unless no
+    row with the line has an id. Rows with one id are judged by their own text; equal rows lose the same lines. An
+    empty table stays empty. No cap on the length of a text or on the number of lines. A column of ``docs`` may have
+    any name but ``removed``'s.
 
-    Line hashes are staged once, and copies counted on hashes; the texts are shuffled once, to meet the
-    positions of their lost lines.
+    Line hashes are staged once; the texts are shuffled once, to meet the positions of their lost lines.
     """
     lines = staged(_lines(docs, doc_id, text, site), "lines")
     lost = _lost(lines, _spread(lines, options))
@@ -103,10 +94,8 @@ def remove_boilerplate(
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lost"))
     rest = F.when(F.col("lost").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     joined = row.join(lost, same, "left").withColumn("rest", rest)
-    cut = F.col("text_again").isNull() | (F.length("rest") >= (1 - options.max_share) * F.length("own_text"))
-    cut &= F.col("rest").isNotNull()
-    new = F.when(cut, F.col("rest")).otherwise(F.col("own_text"))
+    new = F.coalesce("rest", "own_text")
     out = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
     if removed:
-        out.append(F.when(cut, F.size("lost")).otherwise(0).cast("long").alias(removed))
+        out.append(F.coalesce(F.array_size("lost"), F.lit(0)).cast("long").alias(removed))
     return joined.select(*out)

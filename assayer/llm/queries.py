@@ -144,7 +144,8 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """Without an id a document is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 @query
@@ -175,14 +176,14 @@ LINES_SQL = r"""
     FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM kept)
   ), spread AS (
-    SELECT norm FROM each_line WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT source) >= 10
+    SELECT norm, min(doc_id) AS first FROM each_line WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT source) >= 10
   ), rest AS (
-    SELECT doc_id, count(*) FILTER (WHERE norm IN (FROM spread)) AS n_removed,
-           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE norm NOT IN (FROM spread)), '') AS left_text
-    FROM each_line GROUP BY doc_id
+    SELECT doc_id, count(*) FILTER (WHERE lost) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '') AS left_text
+    FROM (SELECT l.*, s.first IS NOT NULL AND s.first <> doc_id AS lost FROM each_line l LEFT JOIN spread s USING (norm))
+    GROUP BY doc_id
   ), unlined AS (
-    SELECT k.* REPLACE (CASE WHEN length(left_text) >= 0.5 * length(text) THEN left_text ELSE text END AS text),
-           CASE WHEN length(left_text) >= 0.5 * length(text) THEN n_removed ELSE 0 END AS n_removed
+    SELECT k.* REPLACE (coalesce(left_text, text) AS text), coalesce(n_removed, 0) AS n_removed
     FROM kept k LEFT JOIN rest USING (doc_id)
   )
 """
@@ -342,7 +343,7 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = _documents(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~held_out)
     model = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")))

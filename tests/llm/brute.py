@@ -47,19 +47,21 @@ def quality(docs, max_documents=10, max_lost_pct=50):
     return out
 
 
-def without_boilerplate(docs, min_sites=10, max_share=0.5):
+def without_boilerplate(docs, min_sites=10):
     """docs: (doc_id, text, source). The texts that stay."""
     norm = lambda line: re.sub(r"[\t\x0b\f\r ]+", " ", line).strip(" ").lower()
-    sites = defaultdict(set)
-    for _, text, source in docs:
+    sites, first = defaultdict(set), {}
+    for d, text, source in docs:
         for line in (text or "").split("\n"):
             if source is not None:
                 sites[norm(line)].add(source)
+            if d is not None:
+                first[norm(line)] = min(d, first.get(norm(line), d))
     out = []
-    for _, text, _ in docs:
+    for d, text, _ in docs:
         if text is not None:
-            rest = "\n".join(x for x in text.split("\n") if not norm(x) or len(sites[norm(x)]) < min_sites)
-            text = rest if len(rest) >= (1 - max_share) * len(text) else text
+            stay = lambda x: not x or len(sites[x]) < min_sites or first.get(x) == d
+            text = "\n".join(x for x in text.split("\n") if stay(norm(x)))
         out.append(text)
     return out
 
@@ -111,7 +113,11 @@ def contaminated(docs, items, pct=8, min_chars=20):
         text = norm(text)
         for i, item in items:
             item = norm(item)
-            if len(item) >= min_chars and best_edits(item, text) <= len(item) * pct // 100:
+            if len(item) >= min_chars:
+                found = best_edits(item, text) <= len(item) * pct // 100
+            else:
+                found = item and f" {item} " in f" {text} "
+            if found:
                 out.add((d, i))
     return out
 

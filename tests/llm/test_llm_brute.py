@@ -98,7 +98,7 @@ def test_line_dedup_near_the_limit(spark):
         options = LineSpread(min_sites=8, lg_k=lg_k)
         got = {r.doc_id: r.text for r in remove_boilerplate(docs, options).collect()}
         assert [got[d] for d, *_ in rows] == brute.without_boilerplate(rows, min_sites=8)
-        assert "eight" not in got[100] and "Seven" in got[0]
+        assert "eight" in got[100] and "eight" not in got[101] and "Seven" in got[49]
 
 
 def test_edit_matching():
@@ -334,7 +334,7 @@ def test_pipeline(spark, folder):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     good = {d for d, *_, kept in brute.quality(docs) if kept}
     docs = [x for x in docs if x[0] in good]
-    docs = [(d, text) for (d, _, _), text in zip(docs, brute.without_boilerplate(docs))]
+    docs = [(d, text) for (d, _, _), text in zip(docs, brute.without_boilerplate(docs)) if brute.words(text)]
     first = brute.near(docs, 5, 80)
     docs = [x for x in docs if first[x[0]] == x[0]]
     leaks = {d for d, _ in brute.contaminated(docs, items)}

@@ -3,10 +3,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from assayer.llm import queries
+from assayer.llm import language_id, queries
+from assayer.llm.decontaminate import contaminated
 from assayer.llm.license_scan import recognise
 from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.quality_rules import QualityRules, keep_good
@@ -77,7 +79,7 @@ def test_pipeline_removes_lines_of_hosts(spark, folder, tmp_path):
     rows = [(*x, len(x[1])) for x in docs]
     spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     good = good_texts(docs)
-    texts = [(d, text) for (d, _, _), text in zip(good, brute.without_boilerplate(good))]
+    texts = [(d, text) for (d, _, _), text in zip(good, brute.without_boilerplate(good)) if brute.words(text)]
     first = brute.near(texts, 5, 80)
     leaks = {d for d, _ in brute.contaminated(texts, [(r.item_id, r.text) for r in items.collect()])}
     expected = {d: text for d, text in texts if first[d] == d and d not in leaks}
@@ -88,20 +90,61 @@ def test_pipeline_removes_lines_of_hosts(spark, folder, tmp_path):
 
 
 def test_line_dedup_of_short_pages(spark):
-    """Boilerplate goes from pages that are mostly boilerplate; only texts that occur again stay whole."""
+    """Boilerplate goes from all documents but the first, whatever they have left."""
     head, foot = "a long header that stands on every page of every site", "and a footer that is just as long as that"
     pages = [(i, f"{head}\nown {i}\n{foot}", f"s{i % 12}") for i in range(24)]
     bare = [(100, f"{head}\n{foot}", "s1"), (101, f"{foot}\n{foot}", "s2"), (101, f"{foot}\n{foot}", "s2")]
     copies = [(200 + i, "a text found on many sites\nwith two lines", f"s{i}") for i in range(12)]
-    copies += [(300 + i, f"{head}\nthe same page twice\n{foot}", "s1") for i in range(2)]
-    copies += [(None, f"{foot}\nwithout an id", "s1")] * 2
-    alone = [(None, f"{foot}\nonce, without an id", "s1")]
-    docs = pages + bare + copies + alone
+    twice = [(300 + i, f"{head}\nthe same page twice\n{foot}", "s1") for i in range(2)]
+    nameless = [(None, f"{foot}\nwithout an id", "s1")] * 2 + [(None, f"{foot}\nonce, without an id", "s1")]
+    nameless += [(None, "only without id", f"s{i}") for i in range(10)]
+    docs = pages + bare + copies + twice + nameless
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.text, r.gone) for r in remove_boilerplate(frame, removed="gone").collect()), key=repr)
-    expected = [(i, f"own {i}", 2) for i, *_ in pages] + [(100, "", 2), (101, "", 2), (101, "", 2)]
-    expected += [(d, text, 0) for d, text, _ in copies] + [(None, "once, without an id", 1)]
+    expected = [(0, pages[0][1], 0)] + [(i, f"own {i}", 2) for i, *_ in pages[1:]] + [(100, "", 2), (101, "", 2), (101, "", 2)]
+    expected += [(200, copies[0][1], 0)] + [(d, "", 2) for d, *_ in copies[1:]] + [(d, "the same page twice", 2) for d, *_ in twice]
+    expected += [(None, "without an id", 1)] * 2 + [(None, "once, without an id", 1)] + [(None, "only without id", 0)] * 10
     assert got == sorted(expected, key=repr)
+    with_ids = [d for d in docs if d[0] is not None]
+    assert [x[1] for x in sorted((x for x in expected if x[0] is not None), key=lambda x: x[0])] == [
+        text for _, text in sorted(zip((d[0] for d in with_ids), brute.without_boilerplate(with_ids)), key=lambda x: x[0])
+    ]
+
+
+def test_short_items_of_the_benchmark(spark):
+    items = [(1, "Gates of  Dawn"), (2, "is"), (3, " "), (4, None), (5, "a sentence that is long enough to allow an edit")]
+    docs = [(1, "the gates of dawn"), (2, "gates of dawns"), (3, "This, his"), (4, "what is it"), (5, ""), (6, None),
+            (7, "x a sentence that is long enough to allow an edlt y")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(*frames).collect()}
+    assert got == brute.contaminated(docs, items) == {(1, 1), (4, 2), (7, 2), (7, 5)}
+
+
+def test_languages_without_spaces(spark):
+    """Sentences are one word each, longer than the limit of plain products."""
+    rng = random.Random(9)
+    signs = {"zh": "的一是不了人我在有他这为之大来以个中上们", "ja": "のにをはがでとたしてれさいなもるらかうこ"}
+    rows = []
+    for i in range(60):
+        lang = ("zh", "ja")[i % 2]
+        rows.append((i, "".join(rng.choice(signs[lang]) for _ in range(rng.randrange(60, 200))), lang))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(frame.filter("doc_id < 40"))
+    got = {r.doc_id: r for r in language_id.predict(frame, model).collect()}
+    assert all(got[i].lang_pred == lang and got[i].score > 0.99 for i, _, lang in rows)
+
+
+def test_expected_counts_of_long_words():
+    """The sums in logarithms are those of plain products."""
+    pieces = language_id.read_pieces(language_id.LanguageId().model)
+    rng = np.random.default_rng(1)
+    probability = rng.dirichlet(np.ones(pieces.size))
+    words = [" international", " unbelievable", " x世y", " "]
+    plain = language_id.expected_counts(words, np.array([1, 2, 3, 1]), pieces, probability)
+    summed = np.zeros(pieces.size)
+    for w, n in zip(words, (1, 2, 3, 1)):
+        language_id._count_long(w, n, pieces, probability, summed)
+    assert np.allclose(plain, summed, rtol=1e-9, atol=1e-12)
 
 
 @pytest.mark.parametrize(
