@@ -26,8 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that ten or more sites carry."""
-    counted = remove_boilerplate(docs)
+    """Documents without the lines that ten or more sites carry, which stay in the first document with them.
+
+    Documents that have no word left are gone.
+    """
+    counted = remove_boilerplate(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return counted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else counted
 
 
