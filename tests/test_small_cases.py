@@ -190,9 +190,54 @@ def test_clean_table_has_no_issues(spark):
     assert r.issues.count() == 0
     assert r.score.first()["grade"] == "A"
     assert r.plan.first()["estimated_score_lift"] == 0.0
-    assert "No significant quality issues" in r.narrative().first()["narrative"]
+    opening, finding, outlook = r.narrative().first()["narrative"].split("\n\n")
+    assert opening.startswith("**clean** scores **100.0 of 100 (grade A)**") and "Of its 50 rows and 2 columns, 0.0%" in opening
+    assert "**" not in finding and "at risk" not in finding
+    assert "the 0 proposed steps" in outlook and "about 0 points" in outlook
     assert '"issues":[]' in r.document().first()["report"]
-    assert "None detected" in r.digest().first()["digest"]
+    parts = sections(r.digest().first()["digest"])
+    assert parts["Issues, 0 in all"] == ["- none"] and parts["Steps to take"] == ["none"]
+
+
+def sections(text):
+    """Lines of the digest by the heading above them."""
+    out = {}
+    for block in text.split("\n\n"):
+        first, *rest = block.split("\n")
+        out[first] = rest
+    return out
+
+
+def test_narrative_and_digest_say_what_the_report_holds(spark):
+    start = datetime(2023, 1, 1)
+    rows = [
+        {"k": i, "price": 5000.0 if i < 4 else float(i % 20), "note": None if i % 4 == 0 else " x" if i % 4 == 1 else "y", "at": start}
+        for i in range(200)
+    ]
+    r = assess(small_frame(spark, rows, "k int, price double, note string, at timestamp_ntz"), CFG, "worn")
+    score, first = r.score.first(), r.issues.where("ord = 1").first()
+    columns = r.column_profile.orderBy("ordinal").collect()
+    issues = r.issues.orderBy("ord").collect()
+    actions = r.recommendations.orderBy("priority").collect()
+    opening, finding, outlook = r.narrative().first()["narrative"].split("\n\n")
+    assert f"**worn** scores **{score['ai_readiness']} of 100 (grade {score['grade']})**" in opening
+    assert "200 rows and 4 columns" in opening
+    assert f"**{first['title']}** ({first['severity']}, {first['affected_pct']:.1f}% of the rows). {first['possible_root_causes'][0]}" in finding
+    assert f"the {len(issues)} issue(s)" in finding
+    wins = [x["action"] for x in actions if x["effort"] == "Low" and x["impact"] == "High"]
+    assert all(x in outlook for x in wins[:2]) and (f"{len(wins)} step(s)" in outlook or not wins)
+    parts = sections(r.digest().first()["digest"])
+    assert f"- overall {score['ai_readiness']}, grade {score['grade']}" in parts["Scores out of 100"]
+    assert len(parts["Scores out of 100"]) == 7
+    assert [x.split(", ")[0] for x in parts["Columns"]] == [f"- {c['name']}" for c in columns]
+    assert all(f"{c['missing_pct']:.1f}% empty" in line for c, line in zip(columns, parts["Columns"]))
+    listed = parts[f"Issues, {len(issues)} in all"]
+    assert listed == [
+        f"- {i['severity']}: {i['title']}, {i['affected_pct']:.1f}% of the rows. {i['possible_root_causes'][0]}" for i in issues[: len(listed)]
+    ]
+    assert parts["Steps to take"] == [
+        f"{x['priority']}) {x['action']} (effort {x['effort']}, effect {x['impact']})" for x in actions[: len(parts["Steps to take"])]
+    ]
 
 
 def test_repeated_column_names(spark):
