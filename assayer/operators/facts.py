@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assayer.config import Config
 from assayer.functions.numbers import count_where, is_number
 from assayer.functions.texts import has_outer_whitespace
-from assayer.functions.times import TIME_FORMATS, text_to_time
+from assayer.functions.times import LAYOUTS, Layout, layouts_of, other_order, shape
 from assayer.operators.columns import (
     NON_NEGATIVE_WORDS,
     VALUE_WORDS,
@@ -24,6 +24,7 @@ from assayer.operators.columns import (
     name_has,
     quoted,
 )
+from assayer.operators.small import small_frame
 
 
 def one_row(df: DataFrame, aggregates: dict[str, Column], per_pass: int) -> dict:
@@ -46,8 +47,10 @@ class ColumnFacts:
     present: int
     numeric: int = 0
     whitespace: int = 0
-    layout: int | None = None  # index into TIME_FORMATS of a text column
+    layout: Layout | None = None  # the one that most values of a text column are in
     timed: int = 0
+    like_times: int = 0  # values that look like a time, read or not
+    ambiguous: int = 0  # values read that are another day if day and month change places
     first_time: datetime | None = None
     last_time: datetime | None = None
     mean: float | None = None
@@ -84,22 +87,52 @@ def _text_counts(df: DataFrame, specs: list[ColumnSpec], cfg: Config) -> dict[in
     """What the values of each text column look like, by ordinal.
 
     The columns are stacked, so that one small set of expressions serves any number of
-    them; each task sends one row per column.
+    them; each task sends one row per column and shape of its times.
     """
     names = [str(s.ordinal) for s in specs]
     long = df.select(*[quoted(s.name).alias(n) for s, n in zip(specs, names)]).unpivot([], names, "ordinal", "value")
     c = F.col("value")
-    wanted = {
-        "present": F.count(c),
-        "numeric": count_where(is_number(c)),
-        "whitespace": count_where(has_outer_whitespace(c)),
-        **{f"timed{i}": F.count(text_to_time(c, i)) for i in range(len(TIME_FORMATS))},
-    }
+    wanted = {"present": F.count(c), "numeric": count_where(is_number(c)), "whitespace": count_where(has_outer_whitespace(c))}
+    out = {s.ordinal: dict.fromkeys(wanted, 0) | {"shapes": {}} for s in specs}
+    present = long.where(c.isNotNull())
+    for row in present.groupBy("ordinal", shape(c).alias("shape")).agg(*[x.alias(k) for k, x in wanted.items()]).collect():
+        counts = out[int(row["ordinal"])]
+        for k in wanted:
+            counts[k] += row[k]
+        if row["shape"] is not None:
+            counts["shapes"][row["shape"]] = row["present"]
     if cfg.distinct == "approx":
-        wanted["approx"] = F.approx_count_distinct(c)
-    out = {s.ordinal: dict.fromkeys(wanted, 0) for s in specs}
-    for row in long.where(c.isNotNull()).groupBy("ordinal").agg(*[x.alias(k) for k, x in wanted.items()]).collect():
-        out[int(row["ordinal"])] = row.asDict()
+        for row in present.groupBy("ordinal").agg(F.approx_count_distinct(c).alias("approx")).collect():
+            out[int(row["ordinal"])]["approx"] = row["approx"]
+    return out
+
+
+def _read_times(df: DataFrame, columns: list[ColumnFacts], shapes: dict[int, dict[str, int]], cfg: Config) -> list[ColumnFacts]:
+    """Columns with text that looks like times, with the layout that reads most of it.
+
+    The shapes name the layouts to try, mostly one or two, so only these are parsed, in a scan of these columns.
+    """
+    tried = {o: layouts_of(found) for o, found in shapes.items() if found}
+    wanted = {}
+    for c in columns:
+        o, text = c.spec.ordinal, quoted(c.spec.name)
+        for layout in tried.get(o, ()):
+            other = other_order(layout)
+            wanted[f"{o}_timed{LAYOUTS.index(layout)}"] = F.count(layout.time(text))
+            if other in tried[o]:
+                wanted[f"{o}_either{LAYOUTS.index(layout)}"] = count_where(layout.time(text) != other.time(text))
+    got = one_row(df, wanted, max(1, cfg.aggregates_per_pass // 8)) if wanted else {}
+    out = []
+    for c in columns:
+        o = c.spec.ordinal
+        counts = {layout: got[f"{o}_timed{LAYOUTS.index(layout)}"] for layout in tried.get(o, ())}
+        if counts:
+            best = max(counts, key=counts.get)  # of equal ones the first
+            c = replace(c, like_times=sum(shapes[o].values()))
+            if counts[best]:
+                either = got.get(f"{o}_either{LAYOUTS.index(best)}", 0)
+                c = replace(c, layout=best, timed=counts[best], ambiguous=either)
+        out.append(c)
     return out
 
 
@@ -123,9 +156,6 @@ def _read(spec: ColumnSpec, rows: int, got: dict) -> ColumnFacts:
     if spec.kind == "number":
         return replace(base, numeric=got["present"])
     if spec.kind == "text":
-        best = max(range(len(TIME_FORMATS)), key=lambda i: (got[f"timed{i}"], -i))
-        if got[f"timed{best}"]:
-            base = replace(base, layout=best, timed=got[f"timed{best}"])
         return replace(base, numeric=got["numeric"])
     if spec.kind == "time":
         return replace(base, timed=got["present"], first_time=got["first_time"], last_time=got["last_time"])
@@ -152,6 +182,7 @@ def gather_facts(df: DataFrame, cfg: Config, repeated_names: list[str] | None =
         raise ValueError("the table has no rows")
     parts = _split(got, others) | (_text_counts(df, texts, cfg) if texts else {})
     columns = [_read(s, rows, parts[s.ordinal]) for s in specs]
+    columns = _read_times(df, columns, {s.ordinal: parts[s.ordinal]["shapes"] for s in texts}, cfg)
 
     # Text that turned out to be numbers or dates gets its statistics in a second narrow
     # scan, which parses each value once, before the aggregates.
@@ -162,7 +193,7 @@ def gather_facts(df: DataFrame, cfg: Config, repeated_names: list[str] | None =
             parsed.append(c.spec.number.alias(f"x{o}"))
             wanted |= {f"{o}_{k}": x for k, x in _moments(F.col(f"x{o}")).items()}
         if c.spec.kind == "text" and is_dated(c, cfg):
-            parsed.append(text_to_time(quoted(c.spec.name), c.layout).alias(f"t{o}"))
+            parsed.append(c.layout.time(quoted(c.spec.name)).alias(f"t{o}"))
             wanted |= {f"{o}_{k}": t for k, t in _span(F.col(f"t{o}")).items()}
     if wanted:
         parts = _split(one_row(df.select(*parsed), wanted, cfg.aggregates_per_pass), specs)
@@ -186,6 +217,31 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def time_layouts(df: DataFrame, cfg: Config) -> DataFrame:
+    """Per text column with values that look like times: its layout, how many it reads, and which it cannot.
+
+    ``unread_count`` are values of the look of a time that the layout does not read; ``ambiguous_count`` values
+    that are another day if day and month change places. ``layout`` is null if no value is a time.
+    """
+    rows = [
+        {
+            "ordinal": c.spec.ordinal,
+            "name": c.spec.name,
+            "layout": c.layout.name if c.layout else None,
+            "parsed_count": c.timed,
+            "unread_count": c.like_times - c.timed,
+            "ambiguous_count": c.ambiguous,
+            "is_date": is_dated(c, cfg),
+            "first_time": c.first_time,
+            "last_time": c.last_time,
+        }
+        for c in gather_facts(df, cfg).columns
+        if c.spec.kind == "text" and c.like_times
+    ]
+    schema = "ordinal int, name string, layout string, parsed_count bigint, unread_count bigint, ambiguous_count bigint, is_date boolean, first_time timestamp_ntz, last_time timestamp_ntz"
+    return small_frame(df.sparkSession, rows, schema)
+
+
 def _share(part: int, facts: ColumnFacts, cfg: Config) -> float:
     base = facts.present if cfg.ratio_base == "non_null" else facts.rows
     return part / base if base else 0.0

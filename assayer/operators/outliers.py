@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from assayer.config import Config
 from assayer.functions.numbers import count_where, outside_fences
-from assayer.functions.times import text_to_time
 from assayer.operators.columns import quoted
 from assayer.operators.facts import ColumnFacts, Facts, is_dated, is_numeric, negatives, one_row
 from assayer.operators.small import small_frame
@@ -46,7 +45,7 @@ def date_columns(facts: Facts, cfg: Config) -> list[ColumnFacts]:
 
 
 def time_of(c: ColumnFacts) -> Column:
-    return c.spec.time if c.spec.kind == "time" else text_to_time(quoted(c.spec.name), c.layout)
+    return c.spec.time if c.spec.kind == "time" else c.layout.time(quoted(c.spec.name))
 
 
 @dataclass(frozen=True)

@@ -446,6 +446,28 @@ ANSWERS["datetime_layouts"] = union(
         ("offset", "date_trunc('millisecond', o_orderdate) - INTERVAL 330 MINUTE"),
     )
 )
+_EITHER = "count(*) FILTER (WHERE day(t) <= 12 AND day(t) <> month(t))"
+_MOMENT = "(date_trunc('day', o_orderdate) + to_seconds((o_orderkey % 86400)::INTEGER))"
+ANSWERS["date_layouts_by_shape"] = f"WITH o AS (SELECT o_orderkey AS k, {_MOMENT} AS t FROM orders), " + """
+  d AS (SELECT *, date_trunc('day', t) AS day FROM o)
+""" + union(
+    f"SELECT {i}::INTEGER AS ordinal, '{name}' AS name, '{layout}' AS layout, count({t}) AS parsed_count, {unread}::BIGINT AS unread_count, "
+    f"{either}::BIGINT AS ambiguous_count, count({t}) > 0.8 * count(*) AS is_date, "
+    f"CASE WHEN count({t}) > 0.8 * count(*) THEN min({t}) END AS first_time, CASE WHEN count({t}) > 0.8 * count(*) THEN max({t}) END AS last_time FROM d"
+    for i, name, layout, t, unread, either in (
+        (0, "compact", "yyyyMMdd", "day", "0", "0"),
+        (1, "us_minutes", "M/d/y", "date_trunc('minute', t)", "0", _EITHER),
+        (2, "utc_offset", "y-M-d", "t", "0", "0"),
+        (3, "plain_offset", "y-M-d", "t + INTERVAL 150 MINUTE", "0", "0"),
+        (4, "dotted", "d.M.y", "CASE WHEN k % 50 <> 0 THEN day END", "count(*) FILTER (WHERE k % 50 = 0)", _EITHER.replace("WHERE ", "WHERE k % 50 <> 0 AND ")),
+        (5, "short", "M/d/y", "day", "0", _EITHER),
+        (6, "month_name", "d MMM y", "day", "0", "0"),
+        (7, "mail", "d MMM y", "t", "0", "0"),
+        (8, "half_day", "M/d/y", "t", "0", _EITHER),
+        (9, "unclear", "M/d/y", "CASE WHEN day(t) <= 12 THEN make_timestamp(year(t), day(t), month(t), 0, 0, 0) END", "0", _EITHER),
+        (10, "spelled", "MMM d y", "day", "0", "0"),
+    )
+)
 ANSWERS["exact_integers"] = """SELECT 1000000000000000000 + o_orderkey AS id19, '7' || lpad(o_orderkey::VARCHAR, 24, '0') AS id25,
   CASE WHEN o_orderkey % 9 <> 0 THEN 9007199254740993 END AS cast_mixed, 'bigint, decimal(38,0), string' AS kinds FROM orders"""
 ANSWERS["integer_contract"] = union(

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from assayer.config import Config
 from assayer.functions import grades as g
 from assayer.functions.numbers import outside_fences, percent, round_half_up
-from assayer.functions.times import TIME_FORMATS
 from assayer.operators import conversations, display, inject, remediate, rules
 from assayer.operators import facts as roles
 from assayer.operators import recommend as rec
 from assayer.operators.columns import column_specs
 from assayer.operators.duplicates import duplicate_rows
-from assayer.operators.facts import gather_facts
+from assayer.operators.facts import gather_facts, time_layouts
 from assayer.operators.impact import downstream_risks, exposure, outlier_exposure
 from assayer.operators.issues import correlated_columns
 from assayer.operators.profile import TableProfile
@@ -149,7 +148,7 @@ def datetime_coercion_ratio(spark, folder):
     rows = [
         {
             "name": c.spec.name,
-            "layout": TIME_FORMATS[c.layout][0],
+            "layout": c.layout.name,
             "parsed_count": c.timed,
             "total_rows": c.rows,
             "is_date": roles.is_dated(c, ORDERS),
@@ -180,6 +179,35 @@ def datetime_layouts(spark, folder):
     return small_frame(spark, rows, "name string, parsed_count bigint, first_time timestamp_ntz, last_time timestamp_ntz")
 
 
+def _shaped_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """One time per order, in the layouts of many kinds of files."""
+    t = F.timestamp_add("SECOND", (F.col("o_orderkey") % 86_400).cast("int"), F.col("o_orderdate").cast("timestamp_ntz"))
+    text = lambda layout: F.date_format(t, layout)
+    noon = F.when(F.hour(t) < 12, "AM").otherwise("PM")
+    weekday = F.element_at(F.array(*map(F.lit, ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"))), F.weekday(t) + 1)
+    odd = F.col("o_orderkey") % 50 == 0
+    return table(spark, folder, "orders").select(
+        text("yyyyMMdd").alias("compact"),
+        text("MM/dd/yyyy HH:mm").alias("us_minutes"),
+        F.concat(text("yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")).alias("utc_offset"),
+        F.concat(text("yyyy-MM-dd'T'HH:mm:ss"), F.lit("-0230")).alias("plain_offset"),
+        F.when(odd, "31.02.2023").otherwise(text("dd.MM.yyyy")).alias("dotted"),
+        text("M/d/yyyy").alias("short"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.upper(text("d-MMM-yyyy"))).otherwise(text("dd-MMM-yyyy")).alias("month_name"),
+        F.concat(weekday, F.lit(", "), text("dd MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("mail"),
+        F.concat(text("M/d/yyyy h:mm:ss"), F.lit(" "), noon).alias("half_day"),
+        F.when(F.dayofmonth(t) <= 12, text("dd/MM/yy")).alias("unclear"),
+        F.concat(text("MMMM d"), F.lit(", "), text("yyyy")).alias("spelled"),
+        F.when(odd, "n/a").otherwise(F.concat(F.lit("on "), text("yyyy-MM-dd"))).alias("prose"),
+    )
+
+
+@query
+def date_layouts_by_shape(spark, folder):
+    """Layouts found from the shapes of texts, what they read, and what stays unread or could be another day."""
+    return time_layouts(_shaped_dates(spark, folder), ORDERS)
+
+
 def _long_numbers(spark, folder) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     return table(spark, folder, "orders").select(
