@@ -14,7 +14,7 @@ from assayer.config import Config
 from assayer.functions.numbers import percent, round_half_up
 from assayer.functions.times import whole_days
 from assayer.operators import facts as roles
-from assayer.operators.columns import VALUE_WORDS, column_specs, currency_of, distinct_names, name_has, quoted
+from assayer.operators.columns import ColumnSpec, VALUE_WORDS, column_specs, currency_of, distinct_names, name_has, quoted
 from assayer.operators.duplicates import duplicate_rows
 from assayer.operators.facts import ColumnFacts, Facts, gather_facts
 from assayer.operators.missingness import co_missing
@@ -28,7 +28,7 @@ from assayer.operators.outliers import (
 )
 from assayer.operators.quantiles import QUARTILES, exact_quantiles
 from assayer.operators.small import settle, small_frame
-from assayer.operators.values import exact_distinct, value_counts, value_summary
+from assayer.operators.values import exact_distinct, fingerprint_counts, value_summary
 
 _STATS = (
     "ordinal int, name string, dtype string, role string, total_rows bigint, present bigint, "
@@ -104,8 +104,11 @@ class TableProfile:
 
     @cached_property
     def value_counts(self) -> DataFrame | None:
-        specs = [c.spec for c in self.columns if roles.is_categorical(c, self.cfg) and c.present]
-        return value_counts(self.df, specs) if specs else None
+        specs = self._categories()
+        return fingerprint_counts(self.df, specs, self._mixed_ordinals()) if specs else None
+
+    def _categories(self) -> list[ColumnSpec]:
+        return [c.spec for c in self.columns if roles.is_categorical(c, self.cfg) and c.present]
 
     @cached_property
     def value_summary(self) -> DataFrame:
@@ -113,7 +116,7 @@ class TableProfile:
         schema = "ordinal int, distinct bigint, counted bigint, top_values array<struct<value:string,count:bigint>>, format_issue_examples array<string>"
         if self.value_counts is None:
             return small_frame(self.spark, [], schema)
-        return settle(value_summary(self.value_counts, self._mixed_ordinals(), self.cfg))
+        return settle(value_summary(self.value_counts, self.df, self._categories(), self._mixed_ordinals(), self.cfg))
 
     @cached_property
     def distinct(self) -> dict[int, int]:
@@ -124,8 +127,8 @@ class TableProfile:
     @cached_property
     def other_distinct(self) -> dict[int, int]:
         """Exact distinct counts of the columns without value counts."""
-        specs = [c.spec for c in self.columns if c.present and not roles.is_categorical(c, self.cfg)]
-        return exact_distinct(self.df, specs)
+        columns = [c for c in self.columns if c.present and not roles.is_categorical(c, self.cfg)]
+        return exact_distinct(self.df, columns)
 
     @cached_property
     def overlaps(self) -> DataFrame:

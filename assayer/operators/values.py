@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 from assayer.config import Config
 from assayer.functions.numbers import text_to_number
 from assayer.functions.texts import has_outer_whitespace
-from assayer.operators.columns import ColumnSpec
-from assayer.operators.facts import one_row
+from assayer.operators.columns import ColumnSpec, quoted
+from assayer.operators.facts import ColumnFacts
+from assayer.operators.small import small_frame
 
-# Columns per count-distinct job: each one widens the grouping key of the whole job.
-_DISTINCT_COLUMNS = 4
+#: Characters of a value that are shuffled; longer values are told apart by hashes.
+_HEAD = 32
+
+#: Candidates for top values and examples that reach the driver; more stay distributed.
+_FEW = 50_000
+
+#: Bits of a bitmap per value that are worth it: a value takes 128 bits elsewhere.
+_SPARSE = 64
 
 
 def value_counts(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
@@ -38,35 +45,97 @@ def most_common(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def value_summary(counts: DataFrame, mixed: list[int], cfg: Config) -> DataFrame:
-    """Per column: distinct values, top values, and a few offending values of each kind.
+def _stacked(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """(ordinal, value) of all given columns, without missing values."""
+    cells = [F.struct(F.lit(s.ordinal).alias("ordinal"), s.label.alias("value")) for s in specs]
+    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+
 
-    Three readers share the one shuffle of ``counts``. They are combined by union, and no
-    reader filters on the value, because a join or filter would be pushed below the
-    shuffle of that reader alone and make Spark count the values again.
+def _keyed(stacked: DataFrame, mixed: list[int]) -> DataFrame:
+    """What names a value in few bytes: its first characters, and if there are more, 128 bits of hashes.
+
+    Of a longer value the last character and whether it is no number are kept too, as far as the counts need it.
     """
-    value, none = F.col("value"), F.lit(None)
-    columns = ("ordinal", "part", "rank", "value", "n", "values")
-    distinct = counts.groupBy("ordinal").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))
-    distinct = distinct.select("ordinal", F.lit("all").alias("part"), F.lit(0).alias("rank"), none.cast("string").alias("value"), "n", "values")
+    v = F.col("value")
+    more = F.length(v) > _HEAD
+    return stacked.select(
+        "ordinal",
+        F.left(v, F.lit(_HEAD)).alias("head"),
+        F.when(more, F.xxhash64(v)).alias("h1"),
+        F.when(more, F.xxhash64(F.lit("second"), v)).alias("h2"),
+        F.when(more, F.right(v, F.lit(1))).alias("tail"),
+        F.when(more & F.col("ordinal").isin(mixed), text_to_number(v).isNull()).alias("worded"),
+        "value",
+    )
 
-    top = most_common(counts, ["ordinal"], cfg.top_values)
-    top = top.withColumns({"part": F.lit("top"), "values": F.lit(1).cast("bigint")}).select(*columns)
 
-    # Kinds of anomaly as disjoint classes; the smallest values of each class are enough
-    # to know the smallest of each kind.
-    spaced = has_outer_whitespace(value)
-    worded = F.col("ordinal").isin(mixed) & text_to_number(value).isNull()
-    kind = F.when(spaced & worded, "both").when(spaced, "spaced").when(worded, "worded").otherwise("fine")
-    order = W.partitionBy("ordinal", "part").orderBy("value")
-    odd = (
-        counts.select("ordinal", kind.alias("part"), "value", "n")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= cfg.examples_per_kind)
-        .withColumn("values", F.lit(1).cast("bigint"))
-        .select(*columns)
+def fingerprint_counts(df: DataFrame, specs: list[ColumnSpec], mixed: list[int]) -> DataFrame:
+    """(ordinal, head, h1, h2, tail, worded, n) of all given columns in one shuffle of short rows, counted before it.
+
+    No long text is shuffled. Values are the same if their first characters and two 64-bit hashes are.
+    """
+    keyed = _keyed(_stacked(df, specs), mixed).drop("value")
+    return keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _candidates(counts: DataFrame, mixed: list[int], cfg: Config) -> DataFrame:
+    """Per column: its number of values, and every value that may be a top value or an example.
+
+    Values that share count and first characters tie; all of them are candidates.
+    """
+    none, k = F.lit(None), ["h1", "h2"]
+    columns = ("ordinal", "part", "head", *k, "n", "values")
+    distinct = counts.groupBy("ordinal").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))
+    distinct = distinct.select(
+        "ordinal", F.lit("all").alias("part"), none.cast("string").alias("head"), *(none.cast("bigint").alias(c) for c in k), "n", "values"
     )
-    parts = distinct.unionByName(top).unionByName(odd)
+    one = F.lit(1).cast("bigint").alias("values")
+    top = counts.withColumn("rank", F.rank().over(W.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("head"))))
+    top = top.where(F.col("rank") <= cfg.top_values).withColumn("part", F.lit("top"))
+
+    # Kinds of anomaly as disjoint classes; the smallest values of each class are enough to know the smallest of
+    # each kind. Spaces at the ends show in the first and the last character.
+    ends = F.concat(F.left("head", F.lit(1)), F.lit("x"), F.coalesce("tail", F.right("head", F.lit(1))))
+    spaced = has_outer_whitespace(ends)
+    worded = F.col("ordinal").isin(mixed) & F.coalesce("worded", text_to_number(F.col("head")).isNull())
+    kind = F.when(spaced & worded, "both").when(spaced, "spaced").when(worded, "worded").otherwise("fine")
+    order = W.partitionBy("ordinal", "part").orderBy("head")
+    odd = counts.withColumn("part", kind).withColumn("rank", F.rank().over(order)).where(F.col("rank") <= cfg.examples_per_kind)
+    parts = [x.select("ordinal", "part", "head", *k, "n", one).select(*columns) for x in (top, odd)]
+    return distinct.select(*columns).unionByName(parts[0]).unionByName(parts[1])
+
+
+def _with_values(parts: DataFrame, df: DataFrame, specs: list[ColumnSpec], long: list[int]) -> DataFrame:
+    """The candidates with their whole values; those of long values are fetched by a scan of their columns."""
+    keys = ["ordinal", "h1", "h2"]
+    wanted = parts.where(F.col("h1").isNotNull()).select(*(F.col(k).alias(f"of_{k}") for k in keys)).distinct()
+    rows = _keyed(_stacked(df, [s for s in specs if s.ordinal in long]), []).where(F.col("h1").isNotNull())
+    same = [F.col(k) == F.col(f"of_{k}") for k in keys]
+    whole = rows.join(wanted, same, "left_semi").groupBy(*(F.col(k).alias(f"of_{k}") for k in keys)).agg(F.min("value").alias("whole"))
+    return parts.join(whole, same, "left").withColumn("head", F.coalesce("whole", "head"))
+
+
+def value_summary(counts: DataFrame, df: DataFrame, specs: list[ColumnSpec], mixed: list[int], cfg: Config) -> DataFrame:
+    """Per column: distinct values, top values, and a few offending values of each kind.
+
+    ``counts`` is shuffled once; of it, a few candidates per column are read. Only if a candidate is longer than
+    its first characters, the columns of such candidates are scanned again, for these values alone. Candidates
+    are few unless very many values share both count and beginning; then they stay distributed.
+    """
+    parts = _candidates(counts, mixed, cfg)
+    rows = [r.asDict() for r in parts.limit(_FEW + 1).collect()]
+    if len(rows) <= _FEW:
+        parts = small_frame(df.sparkSession, rows, parts.schema)
+        long = sorted({r["ordinal"] for r in rows if r["h1"] is not None})
+    else:
+        long = [s.ordinal for s in specs]
+    if long:
+        parts = _with_values(parts, df, specs, long)
+    order = W.partitionBy("ordinal", "part").orderBy(F.when(F.col("part") == "top", -F.col("n")), "head")
+    parts = parts.withColumn("rank", F.row_number().over(order)).withColumnRenamed("head", "value")
+    value = F.col("value")
+    few = F.when(F.col("part") == "top", F.lit(cfg.top_values)).otherwise(F.lit(cfg.examples_per_kind))
+    parts = parts.where(F.col("rank") <= few)
 
     def examples(*kinds: str):
         found = F.sort_array(F.collect_list(F.when(F.col("part").isin(*kinds), value)))
@@ -84,11 +153,36 @@ def value_summary(counts: DataFrame, mixed: list[int], cfg: Config) -> DataFrame
     )
 
 
-def exact_distinct(df: DataFrame, specs: list[ColumnSpec]) -> dict[int, int]:
-    """Distinct non-missing values of columns that need no value counts."""
+def _dense(c: ColumnFacts) -> bool:
+    """Whether a bit for each number between the least and the largest takes less than the numbers do."""
+    if c.spec.dtype not in ("tinyint", "smallint", "int", "bigint") or c.low is None:
+        return False
+    return c.high - c.low < _SPARSE * c.present
+
+
+def exact_distinct(df: DataFrame, columns: list[ColumnFacts]) -> dict[int, int]:
+    """Distinct non-missing values of columns that need no value counts.
+
+    Whole numbers that lie close together are bits of a bitmap, 32,768 to a row; every other value is 128 bits of
+    hashes. Both are merged before they are shuffled, all columns in one shuffle each.
+    """
     out: dict[int, int] = {}
-    for i in range(0, len(specs), _DISTINCT_COLUMNS):
-        part = specs[i : i + _DISTINCT_COLUMNS]
-        got = one_row(df, {str(s.ordinal): F.count_distinct(s.groupable) for s in part}, _DISTINCT_COLUMNS)
-        out |= {int(k): v for k, v in got.items()}
+    dense = [c.spec for c in columns if _dense(c)]
+    if dense:
+        cells = [F.struct(F.lit(s.ordinal).alias("ordinal"), quoted(s.name).cast("bigint").alias("v")) for s in dense]
+        rows = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+        bits = rows.groupBy("ordinal", F.bitmap_bucket_number("v").alias("bucket")).agg(
+            F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("v"))).alias("n")
+        )
+        out |= {r["ordinal"]: r["n"] for r in bits.groupBy("ordinal").agg(F.sum("n").alias("n")).collect()}
+    others = [c.spec for c in columns if not _dense(c)]
+    if others:
+        cells = []
+        for s in others:
+            v = s.groupable + F.lit(0.0) if s.dtype in ("float", "double") else s.groupable  # one zero
+            h1, h2 = F.xxhash64(v).alias("h1"), F.xxhash64(F.lit("second"), v).alias("h2")
+            cells.append(F.when(v.isNotNull(), F.struct(F.lit(s.ordinal).alias("ordinal"), h1, h2)))
+        rows = df.select(F.explode(F.array(*cells)).alias("c")).where(F.col("c").isNotNull()).select("c.*")
+        found = rows.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
+        out |= {r["ordinal"]: r["n"] for r in found.collect()}
     return out

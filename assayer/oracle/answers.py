@@ -446,6 +446,22 @@ ANSWERS["datetime_layouts"] = union(
         ("offset", "date_trunc('millisecond', o_orderdate) - INTERVAL 330 MINUTE"),
     )
 )
+ANSWERS["top_values_documents"] = union(
+    f"SELECT '{c}' AS name, (row_number() OVER (ORDER BY n DESC, value) - 1)::INTEGER AS place, value, n AS value_count "
+    f"FROM (SELECT {c} AS value, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY {c}) QUALIFY place < 5"
+    for c in ("text", "lang", "source")
+)
+_WIDE = {
+    "documents": "doc_id text lang source n_chars",
+    "pages": "page_id url html",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+}
+ANSWERS["column_distinct_documents"] = union(
+    f"SELECT '{t}' AS table_name, '{c}' AS name, count(DISTINCT {c}) AS unique_count FROM {t}" for t, names in _WIDE.items() for c in names.split()
+)
+ANSWERS["duplicate_rows_documents"] = (
+    "SELECT sum(n - 1)::BIGINT AS duplicate_count FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars)"
+)
 _EITHER = "count(*) FILTER (WHERE day(t) <= 12 AND day(t) <> month(t))"
 _MOMENT = "(date_trunc('day', o_orderdate) + to_seconds((o_orderkey % 86400)::INTEGER))"
 ANSWERS["date_layouts_by_shape"] = f"WITH o AS (SELECT o_orderkey AS k, {_MOMENT} AS t FROM orders), " + """

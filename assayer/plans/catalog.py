@@ -516,6 +516,37 @@ def top_values(spark, folder):
     )
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("text", "lang", "source", "n_chars")
+
+
+@query
+def top_values_documents(spark, folder):
+    """Most frequent values of columns with long texts, of which copies are many."""
+    p = TableProfile(_documents(spark, folder), ORDERS)
+    names = p.stats(outliers=False, distinct=False).select("ordinal", "name")
+    return (
+        p.value_summary.join(names, "ordinal")
+        .select("name", F.posexplode("top_values").alias("place", "v"))
+        .select("name", "place", F.col("v.value").alias("value"), F.col("v.count").alias("value_count"))
+    )
+
+
+@query
+def column_distinct_documents(spark, folder):
+    parts = []
+    for name in ("documents", "pages", "lineitem"):
+        stats = TableProfile(table(spark, folder, name), ORDERS).stats(outliers=False)
+        parts.append(stats.select(F.lit(name).alias("table_name"), "name", F.col("distinct_count").alias("unique_count")))
+    return _union(parts)
+
+
+@query
+def duplicate_rows_documents(spark, folder):
+    """Copies of whole rows with long texts: fingerprints find the suspects, their rows prove it."""
+    return duplicate_rows(_documents(spark, folder))
+
+
 def _dataset(spark: SparkSession, folder: str) -> DataFrame:
     return _profile(spark, folder).gather().dataset_profile
 
