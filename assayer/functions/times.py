@@ -31,9 +31,15 @@ SECONDS_PER_DAY = 86_400
 #: Longer text is no time.
 LONGEST = 48
 
-_WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +)?"
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-_MONTH = rf"({_MONTHS})[a-z]*\.?"
+# Whole names only: three letters, or all of them.
+_A_WEEKDAY = r"\b(?:mon(?:day)?|tues?(?:day)?|wed(?:nesday)?|thu(?:rs(?:day)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)\b"
+_A_MONTH = (
+    r"\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?"
+    r"|nov(?:ember)?|dec(?:ember)?)\b"
+)
+_WEEKDAY = rf"(?:{_A_WEEKDAY},? +)?"
+_MONTH = rf"(?={_A_MONTH})({_MONTHS})[a-z]*\.?"
 _TIME = r"(?:[t ] *(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([ap]m))?)?"
 _ZONE = r"(?: ?(z|utc|gmt|[+-]\d{2}:?\d{2}))?"
 _YEAR = r"(\d{4}|\d{2})"
@@ -108,8 +114,8 @@ def shape(c: Column) -> Column:
 
     Only text that some order of a date's parts fits has a shape, so a column has few of them.
     """
-    plain = F.regexp_replace(F.lower(c), r"\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*", "mon")
-    plain = F.regexp_replace(plain, rf"\b({_MONTHS})[a-z]*", "jan")
+    plain = F.regexp_replace(F.lower(c), _A_WEEKDAY, "mon")
+    plain = F.regexp_replace(plain, _A_MONTH, "jan")
     plain = F.regexp_replace(F.regexp_replace(plain, r"utc|gmt", "z"), "pm", "am")
     return F.when((F.length(c) <= LONGEST) & c.rlike(_ANY), F.regexp_replace(plain, "[0-9]", "9"))
 
