@@ -151,27 +151,26 @@ CATEGORY_CLUSTERS = (
 def outlier_categories(df: DataFrame, facts: Facts, spreads: dict[int, Spread], scan: OutlierScan, cfg: Config) -> DataFrame:
     """Most frequent value of each text column among the far outliers of each column.
 
-    Only outlier rows are spread over the text columns, and counted before the shuffle.
+    Each row lists the columns it is a far outlier of, once, and its texts, once. Only outlier rows are spread,
+    over the one and then the other, and counted before the shuffle; so the work grows with the sum of the columns
+    and the cells of outlier rows, not with the product of the columns.
     """
     texts = [c.spec for c in facts.columns if c.spec.kind == "text"]
-    cells, any_far = [], None
+    flags = []
     for o, found in scan.columns.items():
         c, s = facts.columns[o], spreads[o]
-        if not (is_numeric(c, cfg) and found.far and found.column_count(negatives(c, cfg))):
-            continue
-        far = outside_fences(c.spec.number, s.q1, s.q3, cfg.far_fence)
-        any_far = far if any_far is None else any_far | far
-        for t in texts:
-            if t.ordinal != o:
-                v = quoted(t.name)
-                cell = F.struct(F.lit(o).alias("ordinal"), F.lit(t.ordinal).alias("category_ordinal"), v.alias("value"))
-                cells.append(F.when(far & v.isNotNull(), cell))
-    if not cells:
+        if is_numeric(c, cfg) and found.far and found.column_count(negatives(c, cfg)):
+            flags.append(F.when(outside_fences(c.spec.number, s.q1, s.q3, cfg.far_fence), F.lit(o)))
+    if not flags or not texts:
         return small_frame(df.sparkSession, [], "ordinal int, category_ordinal int, value string, n bigint, rank int")
+    names = [str(t.ordinal) for t in texts]
+    cells = df.where(F.coalesce(*flags).isNotNull()).select(F.array(*flags).alias("far"), *[quoted(t.name).alias(n) for t, n in zip(texts, names)])
     counts = (
-        df.where(any_far)
-        .select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-        .groupBy("cell.ordinal", "cell.category_ordinal", "cell.value")
+        cells.unpivot(["far"], names, "category_ordinal", "value")
+        .where(F.col("value").isNotNull())
+        .select(F.explode("far").alias("ordinal"), F.col("category_ordinal").cast("int").alias("category_ordinal"), "value")
+        .where(F.col("ordinal") != F.col("category_ordinal"))
+        .groupBy("ordinal", "category_ordinal", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return most_common(counts, ["ordinal", "category_ordinal"], 1)
@@ -187,14 +186,12 @@ def category_clusters(df: DataFrame, facts: Facts, spreads: dict[int, Spread], s
     if not rows:
         return small_frame(df.sparkSession, [], CATEGORY_CLUSTERS)
     spec = {c.spec.ordinal: c.spec for c in facts.columns}
-    sizes = one_row(
-        df,
-        {
-            f"n{i}": count_where(quoted(spec[t["category_ordinal"]].name) == F.lit(t["value"]))
-            for i, (t, _) in enumerate(rows)
-        },
-        cfg.aggregates_per_pass,
-    )
+    named = {(t["category_ordinal"], t["value"]) for t, _ in rows}
+    wanted = small_frame(df.sparkSession, [{"o": o, "v": v} for o, v in sorted(named)], "o int, v string")
+    columns = sorted({o for o, _ in named})
+    cells = df.select(*[quoted(spec[o].name).alias(str(o)) for o in columns]).unpivot([], [str(o) for o in columns], "o", "v")
+    held = cells.select(F.col("o").cast("int").alias("o"), "v").join(F.broadcast(wanted), ["o", "v"])  # one row per cluster
+    sizes = {(r["o"], r["v"]): r["n"] for r in held.groupBy("o", "v").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = [
         {
             "ordinal": t["ordinal"],
@@ -203,9 +200,9 @@ def category_clusters(df: DataFrame, facts: Facts, spreads: dict[int, Spread], s
             "top_value": t["value"],
             "outlier_count": t["n"],
             "concentration_pct": int(t["n"] / total * 1000.0 + 0.5) / 10.0,
-            "base_count": sizes[f"n{i}"],
+            "base_count": sizes[t["category_ordinal"], t["value"]],
         }
-        for i, (t, total) in enumerate(rows)
+        for t, total in rows
     ]
     out.sort(key=lambda r: (r["ordinal"], r["category_ordinal"]))
     return small_frame(df.sparkSession, out, CATEGORY_CLUSTERS)

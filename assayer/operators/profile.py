@@ -17,7 +17,7 @@ from assayer.operators import facts as roles
 from assayer.operators.columns import ColumnSpec, VALUE_WORDS, column_specs, currency_of, distinct_names, name_has, quoted
 from assayer.operators.duplicates import duplicate_rows
 from assayer.operators.facts import ColumnFacts, Facts, gather_facts
-from assayer.operators.missingness import co_missing
+from assayer.operators.missingness import co_missing, strong_co_missing
 from assayer.operators.outliers import (
     OutlierFacts,
     OutlierScan,
@@ -133,14 +133,17 @@ class TableProfile:
     @cached_property
     def overlaps(self) -> DataFrame:
         """(ordinal, other, both, any, jaccard) for columns with a missing-value issue; not evaluated yet."""
+        return co_missing(self.df, *self._missing())
+
+    def _missing(self) -> tuple[list[tuple[ColumnSpec, int]], list[int]]:
+        """Columns with missing rows and how many, and the columns with an issue."""
         missing = [(c.spec, c.missing) for c in self.columns if c.missing]
-        askers = [c.spec.ordinal for c in self.columns if self.missing_pct(c) >= self.cfg.missing_issue_pct]
-        return co_missing(self.df, missing, askers)
+        return missing, [c.spec.ordinal for c in self.columns if self.missing_pct(c) >= self.cfg.missing_issue_pct]
 
     @cached_property
     def strong_overlaps(self) -> DataFrame:
         """The overlaps that reports name."""
-        return settle(self.overlaps.where(F.col("jaccard") >= self.cfg.jaccard))
+        return settle(strong_co_missing(self.df, *self._missing(), self.cfg.jaccard))
 
     @cached_property
     def date_clusters(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,8 +47,13 @@ def most_common(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 def _stacked(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     """(ordinal, value) of all given columns, without missing values."""
-    cells = [F.struct(F.lit(s.ordinal).alias("ordinal"), s.label.alias("value")) for s in specs]
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    return _unpivoted(df, {s.ordinal: s.label for s in specs}, "value")
+
+
+def _unpivoted(df: DataFrame, cells: dict[int, Column], name: str) -> DataFrame:
+    names = [str(o) for o in cells]
+    long = df.select(*[c.alias(n) for n, c in zip(names, cells.values())]).unpivot([], names, "ordinal", name)
+    return long.where(F.col(name).isNotNull()).select(F.col("ordinal").cast("int").alias("ordinal"), name)
 
 
 def _keyed(stacked: DataFrame, mixed: list[int]) -> DataFrame:
@@ -169,20 +174,19 @@ def exact_distinct(df: DataFrame, columns: list[ColumnFacts]) -> dict[int, int]:
     out: dict[int, int] = {}
     dense = [c.spec for c in columns if _dense(c)]
     if dense:
-        cells = [F.struct(F.lit(s.ordinal).alias("ordinal"), quoted(s.name).cast("bigint").alias("v")) for s in dense]
-        rows = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+        rows = _unpivoted(df, {s.ordinal: quoted(s.name).cast("bigint") for s in dense}, "v")
         bits = rows.groupBy("ordinal", F.bitmap_bucket_number("v").alias("bucket")).agg(
             F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("v"))).alias("n")
         )
         out |= {r["ordinal"]: r["n"] for r in bits.groupBy("ordinal").agg(F.sum("n").alias("n")).collect()}
     others = [c.spec for c in columns if not _dense(c)]
     if others:
-        cells = []
+        cells = {}
         for s in others:
             v = s.groupable + F.lit(0.0) if s.dtype in ("float", "double") else s.groupable  # one zero
             h1, h2 = F.xxhash64(v).alias("h1"), F.xxhash64(F.lit("second"), v).alias("h2")
-            cells.append(F.when(v.isNotNull(), F.struct(F.lit(s.ordinal).alias("ordinal"), h1, h2)))
-        rows = df.select(F.explode(F.array(*cells)).alias("c")).where(F.col("c").isNotNull()).select("c.*")
+            cells[s.ordinal] = F.when(v.isNotNull(), F.struct(h1, h2))
+        rows = _unpivoted(df, cells, "c").select("ordinal", "c.*")
         found = rows.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
         out |= {r["ordinal"]: r["n"] for r in found.collect()}
     return out

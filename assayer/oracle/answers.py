@@ -462,6 +462,20 @@ ANSWERS["column_distinct_documents"] = union(
 ANSWERS["duplicate_rows_documents"] = (
     "SELECT sum(n - 1)::BIGINT AS duplicate_count FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars)"
 )
+WIDE_GAPS = 150
+ANSWERS["missing_together_wide"] = f"""
+WITH c AS (SELECT range::INTEGER AS c, (CASE WHEN range % 50 < 3 THEN range - range % 50 ELSE range END)::BIGINT AS base FROM range({WIDE_GAPS})),
+  cells AS (
+    SELECT c, o_orderkey AS k FROM orders, c
+    WHERE (o_orderkey * (2 * base + 1) + base * base) % 101 < 5 OR (c % 50 = 1 AND o_orderkey % 10 = 3)
+  ), sizes AS (SELECT c, count(*) AS n FROM cells GROUP BY c),
+  pairs AS (SELECT a.c AS a, b.c AS b, count(*) AS both_n FROM cells a JOIN cells b ON a.k = b.k AND a.c <> b.c GROUP BY 1, 2),
+  found AS (SELECT p.*, x.n + y.n - p.both_n AS any_n FROM pairs p JOIN sizes x ON x.c = a JOIN sizes y ON y.c = b)
+SELECT a AS ordinal, b AS other, both_n AS "both", any_n::BIGINT AS "any", {rounded('both_n / any_n', 4)} AS jaccard FROM found WHERE both_n / any_n >= 0.3"""
+ANSWERS["category_outlier_many"] = """WITH i AS (SELECT range AS i FROM range(60)), k AS (SELECT o_orderkey AS k FROM orders)
+SELECT 'n' || i AS name, 't' || i AS category_column, 'culprit' AS top_value, count(*) FILTER (WHERE k % 211 = i) AS outlier_count,
+  100.0::DOUBLE AS concentration_pct, count(*) FILTER (WHERE k % 211 % 60 = i) AS base_count
+FROM k, i GROUP BY i HAVING count(*) FILTER (WHERE k % 211 = i) > 0"""
 _EITHER = "count(*) FILTER (WHERE day(t) <= 12 AND day(t) <> month(t))"
 _MOMENT = "(date_trunc('day', o_orderdate) + to_seconds((o_orderkey % 86400)::INTEGER))"
 ANSWERS["date_layouts_by_shape"] = f"WITH o AS (SELECT o_orderkey AS k, {_MOMENT} AS t FROM orders), " + """

@@ -20,6 +20,7 @@ from assayer.operators.duplicates import duplicate_rows
 from assayer.operators.facts import gather_facts, time_layouts
 from assayer.operators.impact import downstream_risks, exposure, outlier_exposure
 from assayer.operators.issues import correlated_columns
+from assayer.operators.missingness import strong_co_missing
 from assayer.operators.profile import TableProfile
 from assayer.operators.quantiles import QUARTILES, grouped_quantiles
 from assayer.operators.score import quality_score
@@ -692,6 +693,41 @@ def category_outlier_concentration(spark, folder):
     return p.category_clusters.join(_names(p), "ordinal").drop("ordinal", "category_ordinal")
 
 
+WIDE_GAPS = 150  # columns of the query below
+
+
+@query
+def missing_together_wide(spark, folder):
+    """Many columns with gaps: most at random, some together with others."""
+    k = F.col("o_orderkey")
+    columns = []
+    for c in range(WIDE_GAPS):
+        base = c - c % 50 if c % 50 < 3 else c
+        gap = (k * (2 * base + 1) + base * base) % 101 < 5
+        if c % 50 == 1:
+            gap = gap | (k % 10 == 3)
+        columns.append(F.when(~gap, F.lit(1)).alias(f"c{c}"))
+    df = table(spark, folder, "orders").select(*columns)
+    specs = column_specs(df)
+    counts = {r["ordinal"]: r["missing_count"] for r in roles.missing_counts(df).collect()}
+    missing = [(s, counts[s.ordinal]) for s in specs if counts[s.ordinal]]
+    found = strong_co_missing(df, missing, [s.ordinal for s, _ in missing], ORDERS.jaccard)
+    return found.select("ordinal", "other", "both", "any", round_half_up(F.col("jaccard"), 4).alias("jaccard"))
+
+
+@query
+def category_outlier_many(spark, folder):
+    """Sixty number and sixty text columns; the outliers of each number gather in one value of one text."""
+    k = F.col("o_orderkey")
+    numbers = [F.when(k % 211 == i, F.lit(1e9)).otherwise((k % 100).cast("double")).alias(f"n{i}") for i in range(60)]
+    texts = [
+        F.when(k % 211 % 60 == i, "culprit").otherwise(F.concat(F.lit("c"), (k % 7).cast("string"))).alias(f"t{i}") for i in range(60)
+    ]
+    p = TableProfile(table(spark, folder, "orders").select(*numbers, *texts), ORDERS)
+    found = p.category_clusters.join(_names(p), "ordinal")
+    return found.select("name", "category_column", "top_value", "outlier_count", "concentration_pct", "base_count")
+
+
 @query
 def category_outlier_wide(spark, folder):
     """The culprit is the sixth text column, and the outliers' dates are in the third date column, of 1995."""
