@@ -144,3 +144,125 @@ def test_overlaps_of_many_columns(spark):
     pairs = co_missing(df, [(s, len(gone[s.ordinal])) for s in column_specs(df)], list(range(n)))
     strong = {(r["ordinal"], r["other"]) for r in pairs.where("jaccard >= 0.9").collect()}
     assert strong == expected and pairs.count() == n * (n - 1)
+
+
+def test_duplicates_are_proven_where_fingerprints_collide(spark, monkeypatch):
+    from assayer.operators import duplicates
+
+    df = spark.createDataFrame([(1, "a", 0.0), (1, "a", -0.0), (2, "a", 1.0), (None, "b", None), (None, "b", None), (3, None, 1.0)], "k int, t string, x double")
+    assert duplicates.duplicate_rows(df).first()[0] == 2
+    assert duplicates.duplicate_rows(df, "fingerprint").first()[0] == 2
+    monkeypatch.setattr(duplicates, "fingerprint", lambda names: [F.lit(1).alias("h1"), F.lit(2).alias("h2")])
+    assert duplicates.duplicate_rows(df).first()[0] == 2
+    assert duplicates.duplicate_rows(df, "fingerprint").first()[0] == 5
+
+
+def long_values(spark):
+    """Values that share their first characters, and short ones with spaces at the ends."""
+    start = "the same beginning of every value, " * 2
+    rows = [(f"{start}{i % 40:02d}", f"v{i % 3}" if i % 50 else f" v{i % 7} ", 5 * i) for i in range(400)]
+    rows += [(f"{start}07", " " + start, None), (f"{start}99 ", start + "\t", 2**40)]
+    return rows, spark.createDataFrame(rows, "long string, short string, n bigint")
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_top_values_of_long_texts(spark, monkeypatch, few):
+    from assayer.operators import values
+
+    monkeypatch.setattr(values, "_FEW", few)  # 0: candidates stay distributed
+    rows, df = long_values(spark)
+    p = TableProfile(df, Config())
+    got = {r["ordinal"]: r for r in p.value_summary.collect()}
+    for o in (0, 1):
+        counts = {}
+        for r in rows:
+            counts[r[o]] = counts.get(r[o], 0) + 1
+        best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [tuple(x) for x in got[o]["top_values"]] == best
+        assert (got[o]["distinct"], got[o]["counted"]) == (len(counts), len(rows))
+        odd = sorted(v for v in counts if v != v.strip())[:3]
+        assert got[o]["format_issue_examples"] == odd
+    assert p.distinct[2] == 401
+
+
+def test_no_long_text_is_shuffled(spark):
+    """Exchanges of the value counts and of the duplicates hold hashes and short beginnings only."""
+    from assayer.operators.duplicates import duplicate_rows
+    from assayer.operators.values import fingerprint_counts
+
+    _, df = long_values(spark)
+    counts = fingerprint_counts(df, column_specs(df)[:2], [])
+    assert {f.name for f in counts.schema} == {"ordinal", "head", "h1", "h2", "tail", "worded", "n"}
+    plan = duplicate_rows(df, "fingerprint")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(h1" in plan and "hashpartitioning(c0" not in plan
+
+
+def test_dense_integers_are_bits(spark):
+    from assayer.operators import values
+
+    rows = [(i % 70_000 - 35_000, i * 10**12 % (2**62), float(i % 5) * (-1 if i % 2 else 1)) for i in range(100_000)]
+    p = TableProfile(spark.createDataFrame(rows, "near int, far bigint, x double"), Config())
+    assert [values._dense(c) for c in p.columns] == [True, False, False]
+    got = [p.distinct[i] for i in range(3)]
+    assert got == [len({r[0] for r in rows}), len({r[1] for r in rows}), len({r[2] for r in rows})]
+
+
+def test_strong_overlaps_of_sampled_columns(spark, monkeypatch):
+    """The pairs that the sample proposes, counted over all rows, are those of brute force."""
+    from assayer.operators import missingness
+
+    monkeypatch.setattr(missingness, "_SAMPLE", 256)
+    n, columns = 6000, 24
+    rng = np.random.default_rng(5)
+    gone = [rng.random(n) < 0.2 for _ in range(columns)]
+    gone[3] = gone[2] | (rng.random(n) < 0.02)
+    gone[5] = gone[4] & (rng.random(n) < 0.7)
+    gone[6] = np.zeros(n, bool)
+    gone[6][:40] = True
+    gone[7] = gone[6].copy()
+    gone[7][30:60] = True
+    rows = [tuple(None if gone[c][i] else 1 for c in range(columns)) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{c} int" for c in range(columns)))
+    missing = [(s, int(gone[s.ordinal].sum())) for s in column_specs(df)]
+    got = {(r["ordinal"], r["other"]): (r["both"], r["any"]) for r in missingness.strong_co_missing(df, missing, list(range(columns)), 0.3).collect()}
+    expected = {}
+    for a in range(columns):
+        for b in range(columns):
+            both, union = int((gone[a] & gone[b]).sum()), int((gone[a] | gone[b]).sum())
+            if a != b and both / union >= 0.3:
+                expected[a, b] = (both, union)
+    assert got == expected and len(expected) >= 6
+
+
+def test_layouts_of_single_texts(spark):
+    """Layouts that a table of dates seldom mixes, each as a column of its own."""
+    from datetime import datetime
+
+    from assayer.functions.times import layouts_of, shape
+
+    texts = {
+        "20231225": datetime(2023, 12, 25),
+        "12/25/2023 10:11": datetime(2023, 12, 25, 10, 11),
+        "2023-12-25 10:11:12+00:00": datetime(2023, 12, 25, 10, 11, 12),
+        "2023-12-25T10:11:12+0530": datetime(2023, 12, 25, 4, 41, 12),
+        "25.12.2023": datetime(2023, 12, 25),
+        "1/2/2023": datetime(2023, 1, 2),
+        "25-Dec-2023": datetime(2023, 12, 25),
+        "Mon, 25 Dec 2023 10:11:12 GMT": datetime(2023, 12, 25, 10, 11, 12),
+        "12/25/2023 12:05:00 AM": datetime(2023, 12, 25, 0, 5),
+        "December 5, 2023": datetime(2023, 12, 5),
+        "3rd march 2024": datetime(2024, 3, 3),
+        "05/06/70": datetime(1970, 5, 6),
+        "2023.1.2 3:04:05.123456789": datetime(2023, 1, 2, 3, 4, 5, 123456),
+    }
+    not_times = ["31.02.2023", "20231332", "12/25/2023 13:05 PM", "1.2.3.4", "on 2023-01-01", "2023-01-01 extra", "9" * 60, "", "marching 5, 2023"]
+    df = spark.createDataFrame([tuple(texts)], ", ".join(f"c{i} string" for i in range(len(texts))))
+    shapes = df.select(*[shape(F.col(f"c{i}")) for i in range(len(texts))]).first()
+    for i, (text, expected) in enumerate(texts.items()):
+        found = df.select(*[x.time(F.col(f"c{i}")) for x in layouts_of([shapes[i]])]).first()
+        assert expected in list(found), text
+    for text in not_times:
+        one = spark.createDataFrame([(text,)], "x string")
+        kind = one.select(shape(F.col("x"))).first()[0]
+        read = [] if kind is None else list(one.select(*[x.time(F.col("x")) for x in layouts_of([kind])]).first())
+        assert not any(read), text
