@@ -208,7 +208,8 @@ def repeated_passages(
     Result: doc_id, text_key, first_word, end_word (numbers of words, from 0, the end not included), n_words.
     Every passage of ``min_words`` words that occurs twice, in two documents or within one, lies in
     reported runs, and every reported run consists of passages of at least ``Repeats.common`` words that
-    occur elsewhere, each extended to the left and to the right as far as it is equal.
+    occur elsewhere, each extended by up to ``Repeats.reach`` words to the left and to the right. The two sides may
+    be equal to different places, so a run can be reported that holds no repeated passage of ``min_words`` words.
 
     Null and short texts have no passages. Rows equal in id and text are one document, also without an id;
     other rows with one id are documents of their own. An empty table gives an empty result, other columns
