@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import hashing as h
-from assayer.llm.frames import columns_of, small_batches, staged, text_key
+from assayer.llm.frames import columns_of, if_small, small_batches, staged, text_key
 
 
 @dataclass(frozen=True)
@@ -143,7 +143,7 @@ def _shared_words(a: bytes, b: bytes) -> int:
     return (8 * n - differ.bit_length()) // 32
 
 
-_EXTENT = "doc_id long, text_key long, at int, extent int, part int, key long, check long, side binary"
+_EXTENT = "doc_id long, text_key long, at int, extent int, key long, check long, part int, side binary"
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     first = before = None
     names = [x.split()[0] for x in _EXTENT.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [[]] * len(names)
@@ -172,16 +172,16 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             shared = _shared_words(row[2], before[2]) if row[:2] == before[:2] else -1
             if max(extent, shared) >= 0:
-                out.append((*before[3:], max(extent, shared), None, None, None, None))
+                out.append((*before[3:], max(extent, shared), *before[:2], None, None))
             before, extent = row, shared
         yield batch_of(out)
     if before is not None:
-        ends = [(*x[3:], -1, part, *x[:3]) for x in ([first, before] if first != before else [first])]
-        yield batch_of(([(*before[3:], extent, None, None, None, None)] if extent >= 0 else []) + ends)
+        ends = [(*x[3:], -1, *x[:2], part, x[2]) for x in ([first, before] if first != before else [first])]
+        yield batch_of(([(*before[3:], extent, *before[:2], None, None)] if extent >= 0 else []) + ends)
 
 
 def _extents(contexts: DataFrame, side: str) -> DataFrame:
-    """doc_id, text_key, at, extent: the longest overlap of each suffix with its neighbours on one side."""
+    """doc_id, text_key, at, extent, key, check: the longest overlap of each suffix with its neighbours on one side."""
     spark = contexts.sparkSession
     order = ["key", "check", "side", "doc_id", "text_key", "at"]
     rows = contexts.select("key", "check", F.col(side).alias("side"), "doc_id", "text_key", "at")
@@ -195,21 +195,74 @@ def _extents(contexts: DataFrame, side: str) -> DataFrame:
     for a, b in zip(ends, ends[1:]):
         if a.part != b.part and (a.key, a.check) == (b.key, b.check):
             shared = _shared_words(bytes(a.side), bytes(b.side))
-            across += [(x.doc_id, x.text_key, x["at"], shared) for x in (a, b)]
-    inside = found.filter("part IS NULL").select("doc_id", "text_key", "at", "extent")
+            across += [(x.doc_id, x.text_key, x["at"], shared, x.key, x.check) for x in (a, b)]
+    inside = found.filter("part IS NULL").select("doc_id", "text_key", "at", "extent", "key", "check")
     return inside.union(spark.createDataFrame(across, inside.schema)) if across else inside
 
 
+def _verified(contexts: DataFrame, wanted: DataFrame, options: Repeats) -> DataFrame:
+    """doc_id, text_key, at, before: windows of ``min_words`` words that begin ``before`` words before a position.
+
+    ``wanted`` lists them by the words at the position (key, check); of these the ones that stand in two places are
+    returned, for all places. Few groups are wanted, those at the borders of passages.
+    """
+    wanted = wanted.select(F.col("key").alias("of_key"), F.col("check").alias("of_check"), "before").distinct()
+    groups = staged(wanted.groupBy("of_key", "of_check").agg(F.collect_set("before").alias("befores")), "borders")
+    here = contexts.join(if_small(groups), (F.col("key") == F.col("of_key")) & (F.col("check") == F.col("of_check")))
+    windows = here.select("doc_id", "text_key", "at", "key", "check", "left", "right", F.explode("befores").alias("before"))
+    after = options.reach - F.col("before")
+    windows = windows.filter((F.length("left") >= 4 * F.col("before")) & (F.length("right") >= 4 * after))
+    sides = [F.col("left").substr(F.lit(1), 4 * F.col("before")), F.col("right").substr(F.lit(1), 4 * after)]
+    words = [F.xxhash64(F.lit(seed), "key", "check", "before", *sides).alias(name) for seed, name in ((1, "h1"), (2, "h2"))]
+    windows = staged(windows.select("doc_id", "text_key", "at", "before", *words), "windows")
+    place = F.struct("doc_id", "text_key", (F.col("at") - F.col("before")).alias("first"))
+    twice = windows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b")))
+    return windows.join(twice.select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc_id", "text_key", "at", "before")
+
+
+def _passages(contexts: DataFrame, options: Repeats) -> DataFrame:
+    """doc_id, text_key, first, end of passages of ``min_words`` words that occur twice; their union is all of them.
+
+    A position whose words on one side are equal to a neighbour's as far as they are kept begins, or ends, such a
+    passage. At the borders of passages the two sides may have different neighbours: there the longest windows are
+    looked up, and where one of them does not stand elsewhere, all windows between.
+    """
+    reach, common, size = options.reach, options.common, options.min_words
+    none = F.lit(None).cast("int")
+    left, right = (_extents(contexts, side) for side in ("left", "right"))
+    both = left.withColumnsRenamed({"extent": "l"}).withColumn("r", none).unionByName(
+        right.withColumnsRenamed({"extent": "r"}).withColumn("l", none)
+    )
+    keys = ["doc_id", "text_key", "at", "key", "check"]
+    positions = both.groupBy(*keys).agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("l", "r")))
+    positions = staged(positions.filter(F.col("l") + F.col("r") >= reach), "positions")
+    at = F.col("at")
+    found = positions.filter(F.col("r") == reach).select("doc_id", "text_key", at.alias("first"))
+    found = found.union(positions.filter(F.col("l") == reach).select("doc_id", "text_key", at - reach))
+    borders = positions.filter((F.col("l") < reach) | (F.col("r") < reach))
+    ends = F.array(F.when(F.col("l") < reach, F.col("l")), F.when(F.col("r") < reach, reach - F.col("r")))
+    longest = borders.select("*", F.explode(ends).alias("before")).filter("before IS NOT NULL")
+    seen = staged(_verified(contexts, longest, options), "verified")
+    missed = longest.alias("w").join(
+        seen.alias("v"),
+        F.col("w.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("w.text_key") == F.col("v.text_key"))
+        & (F.col("w.at") == F.col("v.at")) & (F.col("w.before") == F.col("v.before")),
+        "left_anti",
+    )
+    between = missed.select(*keys, F.explode(F.sequence(reach - F.col("r"), F.col("l"))).alias("before"))
+    seen = seen.union(_verified(contexts, between, options))
+    found = found.union(seen.select("doc_id", "text_key", at - F.col("before")))
+    return found.distinct().select("doc_id", "text_key", "first", (F.col("first") + size).alias("end"))
+
+
 def repeated_passages(
     docs: DataFrame, options: Repeats = Repeats(), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Passages of ``min_words`` or more lower-cased (A-Z) words that also stand elsewhere.
 
     Result: doc_id, text_key, first_word, end_word (numbers of words, from 0, the end not included), n_words.
-    Every passage of ``min_words`` words that occurs twice, in two documents or within one, lies in
-    reported runs, and every reported run consists of passages of at least ``Repeats.common`` words that
-    occur elsewhere, each extended by up to ``Repeats.reach`` words to the left and to the right. The two sides may
-    be equal to different places, so a run can be reported that holds no repeated passage of ``min_words`` words.
+    The runs are the union of all passages of ``min_words`` words that occur twice, in two documents or within one;
+    passages that touch or overlap are one run.
 
     Null and short texts have no passages. Rows equal in id and text are one document, also without an id;
     other rows with one id are documents of their own. An empty table gives an empty result, other columns
@@ -219,7 +272,8 @@ def repeated_passages(
     hash of their first words and only those with an equal neighbour stay. Of these the words before and after
     are fetched (one shuffle of the texts), and each is compared with its neighbours in two orders: by the words
     after it and by those before it, so the longest overlap is next to it in one of them. Sorts are by range over
-    whole rows, so the copies of one passage are spread over partitions; partition ends are compared last.
+    whole rows, so the copies of one passage are spread over partitions; partition ends are compared last. At the
+    borders of passages the windows themselves are looked up, by hash.
     """
     small_batches(docs.sparkSession)
     given = columns_of(docs, doc_id=doc_id, text=text).select(
@@ -242,20 +296,14 @@ def repeated_passages(
         ),
         "contexts",
     )
-    common = options.common
-    left = _extents(contexts, "left").select(
-        "doc_id", "text_key", (F.col("at") - F.col("extent")).alias("first"), (F.col("at") + common).alias("end")
-    )
-    right = _extents(contexts, "right").select(
-        "doc_id", "text_key", F.col("at").alias("first"), (F.col("at") + common + F.col("extent")).alias("end")
-    )
+    runs = _passages(contexts, options)
     document = Window.partitionBy("doc_id", "text_key").orderBy("first", "end")
     before = document.rowsBetween(Window.unboundedPreceding, -1)
-    runs = left.union(right).withColumn("reached", F.max("end").over(before))
+    runs = runs.withColumn("reached", F.max("end").over(before))
     begins = F.col("reached").isNull() | (F.col("first") > F.col("reached"))
     runs = runs.withColumn("run", F.sum(begins.cast("int")).over(document))
     merged = runs.groupBy("doc_id", "text_key", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
-    return merged.filter(F.col("end") - F.col("first") >= options.min_words).select(
+    return merged.select(
         "doc_id",
         "text_key",
         F.col("first").cast("long").alias("first_word"),
