@@ -204,7 +204,7 @@ def _verified(contexts: DataFrame, wanted: DataFrame, options: Repeats) -> DataF
     """doc_id, text_key, at, before: windows of ``min_words`` words that begin ``before`` words before a position.
 
     ``wanted`` lists them by the words at the position (key, check); of these the ones that stand in two places are
-    returned, for all places. Few groups are wanted, those at the borders of passages.
+    returned, for all places. Few groups are wanted, those of doubtful runs.
     """
     wanted = wanted.select(F.col("key").alias("of_key"), F.col("check").alias("of_check"), "before").distinct()
     groups = staged(wanted.groupBy("of_key", "of_check").agg(F.collect_set("before").alias("befores")), "borders")
@@ -220,39 +220,38 @@ def _verified(contexts: DataFrame, wanted: DataFrame, options: Repeats) -> DataF
     return windows.join(twice.select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc_id", "text_key", "at", "before")
 
 
+def _merged(intervals: DataFrame, *more) -> DataFrame:
+    """doc_id, text_key, first, end, and ``more`` aggregates, of intervals that touch or overlap."""
+    document = Window.partitionBy("doc_id", "text_key").orderBy("first", "end")
+    before = document.rowsBetween(Window.unboundedPreceding, -1)
+    runs = intervals.withColumn("reached", F.max("end").over(before))
+    begins = F.col("reached").isNull() | (F.col("first") > F.col("reached"))
+    runs = runs.withColumn("run", F.sum(begins.cast("int")).over(document))
+    return runs.groupBy("doc_id", "text_key", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"), *more).drop("run")
+
+
 def _passages(contexts: DataFrame, options: Repeats) -> DataFrame:
-    """doc_id, text_key, first, end of passages of ``min_words`` words that occur twice; their union is all of them.
+    """doc_id, text_key, first, end: runs that hold a passage of ``min_words`` words that occurs twice.
 
     A position whose words on one side are equal to a neighbour's as far as they are kept begins, or ends, such a
-    passage. At the borders of passages the two sides may have different neighbours: there the longest windows are
-    looked up, and where one of them does not stand elsewhere, all windows between.
+    passage. In runs without such a position the two sides may have different neighbours: their windows, which are
+    few, are looked up.
     """
     reach, common, size = options.reach, options.common, options.min_words
-    none = F.lit(None).cast("int")
-    left, right = (_extents(contexts, side) for side in ("left", "right"))
-    both = left.withColumnsRenamed({"extent": "l"}).withColumn("r", none).unionByName(
-        right.withColumnsRenamed({"extent": "r"}).withColumn("l", none)
-    )
-    keys = ["doc_id", "text_key", "at", "key", "check"]
-    positions = both.groupBy(*keys).agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("l", "r")))
-    positions = staged(positions.filter(F.col("l") + F.col("r") >= reach), "positions")
-    at = F.col("at")
-    found = positions.filter(F.col("r") == reach).select("doc_id", "text_key", at.alias("first"))
-    found = found.union(positions.filter(F.col("l") == reach).select("doc_id", "text_key", at - reach))
-    borders = positions.filter((F.col("l") < reach) | (F.col("r") < reach))
-    ends = F.array(F.when(F.col("l") < reach, F.col("l")), F.when(F.col("r") < reach, reach - F.col("r")))
-    longest = borders.select("*", F.explode(ends).alias("before")).filter("before IS NOT NULL")
-    seen = staged(_verified(contexts, longest, options), "verified")
-    missed = longest.alias("w").join(
-        seen.alias("v"),
-        F.col("w.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("w.text_key") == F.col("v.text_key"))
-        & (F.col("w.at") == F.col("v.at")) & (F.col("w.before") == F.col("v.before")),
-        "left_anti",
-    )
-    between = missed.select(*keys, F.explode(F.sequence(reach - F.col("r"), F.col("l"))).alias("before"))
-    seen = seen.union(_verified(contexts, between, options))
-    found = found.union(seen.select("doc_id", "text_key", at - F.col("before")))
-    return found.distinct().select("doc_id", "text_key", "first", (F.col("first") + size).alias("end"))
+    at, extent, whole = F.col("at"), F.col("extent"), (F.col("extent") == options.reach).alias("certain")
+    left = _extents(contexts, "left").select("doc_id", "text_key", (at - extent).alias("first"), (at + common).alias("end"), whole)
+    right = _extents(contexts, "right").select("doc_id", "text_key", at.alias("first"), (at + common + extent).alias("end"), whole)
+    runs = _merged(left.union(right), F.bool_or("certain").alias("certain")).filter(F.col("end") - F.col("first") >= size)
+    runs = staged(runs, "runs")
+    sure = runs.filter("certain").drop("certain")
+    doubtful = runs.filter("NOT certain").select(*(F.col(c).alias(f"of_{c}") for c in ("doc_id", "text_key", "first", "end")))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("text_key") == F.col("of_text_key"))
+    inside = at.between(F.col("of_first"), F.col("of_end") - common)
+    places = contexts.join(if_small(doubtful), same & inside).select("key", "check")
+    wanted = places.distinct().select("key", "check", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("before"))
+    first = at - F.col("before")
+    found = _verified(contexts, wanted, options).select("doc_id", "text_key", first.alias("first"), (first + size).alias("end"))
+    return _merged(sure.union(found.distinct()))
 
 
 def repeated_passages(
@@ -261,8 +260,9 @@ def repeated_passages(
     """Passages of ``min_words`` or more lower-cased (A-Z) words that also stand elsewhere.
 
     Result: doc_id, text_key, first_word, end_word (numbers of words, from 0, the end not included), n_words.
-    The runs are the union of all passages of ``min_words`` words that occur twice, in two documents or within one;
-    passages that touch or overlap are one run.
+    Every passage of ``min_words`` words that occurs twice, in two documents or within one, lies in a run, and every
+    run holds such a passage. A run may go on over shorter passages that overlap it, of at least ``Repeats.common``
+    words that occur twice; passages that touch or overlap are one run.
 
     Null and short texts have no passages. Rows equal in id and text are one document, also without an id;
     other rows with one id are documents of their own. An empty table gives an empty result, other columns
@@ -272,8 +272,8 @@ def repeated_passages(
     hash of their first words and only those with an equal neighbour stay. Of these the words before and after
     are fetched (one shuffle of the texts), and each is compared with its neighbours in two orders: by the words
     after it and by those before it, so the longest overlap is next to it in one of them. Sorts are by range over
-    whole rows, so the copies of one passage are spread over partitions; partition ends are compared last. At the
-    borders of passages the windows themselves are looked up, by hash.
+    whole rows, so the copies of one passage are spread over partitions; partition ends are compared last. Runs in
+    which no position is equal as far as words are kept are looked up window by window, by hash.
     """
     small_batches(docs.sparkSession)
     given = columns_of(docs, doc_id=doc_id, text=text).select(
@@ -296,13 +296,7 @@ def repeated_passages(
         ),
         "contexts",
     )
-    runs = _passages(contexts, options)
-    document = Window.partitionBy("doc_id", "text_key").orderBy("first", "end")
-    before = document.rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("reached", F.max("end").over(before))
-    begins = F.col("reached").isNull() | (F.col("first") > F.col("reached"))
-    runs = runs.withColumn("run", F.sum(begins.cast("int")).over(document))
-    merged = runs.groupBy("doc_id", "text_key", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    merged = _passages(contexts, options)
     return merged.select(
         "doc_id",
         "text_key",

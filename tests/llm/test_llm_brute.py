@@ -274,11 +274,15 @@ def test_repeats(spark):
     docs[98], docs[99] = "y " + " ".join(more[30:]), "z " + " ".join(more[10:62]) + " z"
     docs[90], docs[91], docs[92] = "same " * 70, docs[0], shared[6] + " between " + shared[6]
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    got = {d: set() for d in docs}
+    got, twice = {d: set() for d in docs}, brute.covered_words(docs, 50)
     for r in repeated_passages(frame).collect():
         assert r.n_words == r.end_word - r.first_word >= 50
         got[r.doc_id] |= set(range(r.first_word, r.end_word))
-    assert got == brute.covered_words(docs, 50)
+        assert any(set(range(i, i + 50)) <= twice[r.doc_id] for i in range(r.first_word, r.end_word - 49))
+    assert all(twice[d] <= got[d] for d in docs)
+    part = brute.covered_words(docs, Repeats().common)
+    assert all(got[d] <= part[d] for d in docs)
+    assert not got[93] and not got[94] and not got[95]
     assert got[91] == set(range(len(docs[91].split())))
 
 
