@@ -70,132 +70,107 @@ def read_vocabulary(path: str = PIECE_MODEL) -> Vocabulary:
     return Vocabulary(pieces, texts, first_byte)
 
 
-def viterbi(chars: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
-    """Ids of the best segmentation of a stream of characters, as soon as they are certain.
+def viterbi(chunks: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
+    """Ids of the best segmentation of a stream of characters or longer chunks, as soon as they are certain.
 
     The best path has the largest sum of scores; among equals the last piece is the longest one. Scores and
-    characters are kept for the last ``longest`` positions, as no piece reaches further back. Where the
-    paths of all those positions pass one boundary, everything before it is committed and forgotten.
+    backpointers are kept for the positions that no commit has passed, characters for those that a piece
+    still open can reach. After every ``longest`` positions the paths of all boundaries that a later piece
+    can start from are followed back: where they converge, everything before is committed and forgotten.
     """
-    longest, table = vocabulary.longest, vocabulary.table
-    window = ""  # the last characters, those of open pieces
-    start = 0  # position of the window's first character
-    reach: dict[int, tuple[float, int, tuple[int, ...]]] = {0: (0.0, 0, ())}  # score, previous boundary, ids
-    committed, checked, at = 0, 0, 0
-
-    def frontier_meets(frontier: Iterable[int]) -> int:
-        """The last boundary that the paths of all these positions pass."""
-        front = set(frontier)
-        while len(front) > 1:
-            last = max(front)
-            front.discard(last)
-            front.add(reach[last][1])
-        return front.pop()
+    longest, table, unknown = vocabulary.longest, vocabulary.table, vocabulary.unknown
+    window, start, at = "", 0, 0  # the characters from position ``start`` to ``at``
+    reach: dict[int, tuple] = {0: (0.0, 0)}  # of a boundary: score, the boundary before, ids between them
+    done, checked, committed = 0, 0, 0
 
-    def commit(to: int) -> list[int]:
-        path, p = [], to
-        while p > committed:
-            _, before, ids = reach[p]
-            path.append(ids)
-            p = before
-        for p in [p for p in reach if p < to]:
-            del reach[p]
-        score, _, _ = reach[to]
-        reach[to] = (score, to, ())
-        return [i for ids in reversed(path) for i in ids]
-
-    def extend(final: bool) -> None:
-        """Settle every position that the characters at hand can reach, from the left."""
+    def settle(stop: int) -> None:
+        """Start all pieces at the positions before ``stop``, from the left."""
         nonlocal done
-        stop = at if final else at - longest
-        while done < stop or (not final and done <= stop):
-            if done >= at:
-                break
-            score = reach[done][0]
-            offset = done - start
-            single = False
-            for size in range(1, min(longest, at - done) + 1):
-                found = table.get(window[offset : offset + size], ())
+        get, held = table.get, reach.get
+        for here in range(done, stop):
+            score, offset, single = reach[here][0], here - start, False
+            for size in range(1, min(longest, at - here) + 1):
+                found = get(window[offset : offset + size], ())
                 if found is None:
                     continue
                 if not found:
                     break
                 single = single or size == 1
-                total = score + found[1]
-                old = reach.get(done + size)
+                total, old = score + found[1], held(here + size)
                 if old is None or total > old[0]:
-                    reach[done + size] = (total, done, (found[0],))
+                    reach[here + size] = (total, here, found[0])
             if not single:
-                total = score + vocabulary.unknown
-                old = reach.get(done + 1)
+                total, old = score + unknown, held(here + 1)
                 if old is None or total > old[0]:
-                    reach[done + 1] = (total, done, vocabulary.fallback(window[offset]))
-            done += 1
-
-    done = 0
-    for char in chars:
-        window += char
-        at += 1
-        if at - done > longest:
-            extend(final=False)
-        if done - checked >= longest:
-            checked = done
-            meet = frontier_meets(p for p in reach if p >= done)
-            if meet > committed:
-                ids = commit(meet)
-                committed = meet
-                yield ids
-            window, start = window[done - start :], done
-    extend(final=True)
-    if at > committed:
-        yield commit(at)
+                    reach[here + 1] = (total, here, *vocabulary.fallback(window[offset]))
+        done = stop
+
+    def converged() -> int:
+        """The last boundary that the paths of all open boundaries pass."""
+        front = {p for p in reach if p >= done}
+        while len(front) > 1:
+            last = max(front)
+            front.discard(last)
+            front.add(reach[last][1])
+        return front.pop()
 
+    def commit(to: int) -> list[int]:
+        nonlocal committed
+        ids, p = [], to
+        while p > committed:
+            _, p, *found = reach[p]
+            ids.extend(reversed(found))
+        committed = to
+        ids.reverse()
+        return ids
 
-def viterbi_short(text: str, vocabulary: Vocabulary) -> list[int]:
-    """The same search for a text that need not be streamed: all its positions are kept."""
-    n, longest, table = len(text), vocabulary.longest, vocabulary.table
-    best: list[float | None] = [None] * (n + 1)
-    back: list[tuple] = [()] * (n + 1)
-    best[0] = 0.0
-    for i in range(n):
-        score, single = best[i], False
-        for j in range(i + 1, min(n, i + longest) + 1):
-            found = table.get(text[i:j], ())
-            if found is None:
-                continue
-            if not found:
-                break
-            total = score + found[1]
-            if best[j] is None or total > best[j]:
-                best[j], back[j] = total, (i, found[0])
-            single = single or j == i + 1
-        if not single:
-            total = score + vocabulary.unknown
-            if best[i + 1] is None or total > best[i + 1]:
-                best[i + 1], back[i + 1] = total, (i, *vocabulary.fallback(text[i]))
-    ids, at = [], n
-    while at:
-        at, *found = back[at]
-        ids.extend(reversed(found))
-    return ids[::-1]
+    def advance(stop: int) -> Iterator[list[int]]:
+        nonlocal checked
+        while done < stop:
+            settle(min(stop, checked + longest))
+            if done - checked == longest:
+                checked = done
+                boundary = converged()
+                if boundary > committed:
+                    yield commit(boundary)
+                    for p in [p for p in reach if p < boundary]:
+                        del reach[p]
+
+    for chunk in chunks:
+        window, start = window[done - start :] + chunk, done
+        at += len(chunk)
+        yield from advance(at - longest + 1)
+    yield from advance(at)
+    if at > committed:
+        yield commit(at)
 
 
 class Encoder:
-    """Encodes texts, and remembers segments between boundaries that no piece crosses."""
+    """Encodes texts, and remembers segments between boundaries that no piece crosses.
 
-    MEMORY = 500_000  # segments; when it is full it starts anew
-    LONGEST = 64  # characters of a segment to remember; longer ones are streamed
+    The memory has two generations: when the young one is full it becomes the old one, whose segments
+    return if they are met again. So common segments stay, and the size is bounded.
+    """
+
+    MEMORY = 250_000  # segments of a generation
+    LONGEST = 64  # characters of a segment to remember
+    CHUNK = 4096  # characters given to the search at a time
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.memory: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _search(self, text: str) -> bytes:
+        chunks = (text[i : i + self.CHUNK] for i in range(0, len(text), self.CHUNK))
+        return b"".join([array("i", part).tobytes() for part in viterbi(chunks, self.vocabulary)])
 
     def _segment(self, text: str) -> bytes:
         if len(text) > self.LONGEST:
-            return b"".join(array("i", part).tobytes() for part in viterbi(text, self.vocabulary))
-        if len(self.memory) >= self.MEMORY:
-            self.memory.clear()
-        ids = self.memory[text] = array("i", viterbi_short(text, self.vocabulary)).tobytes()
+            return self._search(text)
+        if len(self.young) >= self.MEMORY:
+            self.old, self.young = self.young, {}
+        ids = self.young[text] = self.old.get(text) or self._search(text)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -204,9 +179,9 @@ class Encoder:
             return b""
         text = " " + text
         if not self.vocabulary.cut_at_spaces:
-            return b"".join(array("i", part).tobytes() for part in viterbi(text, self.vocabulary))
-        get, segment = self.memory.get, self._segment
-        return b"".join([get(s) or segment(s) for s in _SEGMENT.findall(text)])
+            return self._search(text)
+        segment = self._segment
+        return b"".join([self.young.get(s) or segment(s) for s in _SEGMENT.findall(text)])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text that the ids spell, without the space put before it. Bytes that are no text become U+FFFD."""

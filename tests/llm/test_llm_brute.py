@@ -18,7 +18,7 @@ from assayer.llm.line_dedup import LineSpread, remove_boilerplate
 from assayer.llm.near_dedup import NearDedup, near_duplicates
 from assayer.llm.quality_rules import QualityRules, quality_rules
 from assayer.llm.repeats import Repeats, repeated_passages
-from assayer.llm.sentence_pieces import PIECE_MODEL, Encoder, read_vocabulary, viterbi, viterbi_short
+from assayer.llm.sentence_pieces import PIECE_MODEL, Encoder, read_vocabulary, viterbi
 from assayer.llm.token_counts import TokenRollup, deletes, inserts, revisions
 from tests.llm import brute
 
@@ -141,11 +141,26 @@ def test_viterbi():
     for n in [*range(1, 60), 200, 700]:
         text = "".join(rng.choice(letters) for _ in range(n))
         score, ids = brute.segment(" " + text, vocabulary)
-        assert [i for part in viterbi(" " + text, vocabulary) for i in part] == ids == viterbi_short(" " + text, vocabulary)
+        for chunks in (" " + text, [" " + text], [" " + text[:9], "", text[9:]]):
+            assert [i for part in viterbi(chunks, vocabulary) for i in part] == ids
         coded = np.frombuffer(encoder.encode(text), np.int32)
         assert coded.tolist() == ids and encoder.decode(coded) == text
 
 
+def test_memory_of_segments(monkeypatch):
+    """Segments that leave the memory and come back, at every edge of its generations, have the same ids."""
+    vocabulary, rng = read_vocabulary(), random.Random(16)
+    texts = [" ".join(rng.choice(["the", "a", "long", f"w{rng.randrange(40)}", "y" * 70]) for _ in range(30)) for _ in range(40)]
+    expected = [Encoder(vocabulary).encode(t) for t in texts]
+    for size in (1, 2, 7):
+        monkeypatch.setattr(Encoder, "MEMORY", size)
+        encoder = Encoder(vocabulary)
+        assert [encoder.encode(t) for t in texts] == expected
+        assert len(encoder.young) <= size and len(encoder.old) <= size
+    monkeypatch.setattr(Encoder, "CHUNK", 3)
+    assert [Encoder(vocabulary).encode(t) for t in texts] == expected
+
+
 def test_viterbi_commits_early():
     """The stream is committed while it is read, and only a window is held."""
     vocabulary, text = read_vocabulary(), "xyz" * 3000
