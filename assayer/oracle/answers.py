@@ -433,6 +433,7 @@ ANSWERS: dict[str, str] = {
     + ") SELECT * FROM days",
     "idempotent_ingest_stream": "SELECT * FROM events",
 }
+ANSWERS["daily_quality_watermark"] = ANSWERS["daily_quality_stream"]
 ANSWERS["quartiles_search"] = ANSWERS["numeric_quartiles"]
 ANSWERS["datetime_layouts"] = union(
     f"SELECT '{name}' AS name, count(*) AS parsed_count, min(t) AS first_time, max(t) AS last_time FROM (SELECT {t} AS t FROM orders)"

@@ -1203,6 +1203,20 @@ def daily_quality_stream(spark, folder):
     return stream.read_days(spark, output)
 
 
+@query
+def daily_quality_watermark(spark, folder):
+    """Events that arrive in the order of their times, but each seventh after all others."""
+    events = table(spark, folder, "events")
+    history = remediate.spread_of(events, "value", EVENTS)
+    arrivals, output = new_folder(spark, "arrivals"), new_folder(spark, "monitor")
+    late = F.coalesce(F.col("event_id") % 7 == 0, F.lit(False))
+    events.where(~late).repartitionByRange(6, "ts").write.parquet(arrivals)
+    events.where(late).write.mode("append").parquet(arrivals)
+    arriving = stream.read_growing_table(spark, arrivals, events, files_per_batch=2)
+    stream.monitor_days(arriving, "ts", _value(), history, output, f"{output}-progress")
+    return stream.monitored_days(spark, output)
+
+
 @query
 def idempotent_ingest_stream(spark, folder):
     events = _event_stream(spark, folder)

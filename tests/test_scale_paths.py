@@ -12,7 +12,17 @@ from assayer.operators.quantiles import exact_quantiles, grouped_quantiles
 from assayer.operators.remediate import segment_outliers
 from assayer.plans.fixtures import dirty_orders
 from assayer.sources.workspace import checkpoint_root, new_folder
-from assayer.streaming.quality import daily_quality, ingest_once, read_days, read_growing_table, read_ingested, update_days
+from assayer.streaming.quality import (
+    daily_quality,
+    ingest_once,
+    monitor_days,
+    monitored_days,
+    read_days,
+    read_growing_table,
+    read_ingested,
+    read_monitor,
+    update_days,
+)
 
 FRACTIONS = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
 # So small that every quantile needs several rounds of narrowing.
@@ -117,6 +127,69 @@ def test_stream_equals_batch(spark, folder):
     assert sorted(read_days(spark, output).collect()) == sorted(batch.collect())
 
 
+def _events_of(spark, path, days, day, rows):
+    """One file with so many rows per day, some without a value or a time."""
+    at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") % days * 86_400 + F.lit(day * 86_400) + F.col("id") * 37 % 80_000)
+    df = spark.range(days * rows).select(
+        F.when(F.col("id") % 31 != 0, at).alias("ts"), F.when(F.col("id") % 11 != 0, F.col("id") % 97).alias("value")
+    )
+    df.coalesce(1).write.mode("append").parquet(path)
+    return df
+
+
+def test_monitor_holds_open_days_only(spark):
+    """400 days in 10 files, each followed by late rows of all days so far; the last batch is done twice."""
+    import os
+
+    path, output, spread = new_folder(spark, "monitored"), new_folder(spark, "monitor"), Spread(20.0, 40.0, 60.0)
+
+    def run():
+        stream = read_growing_table(spark, path, df, files_per_batch=1)
+        monitor_days(stream, "ts", F.col("value"), spread, output, f"{output}-progress", "3 days")
+
+    for i in range(10):
+        df = _events_of(spark, path, 40, 40 * i, 5)
+        if i % 3 == 2:
+            _events_of(spark, path, 40 * i + 38, 0, 1)
+        run()
+    batch = sorted(daily_quality(spark.read.parquet(path), "ts", F.col("value"), spread).collect())
+    assert len(batch) > 390 and sorted(monitored_days(spark, output).collect()) == batch
+    rows = read_monitor(spark, output)
+    held = [r["count"] for r in rows.where("state = 'open'").groupBy("batch").count().collect()]
+    assert len(held) == 13 and max(held) <= 5
+    closed = rows.where("state = 'closed'")
+    assert closed.count() == closed.select("day_start").distinct().count() > 390
+    assert rows.where("state = 'late'").count() > 300
+    last = max(int(name) for name in os.listdir(f"{output}-progress/commits") if name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):  # as if the run had failed before it was committed
+        os.remove(f"{output}-progress/commits/{name}")
+    run()
+    assert sorted(monitored_days(spark, output).collect()) == batch
+
+
+def test_monitor_without_times(spark):
+    path, output = new_folder(spark, "untimed"), new_folder(spark, "monitor")
+    for rows in ("(null, 1.0)", "(timestamp '2024-01-01 10:00', null)"):
+        df = spark.sql(f"SELECT * FROM VALUES {rows} AS t(ts, value)").selectExpr("CAST(ts AS timestamp) AS ts", "CAST(value AS double) AS value")
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = read_growing_table(spark, path, df)
+        monitor_days(stream, "ts", F.col("value"), Spread(1.0, 2.0, 3.0), output, f"{output}-progress")
+    assert [tuple(r)[2:] for r in monitored_days(spark, output).collect()] == [(1, 1, 0)]
+
+
+def test_ingestion_reads_no_output(spark):
+    """The cost of a batch does not grow with the batches before it: what was written may even be gone."""
+    path, output = new_folder(spark, "arriving"), new_folder(spark, "ingested")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    for i in range(4):
+        df = spark.range(i * 50, i * 50 + 100).selectExpr("id % 120 AS k", "nullif(id % 2, 1) AS other", "id")
+        df.coalesce(1).write.mode("append").parquet(path)
+        to = f"{output}-{i}"
+        ingest_once(read_growing_table(spark, path, df), ["k", "other"], to, f"{output}-progress", partitions=3)
+    assert [spark.read.parquet(f"{output}-{i}").count() for i in range(4)] == [100, 20, 0, 0]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
 def test_replayed_input_is_kept_once(spark, folder):
     """Run, add new and repeated files, run again: no row twice and none missing."""
     from assayer.plans.fixtures import table
