@@ -14,6 +14,7 @@ from assayer.functions.numbers import INTEGER_PATTERN, count_where, outside_fenc
 from assayer.functions.texts import strip
 from assayer.functions.times import whole_days
 from assayer.operators.columns import column_specs, quoted
+from assayer.operators.duplicates import split_repeated
 from assayer.operators.outliers import Spread
 from assayer.operators.quantiles import QUARTILES, exact_quantiles, grouped_quantiles
 from assayer.operators.values import value_counts
@@ -114,16 +115,21 @@ def standardise(df: DataFrame, casts: Mapping[str, str | None], lower: Sequence[
 def keep_latest(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = ()) -> DataFrame:
     """One row per key: the latest by ``time``, then by the tie columns, all descending.
 
-    Each task keeps one row per key before the shuffle, so a hot key stays small.
+    Only rows whose key occurs again are shuffled and ordered; each task keeps one of them per key before
+    that, so a hot key stays small. The others stay where they are (see ``split_repeated``).
     """
+    single, several = split_repeated(df, keys)
     order = W.partitionBy(*[quoted(k) for k in keys]).orderBy(
         quoted(time).desc_nulls_last(), *[quoted(t).desc_nulls_last() for t in ties]
     )
-    return df.withColumn("__place", F.row_number().over(order)).where(F.col("__place") == 1).drop("__place")
+    latest = several.withColumn("__place", F.row_number().over(order)).where(F.col("__place") == 1).drop("__place")
+    return single.union(latest)
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """Each row once. Only rows whose fingerprint occurs again are shuffled whole and compared."""
+    single, several = split_repeated(df, df.columns)
+    return single.union(several.dropDuplicates())
 
 
 def schema_contract(df: DataFrame, contract: Mapping[str, str]) -> DataFrame:

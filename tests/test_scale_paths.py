@@ -230,6 +230,44 @@ def test_duplicates_are_proven_where_fingerprints_collide(spark, monkeypatch):
     assert duplicates.duplicate_rows(df, "fingerprint").first()[0] == 5
 
 
+def _keyed(spark):
+    """A hot key, unique keys, keys without a value, zeros of both signs, whole copies."""
+    rows = [(None if i % 50 == 0 else 7.0 if i % 3 == 0 else float(i), f"k{i % 2}" if i % 3 == 0 else "k", i % 40, "x" * 50) for i in range(600)]
+    rows += [(-0.0, "zero", 1, "a"), (0.0, "zero", 1, "a"), (0.0, "zero", 5, "b"), (None, None, 2, None), (None, None, 2, None)]
+    return rows, spark.createDataFrame(rows, "`a key` double, k string, at int, text string").repartition(5)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_only_suspects_are_shuffled(spark, monkeypatch, collide):
+    from assayer.operators import duplicates
+    from assayer.operators.remediate import drop_copies, keep_latest
+
+    if collide:  # all rows are suspects
+        monkeypatch.setattr(duplicates, "fingerprint", lambda names: [F.lit(1).cast("long").alias(h) for h in ("h1", "h2")])
+    rows, df = _keyed(spark)
+    latest = {}
+    for r in rows:
+        key = r[:2]
+        latest[key] = max(latest.get(key, (-1, "")), (r[2], r[3] or ""))
+    kept = keep_latest(df, ["a key", "k"], "at", ["text"])
+    assert {(r[0], r[1]): (r[2], r[3] or "") for r in kept.collect()} == latest and kept.count() == len(latest)
+    unique = drop_copies(df)
+    assert {tuple(r) for r in unique.collect()} == set(rows) and unique.count() == len(set(rows))
+    if not collide:
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        alone = plan[: plan.index("Window")]
+        assert "LeftAnti" in alone and "Exchange" not in alone
+        assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_with_arrays(spark):
+    from assayer.operators.remediate import drop_copies
+
+    df = spark.sql("SELECT id % 2 AS a, array(id % 2) AS b FROM range(6)")
+    assert sorted(drop_copies(df).collect()) == [(0, [0]), (1, [1])]
+    assert drop_copies(df.limit(0)).count() == 0
+
+
 def long_values(spark):
     """Values that share their first characters, and short ones with spaces at the ends."""
     start = "the same beginning of every value, " * 2
