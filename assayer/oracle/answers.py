@@ -433,6 +433,11 @@ ANSWERS: dict[str, str] = {
     + ") SELECT * FROM days",
     "idempotent_ingest_stream": "SELECT * FROM events",
 }
+ANSWERS["profile_state_grown"] = (
+    f"WITH nums AS ({long_numbers('lineitem', LINEITEM_NUMBERS)}), sizes AS (SELECT count(*) AS total_rows FROM lineitem) "
+    f"SELECT name, any_value(total_rows) AS total_rows, any_value(total_rows) - count(x) AS missing_count, {rounded('avg(x)', 4)} AS mean, "
+    f"{rounded('stddev_samp(x)', 4)} AS std, {rounded('min(x)', 4)} AS min, {rounded('max(x)', 4)} AS max FROM nums, sizes GROUP BY name"
+)
 ANSWERS["daily_quality_watermark"] = ANSWERS["daily_quality_stream"]
 ANSWERS["quartiles_search"] = ANSWERS["numeric_quartiles"]
 ANSWERS["datetime_layouts"] = union(

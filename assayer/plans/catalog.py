@@ -22,6 +22,7 @@ from assayer.operators.impact import downstream_risks, exposure, outlier_exposur
 from assayer.operators.issues import correlated_columns
 from assayer.operators.missingness import strong_co_missing
 from assayer.operators.profile import TableProfile
+from assayer.operators.profile_state import profile_from_state, update_profile_state
 from assayer.operators.quantiles import QUARTILES, grouped_quantiles
 from assayer.operators.score import quality_score
 from assayer.operators.small import small_frame
@@ -542,6 +543,19 @@ def column_distinct_documents(spark, folder):
     return _union(parts)
 
 
+@query
+def profile_state_grown(spark, folder):
+    """Moments from the merged state of a table that has grown once; the second update reads the new files only."""
+    lines, grown, state = table(spark, folder, "lineitem"), new_folder(spark, "grown"), new_folder(spark, "profile-state")
+    late = F.coalesce(F.col("l_orderkey") % 5 == 0, F.lit(False))
+    for part in (lines.where(~late), lines.where(late)):
+        part.write.mode("append").parquet(grown)
+        update_profile_state(spark, grown, state)
+    measures = [round_half_up(F.col(m), 4).alias(m) for m in ("mean", "std", "min", "max")]
+    merged = profile_from_state(spark, grown, state).where("numeric_count > 0")
+    return merged.select("name", "total_rows", "missing_count", *measures)
+
+
 @query
 def duplicate_rows_documents(spark, folder):
     """Copies of whole rows with long texts: fingerprints find the suspects, their rows prove it."""

@@ -377,3 +377,58 @@ def test_layouts_of_single_texts(spark):
         kind = one.select(shape(F.col("x"))).first()[0]
         read = [] if kind is None else list(one.select(*[x.time(F.col("x")) for x in layouts_of([kind])]).first())
         assert not any(read), text
+
+
+def test_profile_grows_with_the_table(spark, folder):
+    """Only new files are read; the merged state equals a full profile of the files that are there."""
+    import os
+
+    from assayer.operators.profile_state import profile_from_state, update_profile_state
+
+    path, state = new_folder(spark, "growing table"), new_folder(spark, "profile-state")
+    df = dirty_orders(spark, folder)
+    parts = [df.where(F.crc32(F.col("order_id").cast("string")) % 3 == i) for i in range(3)]
+    parts[2] = parts[2].union(df.where("order_id IS NULL"))
+
+    def same_as_full():
+        table = spark.read.parquet(path)
+        full = {r["name"]: r for r in TableProfile(table, Config()).stats().collect()}
+        got = {r["name"]: r for r in profile_from_state(spark, path, state).collect()}
+        assert set(got) == set(full)
+        for name, f in full.items():
+            g = got[name]
+            assert (g["total_rows"], g["missing_count"], g["dtype"]) == (f["total_rows"], f["total_rows"] - f["present"], f["dtype"])
+            if f["role"] == "categorical":
+                assert g["whitespace_count"] == f["whitespace_count"]
+            assert g["approx_distinct"] == pytest.approx(f["distinct_count"], rel=0.05)
+            if f["raw_mean"] is not None:
+                assert [g[m] for m in ("mean", "std")] == pytest.approx([f["raw_mean"], f["raw_std"]], rel=1e-9)
+                assert (g["min"], g["max"], g["numeric_count"]) == (f["raw_min"], f["raw_max"], f["numeric_count"])
+                x = table.select(F.col(name).try_cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)").toPandas()["x"]
+                for q, at in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+                    value = g[f"approx_{q}"]
+                    assert (x < value).mean() <= at + 0.03 and (x <= value).mean() >= at - 0.03
+
+    for i, part in enumerate(parts):
+        part.repartition(2 - i % 2).write.mode("append").parquet(path)
+        assert update_profile_state(spark, path, state) == 2 - i % 2
+        assert update_profile_state(spark, path, state) == 0
+    same_as_full()
+    gone = next(n for n in sorted(os.listdir(path)) if n.endswith(".parquet"))
+    os.remove(f"{path}/{gone}")
+    same_as_full()
+
+
+def test_profile_state_of_new_columns(spark):
+    from assayer.operators.profile_state import profile_from_state, update_profile_state
+
+    path, state = new_folder(spark, "widening"), new_folder(spark, "profile-state")
+    spark.range(10).selectExpr("id", "double('NaN') AS x").write.parquet(path)
+    update_profile_state(spark, path, state)
+    spark.range(5).selectExpr("id", "id * 2.5D AS x", "' a' AS t", "array(id) AS list").coalesce(1).write.mode("append").parquet(path)
+    update_profile_state(spark, path, state)
+    got = {r["name"]: r for r in profile_from_state(spark, path, state).collect()}
+    assert [(n, got[n]["total_rows"], got[n]["missing_count"], got[n]["numeric_count"]) for n in sorted(got)] == [
+        ("id", 15, 0, 15), ("list", 15, 10, 0), ("t", 15, 10, 0), ("x", 15, 10, 5)
+    ]
+    assert (got["t"]["whitespace_count"], got["list"]["approx_distinct"], got["x"]["mean"], got["t"]["mean"]) == (5, 5, 5.0, None)
