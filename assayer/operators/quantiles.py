@@ -26,8 +26,8 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 # Sketches (a few hundred KB each in a task) and value maps evaluated together in one scan.
 _SKETCHES = 32
-# Tasks that merge the sketches of a scan, before one task merges theirs.
-_BUCKETS = 64
+# Groups that merge the sketches of a scan, and groups that merge theirs, before one task merges the rest.
+_BUCKETS = (4096, 64)
 
 
 @dataclass
@@ -119,9 +119,10 @@ def _narrow(base: DataFrame, ranks: list[_Rank], cfg: Config) -> None:
     for i in range(0, len(names), _SKETCHES):
         part = names[i : i + _SKETCHES]
         # Sketches of all tasks would meet in one task; they are merged in buckets first.
-        bucket = (F.spark_partition_id() % _BUCKETS).alias("bucket")
-        some = base.groupBy(bucket).agg(*[sketches[n].alias(n) for n in part])
-        found = some.agg(*[F.kll_merge_agg_double(n, F.lit(cfg.sketch_size)).alias(n) for n in part])
+        many, few = _BUCKETS
+        merge = [F.kll_merge_agg_double(n, F.lit(cfg.sketch_size)).alias(n) for n in part]
+        some = base.groupBy((F.spark_partition_id() % many).alias("bucket")).agg(*[sketches[n].alias(n) for n in part])
+        found = some.groupBy(F.col("bucket") % few).agg(*merge).agg(*merge)
         at = [F.kll_sketch_get_quantile_double(n, F.array(*[F.lit(f) for f in wanted[n]])).alias(n) for n in part]
         edges |= found.select(*at).first().asDict()
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from assayer.functions.numbers import count_where, percent
 from assayer.functions.texts import EMAIL_PATTERN, PHONE_PATTERN
 from assayer.operators.columns import quoted
+from assayer.operators.duplicates import split_repeated
+
+#: Types whose values can be longer than a fingerprint.
+_WIDE = ("string", "varchar", "char", "binary", "array", "struct")
 
 
 @dataclass(frozen=True)
@@ -104,15 +108,21 @@ def broken_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows beyond the first per key. Counting starts before the shuffle, so a hot key is cheap."""
-    groups = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    totals = groups.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("failed_rows"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-    )
-    return totals.select(
+    """Rows beyond the first per key; nulls in keys equal each other.
+
+    Keys of fixed width are counted before the shuffle, so a hot key is cheap. Of wider keys only fingerprints
+    are counted, and then the keys whose fingerprint occurs again.
+    """
+    df = df.select(*[quoted(k) for k in keys])
+    wide = any(kind.startswith(_WIDE) for _, kind in df.dtypes)
+    counted = split_repeated(df, df.columns)[1] if wide else df
+    groups = counted.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    failed = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("failed_rows"), F.sum("n").alias("counted"))
+    # The rows of narrow keys have all been counted; those of wide ones are counted without reading them.
+    total = F.lit(df.count()) if wide else F.coalesce("counted", F.lit(0))
+    return failed.select(
         F.lit("unique_key").alias("rule"),
         F.lit(",".join(keys)).alias("column"),
         "failed_rows",
-        percent(F.col("failed_rows"), F.col("total")).alias("failed_pct"),
+        percent(F.col("failed_rows"), total).alias("failed_pct"),
     )

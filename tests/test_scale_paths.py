@@ -260,6 +260,24 @@ def test_only_suspects_are_shuffled(spark, monkeypatch, collide):
         assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_unique_keys_by_suspicion(spark, monkeypatch, collide):
+    from assayer.operators import duplicates
+    from assayer.operators.rules import unique_key
+
+    if collide:
+        monkeypatch.setattr(duplicates, "fingerprint", lambda names: [F.lit(1).cast("long").alias(h) for h in ("h1", "h2")])
+    rows, df = _keyed(spark)
+    for keys in (["k"], ["a key", "k"], ["at"], ["a key", "at"]):
+        got = unique_key(df, keys).first()
+        places = [df.columns.index(k) for k in keys]
+        failed = len(rows) - len({tuple(r[p] for p in places) for r in rows})
+        assert got["failed_rows"] == failed and got["failed_pct"] == pytest.approx(100 * failed / len(rows), abs=0.005)
+    one_percent = spark.range(5000).selectExpr("concat('key ', if(id % 100 = 0, id + 1, id)) AS k")
+    assert unique_key(one_percent, ["k"]).first()["failed_rows"] == 50
+    assert tuple(unique_key(one_percent.limit(0), ["k"]).first())[2:] == (0, 0.0)
+
+
 def test_copies_with_arrays(spark):
     from assayer.operators.remediate import drop_copies
 
