@@ -433,6 +433,29 @@ ANSWERS: dict[str, str] = {
     + ") SELECT * FROM days",
     "idempotent_ingest_stream": "SELECT * FROM events",
 }
+_of = lambda detector, **values: ", ".join(f"CASE WHEN detector = {detector} THEN {v} END AS {k}" for k, v in values.items())
+ANSWERS["issue_evidence"] = f"""WITH {ISSUES},
+    evc AS ({_ORDER_VALUE_COUNTS}),
+    bad AS (SELECT name, value, 'w' AS kind FROM evc WHERE regexp_matches(value, '^\\s|\\s$')
+      UNION ALL SELECT name, value, 'n' FROM evc WHERE name = 'code_mix' AND {number('value')} IS NULL),
+    few AS (SELECT DISTINCT name, value FROM (SELECT * FROM bad QUALIFY row_number() OVER (PARTITION BY name, kind ORDER BY value) <= 3)),
+    few5 AS (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY name ORDER BY value) <= 5),
+    shown AS (SELECT name, string_agg(value, '|' ORDER BY value) AS examples FROM few5 GROUP BY name),
+    categories AS (SELECT ordinal, string_agg(category_column, ',' ORDER BY category_ordinal) AS columns, string_agg(category_column || '/' || top_value || '/'
+      || outlier_count || '/' || round(concentration_pct * 10)::BIGINT || '/' || base_count, ';' ORDER BY category_ordinal) AS list FROM category_clusters GROUP BY ordinal),
+    windows AS (SELECT ordinal, date_column || '/' || window_days || '/' || from_date || '/' || to_date || '/' || outlier_count_in_window AS list FROM date_clusters),
+    partners AS (SELECT ordinal, string_agg(other_name, ',' ORDER BY other) AS columns FROM pairs WHERE jaccard >= 0.3 GROUP BY ordinal)
+    SELECT ord, dimension, affected_column,
+      {_of(1, missing_count="c.missing_count", missing_pct="c.missing_pct")},
+      {_of(2, outlier_count="c.outlier_count", outlier_pct="c.outlier_pct", min=rounded("c.lo", 4), max=rounded("c.hi", 4), q1=rounded("c.q1", 4),
+           q3=rounded("c.q3", 4), mean=rounded("c.mean", 4), category_clusters="coalesce(k.list, '')", date_clusters="coalesce(d.list, '')")},
+      CASE detector WHEN 1 THEN coalesce(p.columns, '') WHEN 2 THEN coalesce(k.columns, '') ELSE '' END AS correlated_columns,
+      {_of(3, format_issue_count="c.format_issues", examples="s.examples")},
+      {_of(4, duplicate_count="t.duplicate_count", duplicate_pct="t.duplicate_pct")},
+      {_of(5, schema_issue_count="t.schema_issues::INTEGER")},
+      {_of(6, freshness_days="t.freshness_days", freshness_flag="t.freshness_flag")}
+    FROM issues i CROSS JOIN dataset2 t LEFT JOIN cols c ON c.ordinal = i.ordinal LEFT JOIN categories k ON k.ordinal = i.ordinal
+      LEFT JOIN windows d ON d.ordinal = i.ordinal LEFT JOIN partners p ON p.ordinal = i.ordinal LEFT JOIN shown s ON s.name = c.name"""
 ANSWERS["profile_state_grown"] = (
     f"WITH nums AS ({long_numbers('lineitem', LINEITEM_NUMBERS)}), sizes AS (SELECT count(*) AS total_rows FROM lineitem) "
     f"SELECT name, any_value(total_rows) AS total_rows, any_value(total_rows) - count(x) AS missing_count, {rounded('avg(x)', 4)} AS mean, "

@@ -792,6 +792,24 @@ for _name, _dimension in {
     QUERIES[_name] = _issues(_dimension)
 
 
+@query
+def issue_evidence(spark, folder):
+    """Evidence and correlated columns of each issue, with lists as texts."""
+    e, share = F.col("evidence"), lambda c: F.round(c["concentration_pct"] * 10).cast("bigint")
+    category = lambda c: F.concat_ws("/", c["column"], c["top_value"], c["outlier_count"], share(c), c["base_count"])
+    window = lambda d: F.concat_ws("/", d["column"], d["window_days"], d["from"], d["to"], d["outlier_count_in_window"])
+    return _report(spark, folder).issues.select(
+        "ord", "dimension", "affected_column",
+        *[e[c].alias(c) for c in ("missing_count", "missing_pct", "outlier_count", "outlier_pct", "min", "max", "q1", "q3", "mean")],
+        F.array_join(F.transform(e["category_clusters"], category), ";").alias("category_clusters"),
+        F.array_join(F.transform(e["date_clusters"], window), ";").alias("date_clusters"),
+        F.array_join("correlated_columns", ",").alias("correlated_columns"),
+        "evidence.format_issue_count", F.array_join(e["examples"], "|").alias("examples"),
+        "evidence.duplicate_count", "evidence.duplicate_pct", F.size(e["schema_issues"]).alias("schema_issue_count"),
+        "evidence.freshness_days", "evidence.freshness_flag",
+    )
+
+
 @query
 def issues_ranked(spark, folder):
     return _report(spark, folder).issues.select("ord", *_ISSUE)
