@@ -42,12 +42,21 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the staged tables of this session, once their results have been consumed."""
-    jvm = spark.sparkContext._jvm
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+def staged_so_far() -> int:
+    """How many staged tables this session has; ``drop_staged`` can leave those alone."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the staged tables of this session after the first ``since``, but for the last ``keep``.
+
+    Only once their results have been consumed: frames that were built on them cannot be read any more.
+    """
+    jvm, end = spark.sparkContext._jvm, len(_staged) - keep
+    for name in _staged[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _staged[since : max(since, end)]
 
 
 def if_small(keys: DataFrame) -> DataFrame:

@@ -368,3 +368,61 @@ def test_pipeline(spark, folder):
     got = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id: r.ids for r in got} == {d: brute.segment(" " + t, vocabulary)[1] for d, t in docs.items()}
     assert len(got) == len(docs) > 100 and all(r.exact for r in got) and leaks
+
+
+def test_long_segments_at_the_edge_of_batches(spark):
+    """Segments that are too long to remember stand around the first and the last row of Arrow batches."""
+    from assayer.llm.sentence_pieces import encode
+
+    rng = random.Random(21)
+    long = lambda: "".join(rng.choice("xyzé世") for _ in range(5000))
+    texts = [f"short {i}" if (i + 3) % 1000 > 5 else f"{long()} and {long()}" for i in range(2005)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    encoder = Encoder(read_vocabulary())
+    rows = encode(df).collect()
+    assert len(rows) == len(texts) and all(r.exact for r in rows)
+    assert all(r.ids == np.frombuffer(encoder.encode(texts[r.doc_id]), np.int32).tolist() for r in rows)
+
+
+def test_licences_of_shuffled_sentences():
+    """Texts made of known and unknown sentences, against every rule tried at every place."""
+    from assayer.llm.license_scan import RULES, SENTENCES, LicenseScan
+
+    sentence = {i: s for s, i in SENTENCES.items()}
+    rules = [(name, rule) for name, rule in RULES if all(i in sentence for i in rule)]
+    assert len(rules) >= 8
+    rng = random.Random(22)
+
+    def expected(parts, max_gap):
+        known = [(at, p) for at, p in enumerate(parts) if p is not None]
+        used, found = 0, []
+        for k in range(len(known)):
+            if k < used:
+                continue
+            for name, rule in RULES:
+                window = known[k : k + len(rule)]
+                in_order = [p for _, p in window] == list(rule)
+                near = all(b - a <= max_gap + 1 for (a, _), (b, _) in zip(window, window[1:]))
+                if in_order and near:
+                    found.append((name, window[0][0], window[-1][0]))
+                    used = k + len(rule)
+                    break
+        return found
+
+    hits = 0
+    for n in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            rule = list(rng.choice(rules)[1])
+            if rng.random() < 0.3:
+                rng.shuffle(rule)
+            if rng.random() < 0.2:
+                rule.pop()
+            for i in rule:
+                parts += [None] * rng.choice((0, 0, 0, 1, 2, 3)) + [i]
+        text = "\n\n".join(f"Filler number {rng.random()} stands here" if p is None else sentence[p].capitalize() for p in parts)
+        options = LicenseScan(max_gap=n % 4)
+        got = [(name, first, last) for name, first, last, _ in recognise(text, options)]
+        assert got == expected(parts, options.max_gap)
+        hits += len(got)
+    assert hits > 150

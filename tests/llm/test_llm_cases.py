@@ -179,3 +179,23 @@ def test_stage(spark, tmp_path, messy, empty, items, name, stage):
         "sentencepiece": everything,
     }
     assert name not in expected or ids == sorted(expected[name], key=repr)
+
+
+def test_staged_tables_are_dropped(spark):
+    import os
+
+    from assayer.llm import frames
+
+    before = frames.staged_so_far()
+    kept = frames.staged(spark.range(3), "kept")
+    since = frames.staged_so_far()
+    for _ in range(3):
+        last = frames.staged(spark.range(2), "passing")
+    paths = frames._staged[since:]
+    frames.drop_staged(spark, since, keep=1)
+    assert [os.path.exists(p) for p in paths] == [False, False, True] and frames.staged_so_far() == since + 1
+    assert kept.count() == 3 and last.count() == 2
+    frames.drop_staged(spark, before)
+    assert frames.staged_so_far() == before and not os.path.exists(paths[-1])
+    frames.drop_staged(spark, before, keep=1)  # nothing to drop
+    assert frames.staged_so_far() == before
