@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.decontaminate import keep_clean
-from assayer.llm.frames import staged
+from assayer.llm.frames import drop_staged, staged, staged_so_far
 from assayer.llm.line_dedup import remove_boilerplate
 from assayer.llm.near_dedup import keep_first
 from assayer.llm.quality_rules import keep_good
@@ -63,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage. Of the tables on the way, each is deleted once the next stage is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_staged(spark, before, keep=1)
     return docs
