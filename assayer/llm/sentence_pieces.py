@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +32,27 @@ class Vocabulary:
     texts: list[bytes]  # of each id, for decoding
     bytes_from: int  # id of the piece of byte 0
     longest: int = 0
-    table: dict[str, tuple[int, float] | None] = field(default_factory=dict)  # None: only the start of a piece
     unknown: float = 0.0
     cut_at_spaces: bool = True
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces))
-        self.table = {p[:n]: None for p in self.pieces for n in range(1, len(p))} | self.pieces
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN_PENALTY
         # No piece goes on across a space: then every path passes the boundary before it.
         self.cut_at_spaces = not any(re.search("[^ ] ", p) for p in self.pieces)
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds pieces by their ends: length, score and id. Built in each worker, not sent."""
+        found = ahocorasick.Automaton()
+        for piece, (i, score) in self.pieces.items():
+            found.add_word(piece, (len(piece), score, i))
+        found.make_automaton()
+        return found
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
+
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes_from + b for b in char.encode())
 
@@ -73,76 +85,81 @@ def read_vocabulary(path: str = PIECE_MODEL) -> Vocabulary:
 def viterbi(chunks: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
     """Ids of the best segmentation of a stream of characters or longer chunks, as soon as they are certain.
 
-    The best path has the largest sum of scores; among equals the last piece is the longest one. Scores and
-    backpointers are kept for the positions that no commit has passed, characters for those that a piece
-    still open can reach. After every ``longest`` positions the paths of all boundaries that a later piece
-    can start from are followed back: where they converge, everything before is committed and forgotten.
+    The best path has the largest sum of scores; among equals the last piece is the longest one. An automaton
+    names the pieces that end at each boundary, the longest first, so a boundary is settled when the next
+    character comes. Only the characters of pieces still open are kept, and scores and backpointers from the last
+    commit on. Later pieces start from the last ``longest`` boundaries; once so many are new, their paths are
+    followed back: where they converge, everything before is committed and forgotten.
     """
-    longest, table, unknown = vocabulary.longest, vocabulary.table, vocabulary.unknown
-    window, start, at = "", 0, 0  # the characters from position ``start`` to ``at``
-    reach: dict[int, tuple] = {0: (0.0, 0)}  # of a boundary: score, the boundary before, ids between them
-    done, checked, committed = 0, 0, 0
-
-    def settle(stop: int) -> None:
-        """Start all pieces at the positions before ``stop``, from the left."""
-        nonlocal done
-        get, held = table.get, reach.get
-        for here in range(done, stop):
-            score, offset, single = reach[here][0], here - start, False
-            for size in range(1, min(longest, at - here) + 1):
-                found = get(window[offset : offset + size], ())
-                if found is None:
-                    continue
-                if not found:
-                    break
-                single = single or size == 1
-                total, old = score + found[1], held(here + size)
-                if old is None or total > old[0]:
-                    reach[here + size] = (total, here, found[0])
-            if not single:
-                total, old = score + unknown, held(here + 1)
-                if old is None or total > old[0]:
-                    reach[here + 1] = (total, here, *vocabulary.fallback(window[offset]))
-        done = stop
+    longest, unknown, automaton = vocabulary.longest, vocabulary.unknown, vocabulary.automaton
+    base = at = checked = 0  # the last commit, the last boundary, and the boundary of the last look back
+    score, before, last = [0.0], [0], [0]  # of the boundaries from ``base`` on; a fallback's id is ~ of its character
+    tail = ""  # the characters before ``at`` with which a longer piece may begin
 
     def converged() -> int:
         """The last boundary that the paths of all open boundaries pass."""
-        front = {p for p in reach if p >= done}
+        front = set(range(max(base, at - longest + 1), at + 1))
         while len(front) > 1:
-            last = max(front)
-            front.discard(last)
-            front.add(reach[last][1])
+            latest = max(front)
+            front.discard(latest)
+            front.add(before[latest - base])
         return front.pop()
 
-    def commit(to: int) -> list[int]:
-        nonlocal committed
+    def path(to: int) -> list[int]:
         ids, p = [], to
-        while p > committed:
-            _, p, *found = reach[p]
-            ids.extend(reversed(found))
-        committed = to
+        while p > base:
+            i = last[p - base]
+            ids.extend((i,) if i >= 0 else reversed(vocabulary.fallback(chr(~i))))
+            p = before[p - base]
         ids.reverse()
         return ids
 
-    def advance(stop: int) -> Iterator[list[int]]:
-        nonlocal checked
-        while done < stop:
-            settle(min(stop, checked + longest))
-            if done - checked == longest:
-                checked = done
-                boundary = converged()
-                if boundary > committed:
-                    yield commit(boundary)
-                    for p in [p for p in reach if p < boundary]:
-                        del reach[p]
+    def fall_back(to: int) -> None:
+        """The character before boundary ``to`` has no piece: it becomes bytes, if no longer piece is better."""
+        p, total, code = to - base, score[to - 1 - base] + unknown, ~ord(window[to - 1 - start])
+        if p == len(score):
+            score.append(total)
+            before.append(to - 1)
+            last.append(code)
+        elif total > score[p]:
+            score[p], before[p], last[p] = total, to - 1, code
 
     for chunk in chunks:
-        window, start = window[done - start :] + chunk, done
-        at += len(chunk)
-        yield from advance(at - longest + 1)
-    yield from advance(at)
-    if at > committed:
-        yield commit(at)
+        window, start = tail + chunk, at - len(tail)
+        done, at = at, at + len(chunk)
+        here, single = done, True  # the boundary being settled, and whether a piece of one character ends there
+        for end, (size, gain, piece) in automaton.iter(window):
+            end += start + 1
+            if end <= done:
+                continue
+            if end != here:
+                if not single:
+                    fall_back(here)
+                for gap in range(here + 1, end):
+                    fall_back(gap)
+                here = end
+                score.append(score[end - size - base] + gain)
+                before.append(end - size)
+                last.append(piece)
+            else:
+                total = score[end - size - base] + gain
+                if total > score[-1]:
+                    score[-1], before[-1], last[-1] = total, end - size, piece
+            single = size == 1
+        if not single:
+            fall_back(here)
+        for gap in range(here + 1, at + 1):
+            fall_back(gap)
+        tail = window[1 - longest :] if longest > 1 else ""
+
+        if at - checked >= longest:
+            checked, boundary = at, converged()
+            if boundary > base:
+                yield path(boundary)
+                del score[: boundary - base], before[: boundary - base], last[: boundary - base]
+                base = boundary
+    if at > base:
+        yield path(at)
 
 
 class Encoder:
