@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.frames import columns_of, rows_in, small_batches, text_key
+from assayer.llm.frames import columns_of, rows_in, small_batches, staged, text_key, with_row_ids
 
 
 @dataclass(frozen=True)
 class EditMatch:
     error_pct: int = 8  # edits allowed per 100 characters of an item
     min_chars: int = 20  # shorter items would match by chance: they must stand there as whole words, unchanged
-    block_chars: int = 1_000_000  # of items that one pass over the documents searches for
+    block_chars: int = 1_000_000  # of items, about, that one pass over the documents searches for
 
 
 def normalise(text: str) -> str:
@@ -70,21 +70,19 @@ class Item:
         return ((a, self.text[a:b]) for a, b in zip(cuts, cuts[1:]))
 
 
-def _items(benchmark: DataFrame, options: EditMatch) -> Iterator[list[Item]]:
-    """Blocks of items, in order of their ids. An item counts against a block with all its characters."""
-    block, size = [], 0
-    for row in benchmark.orderBy("item_id", "text").toLocalIterator():
-        text = normalise(row.text or "")
-        if not text:
-            continue
-        if block and size + len(text) > options.block_chars:
-            yield block
-            block, size = [], 0
-        whole = len(text) < options.min_chars
-        block.append(Item(row.item_id, text, 0 if whole else len(text) * options.error_pct // 100, whole))
-        size += len(text)
-    if block:
-        yield block
+def _blocks(benchmark: DataFrame, options: EditMatch) -> Iterator[list[Item]]:
+    """Blocks of items of about ``block_chars`` characters; the driver holds one at a time."""
+    rows = staged(with_row_ids(benchmark.filter("text IS NOT NULL")), "items")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-size // options.block_chars)
+    for block in range(blocks):
+        items = []
+        for row in rows.filter(F.pmod(F.xxhash64("row_id"), F.lit(blocks)) == block).select("item_id", "text").collect():
+            if text := normalise(row.text):
+                whole = len(text) < options.min_chars
+                items.append(Item(row.item_id, text, 0 if whole else len(text) * options.error_pct // 100, whole))
+        if items:
+            yield items
 
 
 class Searcher:
@@ -210,8 +208,9 @@ def contaminated(
     documents or items give repeated rows; rows without id keep null as id. Empty tables give an empty
     result, other columns are ignored. Texts are searched whole, all items and all hits are verified.
 
-    The items are the query set: sent to the executors in blocks of ``block_chars``, one pass over the
-    documents for each block, with no shuffle.
+    The items are the query set. They are divided by the hash of their row number into blocks of about
+    ``block_chars`` characters; one block at a time is sent to the executors, for one pass over the documents,
+    whose matches are written before the next block is read. No shuffle.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -220,9 +219,11 @@ def contaminated(
     )
     items = columns_of(benchmark, item_id=item_id, text=item_text).withColumn("item_id", F.col("item_id").cast("long"))
     found = []
-    for block in _items(items, options):
+    for block in _blocks(items, options):
         shared = _Shared(spark, block)
-        found.append(given.mapInArrow(lambda batches, shared=shared: _search(batches, shared), _SCHEMA))
+        hits = given.mapInArrow(lambda batches, shared=shared: _search(batches, shared), _SCHEMA)
+        found.append(staged(hits, "hits"))
+        shared.broadcast.destroy()
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], _SCHEMA)
 
 
