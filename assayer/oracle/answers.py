@@ -456,6 +456,22 @@ ANSWERS["issue_evidence"] = f"""WITH {ISSUES},
       {_of(6, freshness_days="t.freshness_days", freshness_flag="t.freshness_flag")}
     FROM issues i CROSS JOIN dataset2 t LEFT JOIN cols c ON c.ordinal = i.ordinal LEFT JOIN categories k ON k.ordinal = i.ordinal
       LEFT JOIN windows d ON d.ordinal = i.ordinal LEFT JOIN partners p ON p.ordinal = i.ordinal LEFT JOIN shown s ON s.name = c.name"""
+_tenths = lambda x: f"round(({x})::DECIMAL(18, 2), 1)::DECIMAL(18, 1)"
+ANSWERS["summary_texts"] = f"""WITH {IMPACT}, severities AS (SELECT count(*) AS n, count(*) FILTER (WHERE severity = 'HIGH') AS high,
+      count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low FROM issues)
+    SELECT 'impact' AS kind, 0 AS ord, estimate_count || ' issue(s) may distort results, ' || high_risk || ' of them severe; $'
+      || format('{{:,}}', round(total_monetary_exposure)::BIGINT) || ' at stake. Counted over all issues, ' || {_tenths("summed_affected_pct")}
+      || '% of the rows are concerned.' AS text FROM impact_total
+    UNION ALL SELECT 'issues', 0, 'Issues: ' || n || ', of which ' || high || ' high, ' || medium || ' medium and ' || low || ' low. Foremost: '
+      || title || ' (' || {_tenths("affected_pct")} || '% of rows). Likely reason: '
+      || 'Most rows have no value: the column may be recent, or its source optional.' FROM severities CROSS JOIN issues WHERE ord = 1
+    UNION ALL SELECT 'records', ord, 'It concerns ' || format('{{:,}}', affected_rows) || ' records (' || {_tenths("affected_pct")}
+      || '% of the table); whatever is computed from this column can be off.' FROM impact
+    UNION ALL SELECT 'money', ord, CASE WHEN affected_rows = 0 THEN 'It concerns no rows.'
+      WHEN dimension = 'validity' AND far > 0 THEN 'What the far values of amount_usd add up to, less the same number of medians.'
+      WHEN dimension = 'uniqueness' THEN 'amount_usd counted more than once: ' || affected_rows || ' repeated rows at the mean amount_usd.'
+      WHEN dimension = 'completeness' THEN 'Value that may be lacking: ' || affected_rows || ' rows at the mean amount_usd.'
+      ELSE 'A tenth of what the rows hold in ''amount_usd'', as a low estimate.' END FROM impact CROSS JOIN val"""
 ANSWERS["profile_state_grown"] = (
     f"WITH nums AS ({long_numbers('lineitem', LINEITEM_NUMBERS)}), sizes AS (SELECT count(*) AS total_rows FROM lineitem) "
     f"SELECT name, any_value(total_rows) AS total_rows, any_value(total_rows) - count(x) AS missing_count, {rounded('avg(x)', 4)} AS mean, "

@@ -885,6 +885,17 @@ def impact_estimates(spark, folder):
     )
 
 
+@query
+def summary_texts(spark, folder):
+    """Sentences of the report, whole: both summaries, and of each issue its records and its money."""
+    report = _report(spark, folder)
+    one = lambda df, kind, text: df.select(F.lit(kind).alias("kind"), F.lit(0).alias("ord"), F.col(text).alias("text"))
+    parts = [one(report.impact_summary, "impact", "executive_summary"), one(report.issue_summary, "issues", "summary")]
+    for kind, text in (("records", "record_impact_description"), ("money", "monetary_note")):
+        parts.append(report.impact.select(F.lit(kind).alias("kind"), "ord", F.col(text).alias("text")))
+    return _union(parts)
+
+
 @query
 def impact_summary(spark, folder):
     return _report(spark, folder).impact_summary.drop("executive_summary")
