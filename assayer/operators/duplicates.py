@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators.columns import ColumnSpec, column_specs, quoted
-from assayer.sources.workspace import new_folder
+from assayer.sources.workspace import written
 
 
 def fingerprint(values: list[Column]) -> list[Column]:
@@ -30,9 +30,8 @@ def _repeated(marked: DataFrame) -> DataFrame:
     Only fingerprints are shuffled, counted before. As a written table the suspects have a known size, by which
     Spark decides whether they are sent to the tasks that hold the rows or the rows are shuffled to them.
     """
-    path = new_folder(marked.sparkSession, "suspects")
-    marked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h1", "h2").write.parquet(path)
-    return marked.sparkSession.read.schema("h1 bigint, h2 bigint").parquet(path)
+    counted = marked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+    return written(counted.where("copies > 1").select("h1", "h2"), "suspects")
 
 
 def split_repeated(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

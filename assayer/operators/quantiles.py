@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from assayer.config import Config
 from assayer.functions.numbers import count_where
 from assayer.operators.facts import one_row
+from assayer.sources.workspace import written
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -194,7 +195,7 @@ def grouped_quantiles(
     few rows per group and is written to the checkpoint folder after each round.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    sizes = data.groupBy(*keys).agg(F.count("v").alias("n")).checkpoint()
+    sizes = written(data.groupBy(*keys).agg(F.count("v").alias("n")), "group-sizes")
     return _search_groups(data, sizes, keys, fractions, cfg)
 
 
@@ -231,7 +232,7 @@ def _search_groups(
     v = F.col("v")
     within = (F.col("low").isNull() | (v > F.col("low"))) & (F.col("high").isNull() | (v < F.col("high")))
     while True:
-        state = state.checkpoint()
+        state = written(state, "group-state")
         wide = state.where(unknown & (F.col("size") > cfg.quantile_values))
         if wide.isEmpty():
             break
@@ -244,13 +245,13 @@ def _search_groups(
             .agg(F.approx_percentile("v", [i / _GRID for i in range(_GRID + 1)], cfg.quantile_accuracy).alias("grid"))
         )
         cell = F.floor((F.col("index") - F.col("below")) / (F.col("size") - 1) * _GRID).cast("int")
-        edged = (
+        edges = (
             _join(wide, grid, [*keys, "low", "high"])
             .withColumn("a", F.element_at("grid", F.greatest(cell, F.lit(1))))
             .withColumn("b", F.element_at("grid", F.least(cell + 3, F.lit(_GRID + 1))))
             .drop("grid")
-            .checkpoint()
         )
+        edged = written(edges, "group-edges")
         spans = edged.select(*keys, "low", "high", "a", "b").distinct()
         a, b = F.col("a"), F.col("b")
         counts = (

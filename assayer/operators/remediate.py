@@ -18,6 +18,7 @@ from assayer.operators.duplicates import split_repeated
 from assayer.operators.outliers import Spread
 from assayer.operators.quantiles import QUARTILES, exact_quantiles, grouped_quantiles
 from assayer.operators.values import value_counts
+from assayer.sources.workspace import written
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
@@ -182,8 +183,8 @@ def freshness_sla(df: DataFrame, time: str, as_of: datetime, hours: int = 24) ->
 def segment_outliers(df: DataFrame, segment: str, column: str, cfg: Config | None = None) -> DataFrame:
     """Rows outside the near fences of their own segment.
 
-    Segments may be of any number and size. The fences have one row per segment; Spark
-    broadcasts them if they turn out small, and else splits large segments in the join.
+    Segments may be of any number and size. The fences have one row per segment and are a written table; Spark
+    sends them to all tasks if it is small, and else splits large segments in the join.
     """
     cfg = cfg or Config()
     fences = grouped_quantiles(
@@ -191,7 +192,7 @@ def segment_outliers(df: DataFrame, segment: str, column: str, cfg: Config | Non
     ).select(
         F.col("segment").alias("__segment"), F.col("quantiles")[0].alias("segment_q1"), F.col("quantiles")[1].alias("segment_q3")
     )
-    flagged = df.join(fences, quoted(segment).eqNullSafe(F.col("__segment")), "inner")
+    flagged = df.join(written(fences, "fences"), quoted(segment).eqNullSafe(F.col("__segment")), "inner")
     return flagged.where(
         outside_fences(_spec(df, column).number, F.col("segment_q1"), F.col("segment_q3"), cfg.fence)
     ).drop("__segment")

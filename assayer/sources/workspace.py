@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -29,3 +29,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """Path of a folder not yet used, under the checkpoint root."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table under the checkpoint root: computed once, of known size, without lineage.
+
+    By its size Spark decides whether a join sends it to all tasks or shuffles both sides.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
