@@ -151,9 +151,9 @@ CATEGORY_CLUSTERS = (
 def outlier_categories(df: DataFrame, facts: Facts, spreads: dict[int, Spread], scan: OutlierScan, cfg: Config) -> DataFrame:
     """Most frequent value of each text column among the far outliers of each column.
 
-    Each row lists the columns it is a far outlier of, once, and its texts, once. Only outlier rows are spread,
-    over the one and then the other, and counted before the shuffle; so the work grows with the sum of the columns
-    and the cells of outlier rows, not with the product of the columns.
+    Each row lists the columns it is a far outlier of, and only these, once, and its texts, once. Only outlier rows
+    are spread, over the one and then the other, and counted before the shuffle; so the work grows with the sum of
+    the columns and the texts of outliers, not with the product of the columns.
     """
     texts = [c.spec for c in facts.columns if c.spec.kind == "text"]
     flags = []
@@ -164,7 +164,8 @@ def outlier_categories(df: DataFrame, facts: Facts, spreads: dict[int, Spread],
     if not flags or not texts:
         return small_frame(df.sparkSession, [], "ordinal int, category_ordinal int, value string, n bigint, rank int")
     names = [str(t.ordinal) for t in texts]
-    cells = df.where(F.coalesce(*flags).isNotNull()).select(F.array(*flags).alias("far"), *[quoted(t.name).alias(n) for t, n in zip(texts, names)])
+    far = F.array_compact(F.array(*flags)).alias("far")
+    cells = df.where(F.coalesce(*flags).isNotNull()).select(far, *[quoted(t.name).alias(n) for t, n in zip(texts, names)])
     counts = (
         cells.unpivot(["far"], names, "category_ordinal", "value")
         .where(F.col("value").isNotNull())
@@ -187,11 +188,10 @@ def category_clusters(df: DataFrame, facts: Facts, spreads: dict[int, Spread], s
         return small_frame(df.sparkSession, [], CATEGORY_CLUSTERS)
     spec = {c.spec.ordinal: c.spec for c in facts.columns}
     named = {(t["category_ordinal"], t["value"]) for t, _ in rows}
-    wanted = small_frame(df.sparkSession, [{"o": o, "v": v} for o, v in sorted(named)], "o int, v string")
-    columns = sorted({o for o, _ in named})
-    cells = df.select(*[quoted(spec[o].name).alias(str(o)) for o in columns]).unpivot([], [str(o) for o in columns], "o", "v")
-    held = cells.select(F.col("o").cast("int").alias("o"), "v").join(F.broadcast(wanted), ["o", "v"])  # one row per cluster
-    sizes = {(r["o"], r["v"]): r["n"] for r in held.groupBy("o", "v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One count per cluster, by column, so that each pass reads few columns.
+    wanted = {cell: f"c{i}" for i, cell in enumerate(sorted(named))}
+    got = one_row(df, {n: count_where(quoted(spec[o].name) == F.lit(v)) for (o, v), n in wanted.items()}, cfg.aggregates_per_pass)
+    sizes = {cell: got[n] for cell, n in wanted.items()}
     out = [
         {
             "ordinal": t["ordinal"],
