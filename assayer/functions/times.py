@@ -73,11 +73,19 @@ class Layout:
         """Time held by a string in this layout, in UTC if it names an offset, without a zone; else null."""
         if self.index is not None:
             return _fixed_time(c, self.index)
+        return self.put_together(self.groups(c))
+
+    def groups(self, c: Column) -> Column:
+        """The parts of a text in a layout without an index, matched once; of other text null or a list of one."""
         whole = f"(?i)^{self.pattern}$"
-        groups = F.split(F.regexp_replace(c, whole, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|")
+        found = F.split(F.regexp_replace(c, whole, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|")
+        return F.when((F.length(c) <= LONGEST) & ~c.contains("|"), found)
+
+    def put_together(self, groups: Column) -> Column:
+        """The time that ``groups`` found; layouts of one pattern can share them."""
         # A list of one gives the groups a name, so that the text is matched once.
-        t = F.transform(F.array(groups), self._assembled)
-        return F.when((F.length(c) <= LONGEST) & c.rlike(whole), F.get(t, F.lit(0)).cast("timestamp_ntz"))
+        t = F.transform(F.array(groups), lambda g: F.when(F.size(g) == 9, self._assembled(g).cast("timestamp_ntz")))
+        return F.get(t, F.lit(0))
 
     def _assembled(self, groups: Column) -> Column:
         field = lambda i: F.nullif(F.get(groups, F.lit(i)), F.lit(""))
@@ -106,18 +114,40 @@ LAYOUTS = tuple(Layout(x[0], i) for i, x in enumerate(TIME_FORMATS)) + tuple(
     Layout(name, None, parts, _WEEKDAY + pattern + _TIME + _ZONE) for name, (pattern, parts) in _orders().items()
 )
 
-_ANY = "(?i)^(?:" + "|".join(dict.fromkeys(x.pattern for x in LAYOUTS if x.pattern)) + ")$"
+# All layouts at once, as they read a look.
+_LOOK = (
+    "^(?:mon,? +)?(?:"
+    + "|".join(dict.fromkeys(x.replace(_MONTH, r"\bjan\b\.?").replace(r"\d", "9") for x, _ in _orders().values()))
+    + ")"
+    + (_TIME + _ZONE).replace(r"\d", "9").replace("[ap]m", "am").replace("z|utc|gmt", "z")
+    + "$"
+)
 
+# Every time has as many digits.
+_THREE_DIGITS = "[0-9][^0-9]*[0-9][^0-9]*[0-9]"
 
-def shape(c: Column) -> Column:
-    """What a text that may be a time looks like, null for other text: each digit is 9, each name one example.
 
-    Only text that some order of a date's parts fits has a shape, so a column has few of them.
-    """
+def look(c: Column) -> Column:
+    """A text in lower case, each digit as 9 and each name as one example; null if it is too long or has too few digits."""
     plain = F.regexp_replace(F.lower(c), _A_WEEKDAY, "mon")
     plain = F.regexp_replace(plain, _A_MONTH, "jan")
     plain = F.regexp_replace(F.regexp_replace(plain, r"utc|gmt", "z"), "pm", "am")
-    return F.when((F.length(c) <= LONGEST) & c.rlike(_ANY), F.regexp_replace(plain, "[0-9]", "9"))
+    # Most texts have no names.
+    plain = F.when(c.rlike("[A-Za-z]{2}"), plain).otherwise(F.lower(c))
+    return F.when((F.length(c) <= LONGEST) & c.rlike(_THREE_DIGITS), F.regexp_replace(plain, "[0-9]", "9"))
+
+
+def shape_of(looks: Column) -> Column:
+    """The look of a text that may be a time, null for other text.
+
+    Only text that some order of a date's parts fits has a shape, so a column has few of them.
+    """
+    return F.when(looks.rlike(_LOOK), looks)
+
+
+def shape(c: Column) -> Column:
+    """What a text that may be a time looks like, null for other text: each digit is 9, each name one example."""
+    return shape_of(look(c))
 
 
 def layouts_of(shapes: Iterable[str]) -> list[Layout]:

@@ -7,7 +7,7 @@ receives one row whose width depends on the schema alone.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assayer.config import Config
 from assayer.functions.numbers import count_where, is_number
 from assayer.functions.texts import has_outer_whitespace
-from assayer.functions.times import LAYOUTS, Layout, layouts_of, other_order, shape
+from assayer.functions.times import LAYOUTS, Layout, layouts_of, look, other_order, shape_of
 from assayer.operators.columns import (
     NON_NEGATIVE_WORDS,
     VALUE_WORDS,
@@ -91,11 +91,12 @@ def _text_counts(df: DataFrame, specs: list[ColumnSpec], cfg: Config) -> dict[in
     """
     names = [str(s.ordinal) for s in specs]
     long = df.select(*[quoted(s.name).alias(n) for s, n in zip(specs, names)]).unpivot([], names, "ordinal", "value")
+    long = long.select("ordinal", "value", look(F.col("value")).alias("look"))  # made once, tested and grouped
     c = F.col("value")
     wanted = {"present": F.count(c), "numeric": count_where(is_number(c)), "whitespace": count_where(has_outer_whitespace(c))}
     out = {s.ordinal: dict.fromkeys(wanted, 0) | {"shapes": {}} for s in specs}
     present = long.where(c.isNotNull())
-    for row in present.groupBy("ordinal", shape(c).alias("shape")).agg(*[x.alias(k) for k, x in wanted.items()]).collect():
+    for row in present.groupBy("ordinal", shape_of(F.col("look")).alias("shape")).agg(*[x.alias(k) for k, x in wanted.items()]).collect():
         counts = out[int(row["ordinal"])]
         for k in wanted:
             counts[k] += row[k]
@@ -107,21 +108,39 @@ def _text_counts(df: DataFrame, specs: list[ColumnSpec], cfg: Config) -> dict[in
     return out
 
 
+#: Groups of layouts with the same pattern are the same.
+_PATTERNS = [x.pattern for x in LAYOUTS]
+_EPOCH = datetime(1970, 1, 1)
+
+
+def _micros(t: Column) -> Column:
+    # A number reaches the driver for any year, a time only for the years that Python has.
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+
+
 def _read_times(df: DataFrame, columns: list[ColumnFacts], shapes: dict[int, dict[str, int]], cfg: Config) -> list[ColumnFacts]:
     """Columns with text that looks like times, with the layout that reads most of it.
 
-    The shapes name the layouts to try, mostly one or two, so only these are parsed, in a scan of these columns.
+    The shapes name the layouts to try, mostly one or two, so only these are parsed, in one scan of these columns that
+    also finds the span of the times. A text is matched once per pattern, and each time is put together once.
     """
     tried = {o: layouts_of(found) for o, found in shapes.items() if found}
-    wanted = {}
+    matched, times, wanted = {}, {}, {}
     for c in columns:
         o, text = c.spec.ordinal, quoted(c.spec.name)
         for layout in tried.get(o, ()):
-            other = other_order(layout)
-            wanted[f"{o}_timed{LAYOUTS.index(layout)}"] = F.count(layout.time(text))
+            n, other = LAYOUTS.index(layout), other_order(layout)
+            t = F.col(f"t{o}_{n}")
+            if layout.index is None:
+                same = f"g{o}_{_PATTERNS.index(layout.pattern)}"
+                matched[same], times[f"t{o}_{n}"] = layout.groups(text), layout.put_together(F.col(same))
+            else:
+                matched[f"t{o}_{n}"], times[f"t{o}_{n}"] = layout.time(text), t
+            wanted |= {f"{o}_timed{n}": F.count(t), f"{o}_first{n}": _micros(F.min(t)), f"{o}_last{n}": _micros(F.max(t))}
             if other in tried[o]:
-                wanted[f"{o}_either{LAYOUTS.index(layout)}"] = count_where(layout.time(text) != other.time(text))
-    got = one_row(df, wanted, max(1, cfg.aggregates_per_pass // 8)) if wanted else {}
+                wanted[f"{o}_either{n}"] = count_where(t != F.col(f"t{o}_{LAYOUTS.index(other)}"))
+    read = df.select(*[x.alias(k) for k, x in matched.items()]).select(*[x.alias(k) for k, x in times.items()])
+    got = one_row(read, wanted, max(1, cfg.aggregates_per_pass // 2)) if wanted else {}
     out = []
     for c in columns:
         o = c.spec.ordinal
@@ -130,8 +149,11 @@ def _read_times(df: DataFrame, columns: list[ColumnFacts], shapes: dict[int, dic
             best = max(counts, key=counts.get)  # of equal ones the first
             c = replace(c, like_times=sum(shapes[o].values()))
             if counts[best]:
-                either = got.get(f"{o}_either{LAYOUTS.index(best)}", 0)
-                c = replace(c, layout=best, timed=counts[best], ambiguous=either)
+                n = LAYOUTS.index(best)
+                c = replace(c, layout=best, timed=counts[best], ambiguous=got.get(f"{o}_either{n}", 0))
+                if is_dated(c, cfg):
+                    first, last = (_EPOCH + timedelta(microseconds=got[f"{o}_{k}{n}"]) for k in ("first", "last"))
+                    c = replace(c, first_time=first, last_time=last)
         out.append(c)
     return out
 
@@ -184,17 +206,14 @@ def gather_facts(df: DataFrame, cfg: Config, repeated_names: list[str] | None =
     columns = [_read(s, rows, parts[s.ordinal]) for s in specs]
     columns = _read_times(df, columns, {s.ordinal: parts[s.ordinal]["shapes"] for s in texts}, cfg)
 
-    # Text that turned out to be numbers or dates gets its statistics in a second narrow
-    # scan, which parses each value once, before the aggregates.
+    # Text that turned out to be numbers gets its statistics in a second narrow scan, which
+    # parses each value once, before the aggregates.
     parsed, wanted = [], {}
     for c in columns:
         o = c.spec.ordinal
         if c.spec.kind == "text" and (is_numeric(c, cfg) or could_be_value(c, cfg)):
             parsed.append(c.spec.number.alias(f"x{o}"))
             wanted |= {f"{o}_{k}": x for k, x in _moments(F.col(f"x{o}")).items()}
-        if c.spec.kind == "text" and is_dated(c, cfg):
-            parsed.append(c.layout.time(quoted(c.spec.name)).alias(f"t{o}"))
-            wanted |= {f"{o}_{k}": t for k, t in _span(F.col(f"t{o}")).items()}
     if wanted:
         parts = _split(one_row(df.select(*parsed), wanted, cfg.aggregates_per_pass), specs)
         columns = [replace(c, **parts[c.spec.ordinal]) for c in columns]
