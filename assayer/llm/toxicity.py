@@ -126,8 +126,9 @@ def _history(column: str = "gram") -> Window:
 def _shared(grams: DataFrame, order: int) -> DataFrame:
     """(low, shared): probability of the last byte of each n-gram's last order - 1 bytes, by continuation counts."""
     levels, current = {}, grams.select("gram")
+    # Each level is written: else the plan of the last would hold all levels many times, and the driver with it.
     for k in range(order - 1, 0, -1):
-        current = current.groupBy(_low("gram", k).alias("gram")).agg(F.count("*").alias("n"))
+        current = staged(current.groupBy(_low("gram", k).alias("gram")).agg(F.count("*").alias("n")), f"toxic-level{k}")
         levels[k] = current
         current = current.select("gram")
     whole = Window.partitionBy()  # at most 256 rows
@@ -141,7 +142,7 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
         total, kinds = F.sum("n").over(_history()), F.count("*").over(_history())
         level = level.withColumn("total", total).withColumn("kinds", kinds).join(lower, _low("gram", k - 1) == F.col("low"))
         share = F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("shared")
-        lower = level.select(F.col("gram").alias("low"), share.alias("shared"))
+        lower = staged(level.select(F.col("gram").alias("low"), share.alias("shared")), f"toxic-shared{k}")
     return lower
 
 
@@ -168,7 +169,17 @@ class _Lookup:
 
     def __init__(self, keys: np.ndarray, ratios: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.ratios = keys[order], ratios[order].astype(np.float32)
+        self._fill(keys[order], ratios[order].astype(np.float32))
+
+    @classmethod
+    def sorted(cls, keys: np.ndarray, ratios: np.ndarray) -> _Lookup:
+        """Of keys in order."""
+        self = cls.__new__(cls)
+        self._fill(keys, ratios)
+        return self
+
+    def _fill(self, keys: np.ndarray, ratios: np.ndarray) -> None:
+        self.keys, self.ratios = keys, ratios
         self.shift = _U(64 - max(4, int(np.ceil(np.log2(len(keys) + 1))) + 2))
         self.slots = np.full(1 << int(64 - int(self.shift)), -1, np.int32)
         self.slots[self._slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
@@ -200,6 +211,18 @@ class _Lookup:
         return found
 
 
+class _Packed:
+    """Keys in order and their ratios, as they are sent to the tasks; each process makes its slots once."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        self.keys, self.ratios, self.made = keys, ratios, None
+
+    def lookup(self) -> _Lookup:
+        if self.made is None:
+            self.made = _Lookup.sorted(self.keys, self.ratios)
+        return self.made
+
+
 def _features(ratios: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Per text the mean ratio, and the greatest mean of ``window`` neighbours (of all, if there are fewer)."""
     total = np.zeros(len(ratios) + 1)
@@ -227,11 +250,15 @@ def _measured(docs: DataFrame, ratios: DataFrame, options: KneserNey) -> DataFra
         return pa.RecordBatch.from_arrays([*(batch[c].slice(a, n) for c in names), pa.array(mean), pa.array(worst)], [*names, "mean", "worst"])
 
     if ratios.count() <= options.small_model:
-        table = ratios.toPandas()  # counted: at most small_model rows
-        shared = spark.sparkContext.broadcast(_Lookup(table["gram"].to_numpy(np.int64), table["ratio"].to_numpy(float)))
+        # Counted: at most small_model rows, of 12 bytes. The driver makes no slots.
+        table = ratios.select("gram", F.col("ratio").cast("float").alias("ratio")).toArrow()
+        keys = table["gram"].to_numpy()
+        in_order = np.argsort(keys)
+        shared = spark.sparkContext.broadcast(_Packed(keys[in_order], table["ratio"].to_numpy()[in_order]))
+        del table, keys, in_order
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = shared.value
+            model = shared.value.lookup()
             for batch in batches:
                 data, offsets = h.buffers(batch["text"])
                 for a, b in h.blocks(offsets):
@@ -320,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, options: KneserNey = KneserNey())
         ),
         "toxic-counts",
     )
-    shared = staged(_shared(counts, order), "toxic-shared")
+    shared = _shared(counts, order)
     part = staged(_ratios(counts, shared, "toxic_part", "ordinary_part", options), "toxic-part")
     chosen = smallest_hashes(marked.filter("kind > 2").select("marked", "label"), "label", "marked", options.per_label)
     chosen = F.broadcast(chosen.select("marked", "label"))  # at most per_label ids for either label
